@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from tidegrove.llm.ann import op4_nearest
 from tidegrove.llm.bpe import op7_byte_bpe
+from tidegrove.llm.secret_scan import op9_secret_scan
+from tidegrove.llm.sharding import op8_sharding
+from tidegrove.llm.simhash import op10_simhash
+from tidegrove.llm.substring_dedup import op6_substring_dedup
+from tidegrove.llm.url_reputation import OP3_SQL, op3_url_reputation
 
-QUERIES = {f.__name__: f for f in (op7_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op3_url_reputation, op4_nearest, op6_substring_dedup, op7_byte_bpe, op8_sharding, op9_secret_scan, op10_simhash)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_reputation": OP3_SQL}

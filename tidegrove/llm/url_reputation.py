@@ -4,7 +4,8 @@ Pages that a rule judges are labelled outcomes (block: bad).  Outcomes are
 counted by host, registered domain and public suffix.  Each level's bad rate is
 shrunk to that of the level above through a beta prior whose strength comes from
 the spread between siblings (method of moments for beta-binomial counts):
-suffix to all pages, domain to suffix, host to domain.  A page that no rule
+suffix to all pages, domain to suffix, host to domain; what a level does not
+know widens the priors below it.  A page that no rule
 judges is blocked if the lower bound of its host's posterior bad rate (mean
 less ``z`` standard deviations) is over ``limit``.  Hosts without outcomes get
 their domain's prior; being wide, it blocks only on strong evidence from above.
@@ -87,6 +88,18 @@ def _strength(children: str, parent_rate: str) -> str:
                 FROM {children} WHERE n > 0) AS sums) AS gs"""
 
 
+def _posterior(keys: str, children: str, k: str) -> str:
+    """Rate and variance of each child, whose prior has the parent's rate ``up``.
+
+    The prior's variance is the parent's own plus that between siblings, so little
+    evidence above leaves a wide prior; a beta of that mean and variance stands for it."""
+    return f"""
+    SELECT {keys}, a / (a + b) AS rate, a * b / ((a + b) * (a + b) * (a + b + 1)) AS var
+    FROM (SELECT *, bad + strength * up AS a, n - bad + strength * (1 - up) AS b
+          FROM (SELECT *, greatest(0.01, up * (1 - up) / (var + up * (1 - up) / ((SELECT k FROM {k}) + 1)) - 1) AS strength
+                FROM {children}) AS priors) AS counts"""
+
+
 def reputation_sql(cfg: ReputationConfig, judged: str) -> str:
     """One row per page.  ``judged`` names or is the relation of ``judged_sql``."""
     two = ", ".join(map(_quote, cfg.suffixes)) or "''"
@@ -103,20 +116,16 @@ domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 everything AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS rate FROM suffixes),
 suffix_k AS ({_strength("suffixes", "(SELECT rate FROM everything)")}),
-suffix_rates AS (
-    SELECT suffix, (bad + (SELECT k FROM suffix_k) * (SELECT rate FROM everything)) / (n + (SELECT k FROM suffix_k)) AS rate FROM suffixes),
-domains_up AS (SELECT d.domain, d.suffix, d.n, d.bad, s.rate AS up FROM domains d JOIN suffix_rates s ON d.suffix = s.suffix),
+suffix_up AS (SELECT suffix, n, bad, (SELECT rate FROM everything) AS up, 0.0 AS var FROM suffixes),
+suffix_rates AS ({_posterior("suffix", "suffix_up", "suffix_k")}),
+domains_up AS (SELECT d.domain, d.suffix, d.n, d.bad, s.rate AS up, s.var FROM domains d JOIN suffix_rates s ON d.suffix = s.suffix),
 domain_k AS ({_strength("domains_up", "up")}),
-domain_rates AS (
-    SELECT domain, suffix, (bad + (SELECT k FROM domain_k) * up) / (n + (SELECT k FROM domain_k)) AS rate FROM domains_up),
-hosts_up AS (SELECT h.host, h.n, h.bad, d.rate AS up FROM hosts h JOIN domain_rates d ON h.domain = d.domain AND h.suffix = d.suffix),
+domain_rates AS ({_posterior("domain, suffix", "domains_up", "domain_k")}),
+hosts_up AS (SELECT h.host, h.n, h.bad, d.rate AS up, d.var FROM hosts h JOIN domain_rates d ON h.domain = d.domain AND h.suffix = d.suffix),
 host_k AS ({_strength("hosts_up", "up")}),
-posteriors AS (
-    SELECT host, n, bad, bad + (SELECT k FROM host_k) * up AS a, n - bad + (SELECT k FROM host_k) * (1 - up) AS b FROM hosts_up),
 bounds AS (
-    SELECT host, CAST(n AS BIGINT) AS host_labelled, CAST(bad AS BIGINT) AS host_bad,
-           round(greatest(0.0, a / (a + b) - {cfg.z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS host_bound
-    FROM posteriors)
+    SELECT host, CAST(n AS BIGINT) AS host_labelled, CAST(bad AS BIGINT) AS host_bad, round(greatest(0.0, rate - {cfg.z} * sqrt(var)), 6) AS host_bound
+    FROM ({_posterior("host, n, bad", "hosts_up", "host_k")}) AS posteriors)
 SELECT j.page_id, j.host, j.path, j.rule,
        CASE WHEN j.ruled IS NOT NULL THEN j.ruled WHEN b.host_bound > {cfg.limit} THEN 'block' ELSE 'allow' END AS verdict,
        b.host_labelled, b.host_bad, b.host_bound
