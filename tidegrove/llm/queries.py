@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidegrove.llm.ann import op4_nearest
 from tidegrove.llm.bpe import op7_byte_bpe
 from tidegrove.llm.decontamination import op5_decontamination
+from tidegrove.llm.line_dedup import op2_line_dedup
 from tidegrove.llm.quality import op1_quality
 from tidegrove.llm.secret_scan import op9_secret_scan
 from tidegrove.llm.sharding import op8_sharding
@@ -12,6 +13,6 @@ from tidegrove.llm.simhash import op10_simhash
 from tidegrove.llm.substring_dedup import op6_substring_dedup
 from tidegrove.llm.url_reputation import OP3_SQL, op3_url_reputation
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_url_reputation, op4_nearest, op5_decontamination, op6_substring_dedup, op7_byte_bpe, op8_sharding, op9_secret_scan, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_url_reputation, op4_nearest, op5_decontamination, op6_substring_dedup, op7_byte_bpe, op8_sharding, op9_secret_scan, op10_simhash)}
 
 ORACLES: dict[str, str] = {"op3_url_reputation": OP3_SQL}

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrove.llm.common import ready_checkpoints, table
+from tidegrove.llm.common import free_name, ready_checkpoints, table
 from tidegrove.llm.components import components
 
 #: Fingerprints that a shard of the tree should hold.
@@ -234,5 +235,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, r: int = 4) -> DataFrame:
+    """Of each component the row of least id (any one of them if the id repeats).
+
+    Rows with a null id are told apart by their text and come after all others."""
+    key = free_name(docs, "key")
+    # Beyond any id below 2**62; equal texts are near-duplicates anyway.
+    stand_in = F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
+    found = near_duplicates(keyed, key, text_col, size, r)
+    stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    first = free_name(keyed, "first")
+    ranked = keyed.join(stay, key).withColumn(first, F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(F.col(text_col)))))
+    return ranked.where(F.col(first) == 1).select(*docs.columns)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -93,7 +93,7 @@ def unpack(data: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.n
 _LONG = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
-class _Packer:
+class Packer:
     """Gathers entries of several slices of text and packs them when they are many."""
 
     def __init__(self, buckets: int, kind: np.dtype):
@@ -138,7 +138,7 @@ def probes(block: int, window: int, buckets: int) -> Callable[[Iterable[pa.Recor
     """Map (id, text) batches to packed hashes of every run of ``block`` words of the documents that have a window."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(buckets, np.dtype("<u4"))
+        packer = Packer(buckets, np.dtype("<u4"))
         for batch in batches:
             for part in slices(batch, "text"):
                 words, first, size = _word_hashes(part.column("text"))
@@ -213,7 +213,7 @@ def extend(block: int, window: int, buckets: int) -> Callable[[pa.Table, pa.Tabl
 
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
         found = _places_of(hits)
-        packer, out = _Packer(buckets, _LONG), []
+        packer, out = Packer(buckets, _LONG), []
         docs = docs.filter(pa.array([x is not None and x in found for x in docs.column("id").to_pylist()], pa.bool_()))
         for batch in docs.combine_chunks().to_batches():
             for part in slices(batch, "text"):
