@@ -276,7 +276,7 @@ def _settled(lines: pa.Table) -> pa.Table:
     return pa.table([*(lines.column(k) for k in ("xd", "xl", "xs")), *blank], names=list(_PAIR_NAMES))
 
 
-_SENT = "bucket int, xd long, xl int, xs long, more boolean, words binary"
+_SENT = "bucket int, xd array<long>, xl array<int>, xs array<long>, more array<boolean>, words binary"
 
 
 def _wanted(docs: pa.Table, pairs: pa.Table, doc: str, line: str, mark: str, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -295,20 +295,34 @@ def _wanted(docs: pa.Table, pairs: pa.Table, doc: str, line: str, mark: str, lev
             for i, k in enumerate(zip((names[d] for d in s.doc.tolist()), s.place.tolist(), s.set.tolist(), strict=True)):
                 if k in meant and k not in done:
                     done.add(k)
+                    words = s.words(i)
                     for j in meant[k]:
-                        yield j, s.words(i)
+                        yield j, words
 
 
 def send(levels: np.ndarray, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """In a group of documents: the words of the earlier lines, to the groups of the later; no words for settled lines."""
+    """In a group of documents: the words of each earlier line, once to each group that has later lines to
+    compare with it, with the list of those; settled lines go to their groups without words."""
 
     def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        found = list(_wanted(docs, pairs, "yd", "yl", "ys", levels)) if pairs.num_rows else []
-        settled = np.flatnonzero(np.array([x is None for x in pairs.column("yd").to_pylist()], bool)).tolist()
-        some = pairs.take(pa.array([j for j, _ in found] + settled, pa.int64())).select(["xd", "xl", "xs", "more"])
-        to = group_of(some.column("xd").to_numpy(), groups) if some.num_rows else np.zeros(0, np.int32)
-        words = pa.array([w.tobytes() for _, w in found] + [None] * len(settled), pa.binary())
-        return pa.table([pa.array(to), *some.columns, words], names=["bucket", "xd", "xl", "xs", "more", "words"])
+        rows: list[tuple] = []
+        if pairs.num_rows:
+            cols = [pairs.column(k).to_numpy() for k in ("xd", "xl", "xs", "more")]
+            to = group_of(cols[0], groups)
+            found: dict[tuple[int, int], list[int]] = {}
+            words: dict[int, bytes] = {}
+            for i in np.flatnonzero(np.array([x is None for x in pairs.column("yd").to_pylist()], bool)).tolist():
+                found.setdefault((-1, int(to[i])), []).append(i)
+            # The places of one line's pairs come one after the other, so its words are held once.
+            line, held = -1, None
+            for j, w in _wanted(docs, pairs, "yd", "yl", "ys", levels):
+                if w is not held:
+                    line, held = line + 1, w
+                    words[line] = w.tobytes()
+                found.setdefault((line, int(to[j])), []).append(j)
+            rows = [(g, *(c[at].tolist() for c in cols), words.get(y)) for (y, g), at in found.items()]
+        kinds = (pa.int32(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "xd", "xl", "xs", "more", "words"])
 
     return run
 
@@ -323,12 +337,15 @@ def verify(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[pa.Ta
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if sent.num_rows:
-            theirs = sent.column("words").to_pylist()
+            sizes = pa.compute.list_value_length(sent.column("xd")).to_numpy()
+            held = sent.column("words").to_pylist()
+            theirs = [held[i] for i in np.repeat(np.arange(len(sizes)), sizes).tolist()]
+            sent = pa.table({k: pa.compute.list_flatten(sent.column(k)) for k in ("xd", "xl", "xs", "more")})
             keys = list(zip(*(sent.column(k).to_pylist() for k in ("xd", "xl", "xs")), strict=True))
             more = sent.column("more").to_pylist()
             good = {k for k, w in zip(keys, theirs, strict=True) if w is None}
             again: dict[tuple, list[int]] = {}
-            ask = sent.append_column("j", pa.array(range(len(keys)))).filter(pa.compute.is_valid(sent.column("words")))
+            ask = sent.append_column("j", pa.array(range(len(keys)))).filter(pa.array([w is not None for w in theirs], pa.bool_()))
             back = ask.column("j").to_pylist()
             for i, mine in _wanted(docs, ask, "xd", "xl", "xs", levels):
                 j = back[i]
@@ -389,7 +406,7 @@ def remove_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col: str =
     One plan: the documents cross the network once, into groups of some
     megabytes that all later steps share; the prefixes cross it once, packed."""
     spare = [F.col(c) for c in docs.columns if c not in (id_col, text_col)] if texts else []
-    rest = F.struct(*spare) if spare else F.struct(F.lit(0).alias("none"))
+    rest = F.struct(*spare) if spare else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain = rows.select("id", "text").where("id IS NOT NULL")
     levels = rarity(plain)
