@@ -12,12 +12,12 @@ their first, rarest words, and there:
 * lines of the same set are seen at once, and only the first of them goes on;
 * others are candidates if length, position and a 64-bit bitmap of their sets
   allow the overlap needed; a line proposes the ``tries`` most promising earlier
-  ones, which are verified on the word sets themselves;
+  one or ones, which are verified on the word sets themselves;
 * a line with more candidates, none of those proposed being similar enough, is
   looked up again with all of them.
 
 So a group of m similar lines costs a few verifications a line, not m * m, and
-no candidate is lost.  Word sets are of 56-bit hashes.
+no candidate is lost.  Word sets are of 48-bit hashes or longer ones.
 
 Null and empty texts have no lines to remove.  Rows that share an id do not
 count as earlier than each other, nor do null ids, which lose nothing.  Columns
@@ -54,13 +54,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: A line's entry at one word of its prefix: the word, the size of the set, the word's place, the bitmap, the set.
-ENTRY = np.dtype([("word", "<u4"), ("n", "<u4"), ("at", "<u2"), ("bits", "<u8"), ("set", "<u4")])
+#: Larger sizes stand as ``HUGE`` and pass every filter; later places stand as 255, which only weakens one.
+ENTRY = np.dtype([("word", "<u4"), ("n", "<u2"), ("at", "u1"), ("bits", "<u8"), ("set", "<u4")])
+HUGE = 65_535
 
 
 @dataclass(frozen=True)
 class LineConfig:
     similarity: Fraction = Fraction(4, 5)
-    tries: int = 2
+    tries: int = 1
 
     def need(self, total: np.ndarray) -> np.ndarray:
         """Least overlap of two sets of ``total`` words together."""
@@ -158,7 +160,7 @@ def prefixes(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[Ite
                 at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
                 spread, word = _spread(s.key[s.lead[who] + at])
                 e = np.empty(len(who), ENTRY)
-                e["word"], e["n"], e["at"], e["bits"], e["set"] = word, s.n[who], np.minimum(at, 65535), s.bits[who], s.set[who]
+                e["word"], e["n"], e["at"], e["bits"], e["set"] = word, np.minimum(s.n[who], HUGE), np.minimum(at, 255), s.bits[who], s.set[who]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 yield from packer.add(s.bytes, spread, ids[s.doc[who]], s.place[who], e)
         yield from packer.flush()
@@ -221,7 +223,7 @@ class _Classes:
             need = cfg.need(total)
             room = 1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1)
             bound = np.minimum(np.minimum(n[x], n[y]), (total - np.bitwise_count(bits[x] ^ bits[y])) // 2)
-            ok = (np.minimum(room, bound) >= need) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
+            ok = ((np.minimum(room, bound) >= need) | (np.maximum(n[x], n[y]) == HUGE)) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
             yield x[ok], y[ok], (bound - need)[ok]
 
     def table(self, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> pa.Table:
@@ -276,6 +278,20 @@ def _settled(lines: pa.Table) -> pa.Table:
     return pa.table([*(lines.column(k) for k in ("xd", "xl", "xs")), *blank], names=list(_PAIR_NAMES))
 
 
+def _short(words: np.ndarray) -> np.ndarray:
+    """48 bits of each word's hash, as six bytes."""
+    return np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).reshape(-1).view("V6")
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of common words of two sets."""
+    wide = np.zeros((len(a) + len(b), 8), np.uint8)
+    wide[: len(a), :6] = a.view(np.uint8).reshape(-1, 6)
+    wide[len(a) :, :6] = b.view(np.uint8).reshape(-1, 6)
+    both = np.sort(wide.reshape(-1).view("<u8"))
+    return int((both[1:] == both[:-1]).sum())
+
+
 _SENT = "bucket int, xd array<long>, xl array<int>, xs array<long>, more array<boolean>, words binary"
 
 
@@ -318,7 +334,7 @@ def send(levels: np.ndarray, groups: int) -> Callable[[pa.Table, pa.Table], pa.T
             for j, w in _wanted(docs, pairs, "yd", "yl", "ys", levels):
                 if w is not held:
                     line, held = line + 1, w
-                    words[line] = w.tobytes()
+                    words[line] = _short(w).tobytes()
                 found.setdefault((line, int(to[j])), []).append(j)
             rows = [(g, *(c[at].tolist() for c in cols), words.get(y)) for (y, g), at in found.items()]
         kinds = (pa.int32(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())), pa.binary())
@@ -349,8 +365,8 @@ def verify(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[pa.Ta
             back = ask.column("j").to_pylist()
             for i, mine in _wanted(docs, ask, "xd", "xl", "xs", levels):
                 j = back[i]
-                other = np.frombuffer(theirs[j], np.uint64)
-                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                other = np.frombuffer(theirs[j], "V6")
+                shared = _shared(_short(mine), other)
                 if shared >= cfg.similarity * (len(mine) + len(other) - shared):
                     good.add(keys[j])
                 elif more[j]:
