@@ -236,7 +236,9 @@ def grow(rows, s: BoostSettings, columns: list[int]) -> Tree:
             hist = hists[node]
             g, h, _, n = hist[columns[0]].sum(0)
             tree.value[node] = -g / (h + s.reg_lambda) if h + s.reg_lambda else 0.0
-            if abs(g) < 0.01 * s.min_child_weight or depth >= s.depth or n < s.min_samples_split or h < s.min_child_weight:
+            # At the base score of all rows the root's gradients add up to zero, whatever there is to learn.
+            flat = abs(g) < 0.01 * s.min_child_weight and (depth > 0 or s.compat)
+            if flat or depth >= s.depth or n < s.min_samples_split or h < s.min_child_weight:
                 continue
             gain, k, at = search(hist, s, depth, columns)
             if gain <= 1e-6:
@@ -576,7 +578,7 @@ def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSet
 
     Without settings they are derived from the data.  Differences from published
     behaviour, all restored by ``compat``: Poisson starts at ln(mean) and is
-    validated on its own scale."""
+    validated on its own scale, and a root whose gradients cancel is still split."""
     from tidegrove.functions.settings import derive
 
     known = df.where(F.col(label).isNotNull())

@@ -47,16 +47,16 @@ def regressor_settings_sql(rel: str, label: str, features: int) -> str:
     FROM (SELECT n, ratio, (SELECT v FROM ({op.mad(rel, label)}) AS m) AS spread FROM ({op.outlier_ratio(rel, label)}) AS o) AS x"""
 
 
-_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _QUICK = BoostSettings(trees=12, depth=4, learning_rate=0.2, subsample=1.0, colsample=1.0, min_samples_split=20, min_child_weight=1.0, mi_weight=0.05)
 
 
 def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    price = F.col("l_extendedprice")
-    tier = F.when(price > 60_000, "high").when(price > 25_000, "middle").otherwise("low")
-    return df.select(*_FEATURES, (price / 1000).alias("price"), tier.alias("tier"), key.alias("row_id"), (price > 38_000).cast("double").alias("y"))
+    charge = F.col("l_extendedprice") * (1 - 5 * F.col("l_discount")) * (1 + F.col("l_tax")) / 1000
+    tier = F.when(charge > 45, "high").when(charge > 20, "middle").otherwise("low")
+    return df.select(*_FEATURES, charge.alias("charge"), tier.alias("tier"), key.alias("row_id"), (charge > 25).cast("double").alias("y"))
 
 
 def fit_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,9 @@ def fit_binary_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _lineitem(spark, sf_dir)
     s = BoostSettings(**{**_QUICK.__dict__, "objective": "squared", "mi_weight": 0.0})
-    model = fit(df, _FEATURES, "price", "row_id", s)
-    scored = model.transform(df.select(*_FEATURES, "price"), "p", spread="spread")
-    return op.run(spark, op.regression_metrics("{scored}", "p", "price"), scored=scored)
+    model = fit(df, _FEATURES, "charge", "row_id", s)
+    scored = model.transform(df.select(*_FEATURES, "charge"), "p", spread="spread")
+    return op.run(spark, op.regression_metrics("{scored}", "p", "charge"), scored=scored)
 
 
 def fit_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
