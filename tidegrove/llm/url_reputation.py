@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrove.llm.common import table
+from tidegrove.llm.common import ready_checkpoints, table
 
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = (
@@ -100,8 +100,14 @@ def _posterior(keys: str, children: str, k: str) -> str:
                 FROM {children}) AS priors) AS counts"""
 
 
-def reputation_sql(cfg: ReputationConfig, judged: str) -> str:
-    """One row per page.  ``judged`` names or is the relation of ``judged_sql``."""
+def counts_sql(judged: str) -> str:
+    """Labelled pages and bad ones among them, by host."""
+    return f"SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(CASE WHEN ruled = 'block' THEN 1 END) AS DOUBLE) AS bad FROM {judged} GROUP BY host"
+
+
+def reputation_sql(cfg: ReputationConfig, judged: str, counted: str | None = None) -> str:
+    """One row per page.  ``judged`` is the query of ``judged_sql``, ``counted`` that of ``counts_sql`` over it."""
+    counted = counted or counts_sql("judged")
     two = ", ".join(map(_quote, cfg.suffixes)) or "''"
     tail2, tail3 = "regexp_extract(host, '[^.]+[.][^.]+$', 0)", "regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0)"
     last = "regexp_extract(host, '[^.]+$', 0)"
@@ -110,8 +116,7 @@ WITH judged AS ({judged}),
 hosts AS (
     SELECT host, CASE WHEN {tail2} IN ({two}) THEN {tail2} ELSE {last} END AS suffix,
            CASE WHEN {tail2} IN ({two}) AND {tail3} <> '' THEN {tail3} WHEN {tail2} <> '' THEN {tail2} ELSE host END AS domain, n, bad
-    FROM (SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(CASE WHEN ruled = 'block' THEN 1 END) AS DOUBLE) AS bad
-          FROM judged GROUP BY host) AS counted),
+    FROM ({counted}) AS counted),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 everything AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS rate FROM suffixes),
@@ -135,13 +140,15 @@ FROM judged j JOIN bounds b ON j.host = b.host"""
 def url_verdicts(pages: DataFrame, cfg: ReputationConfig = ReputationConfig(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each page: its host, path, rule, verdict and the evidence on its host.
 
-    Pages are counted by host before anything is shuffled, and all later levels
-    work on those counts; the last join has one row per host on one side, so a
+    Pages are counted by host before anything is shuffled; the counts, a row per
+    host, are checkpointed, and all later levels work on them; the last join has one row per host on one side, so a
     host with a third of all pages is a skewed join that Spark splits."""
     spark = pages.sparkSession
     pair = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     judged = spark.sql(judged_sql(cfg, "{pages}").replace("{text}", "STRING"), pages=pair)
-    found = spark.sql(reputation_sql(cfg, "SELECT * FROM {judged}"), judged=judged)
+    ready_checkpoints(spark)
+    hosts = spark.sql(counts_sql("{judged}"), judged=judged).checkpoint()
+    found = spark.sql(reputation_sql(cfg, "SELECT * FROM {judged}", "SELECT * FROM {hosts}"), judged=judged, hosts=hosts)
     return found.withColumnRenamed("page_id", id_col)
 
 
