@@ -67,11 +67,11 @@ def test_capacity_and_traversal():
 def test_histogram_parent_is_left_plus_right():
     x, y = data(500)
     bins = fit_bins_local(x, NAMES, 16)
-    b = bins.transform(x)
+    b = bins.transform(x).T
     g, h = derivatives(QUICK, np.zeros(len(y)), y)
     values = np.stack([g, h, y, np.ones_like(g)], axis=1)
     whole = partial_histograms(b, values, np.zeros(len(y), int), [0], 17)[0]
-    node = np.where(b[:, 0] <= 5, 1, 2)
+    node = np.where(b[0] <= 5, 1, 2)
     parts = partial_histograms(b, values, node, [1, 2], 17)
     assert np.allclose(whole, parts[1] + parts[2])
     gain, k, at = search(whole, QUICK, 0, range(6))

@@ -225,11 +225,15 @@ def grow(rows, s: BoostSettings, columns: list[int]) -> Tree:
     """One tree, level by level.  ``rows`` gives the histograms of nodes and moves rows to the children."""
     tree = Tree()
     frontier = [tree.add()]
+    pairs: list[tuple[int, int, np.ndarray]] = []
     rows.start()
     for depth in range(s.depth + 1):
         if not frontier:
             break
-        hists = rows.histograms(frontier)
+        # Of two siblings only the smaller is counted, the other is what is left of the parent.
+        hists = rows.histograms([small for small, _, _ in pairs] or frontier)
+        hists |= {large: parent - hists[small] for small, large, parent in pairs}
+        pairs = []
         splits: dict[int, tuple[int, int, int, int]] = {}
         following: list[int] = []
         for node in frontier:
@@ -247,6 +251,8 @@ def grow(rows, s: BoostSettings, columns: list[int]) -> Tree:
             tree.left[node], tree.right[node] = tree.add(), tree.add()
             splits[node] = (k, at, tree.left[node], tree.right[node])
             following += [tree.left[node], tree.right[node]]
+            fewer = 2 * hist[k, : at + 1, 3].sum() <= n
+            pairs.append((tree.left[node], tree.right[node], hist) if fewer else (tree.right[node], tree.left[node], hist))
         rows.split(splits)
         frontier = following
     return tree
@@ -258,7 +264,7 @@ class LocalRows:
     def __init__(self, bins: np.ndarray, widths: list[int], y: np.ndarray, g: np.ndarray, h: np.ndarray, sample: np.ndarray):
         self.bins, self.width, self.sample = bins, max(widths), sample
         self.values = np.stack([g, h, y, np.ones_like(g)], axis=1)[sample]
-        self.some = bins[sample]
+        self.some = np.ascontiguousarray(bins[sample].T)
 
     def start(self) -> None:
         self.node = np.zeros(len(self.sample), np.int64)
@@ -271,25 +277,30 @@ class LocalRows:
 
 
 def partial_histograms(bins: np.ndarray, values: np.ndarray, node: np.ndarray, nodes: list[int], width: int) -> dict[int, np.ndarray]:
-    """(features, width, 4) of each node."""
+    """(features, width, 4) of each node; ``bins`` has a row for each feature."""
     slot = np.full(max(nodes) + 1, -1)
     slot[nodes] = np.arange(len(nodes))
-    where = np.where(node <= max(nodes), slot[np.minimum(node, max(nodes))], -1)
-    keep = where >= 0
-    base, kept, size = where[keep] * width, values[keep], len(nodes) * width
-    out = np.zeros((bins.shape[1], len(nodes), width, 4))
-    for k in range(bins.shape[1]):
-        at = base + bins[keep, k]
-        for c in range(4):
-            out[k, :, :, c] = np.bincount(at, kept[:, c], size).reshape(len(nodes), width)
+    where = np.where((node >= 0) & (node <= max(nodes)), slot[np.clip(node, 0, max(nodes))], -1)
+    keep = np.flatnonzero(where >= 0)
+    if len(keep) < len(node):
+        bins, values, where = bins[:, keep], values[keep], where[keep]
+    base, size = where * width, len(nodes) * width
+    g, h, y = (np.ascontiguousarray(values[:, c]) for c in range(3))
+    out = np.zeros((len(bins), len(nodes), width, 4))
+    for k, row in enumerate(bins):
+        at = base + row
+        for c, v in enumerate((g, h, y)):
+            out[k, :, :, c] = np.bincount(at, v, size).reshape(len(nodes), width)
+        out[k, :, :, 3] = np.bincount(at, minlength=size).reshape(len(nodes), width)
     return {n: out[:, i] for i, n in enumerate(nodes)}
 
 
 def move(bins: np.ndarray, node: np.ndarray, splits: dict[int, tuple[int, int, int, int]]) -> np.ndarray:
-    out = np.where(np.isin(node, list(splits)), node, -1)
+    """Rows of split nodes to the children, all others to -1; ``bins`` has a row for each feature."""
+    out = np.full(len(node), -1)
     for n, (k, at, left, right) in splits.items():
         mine = np.flatnonzero(node == n)
-        out[mine] = np.where(bins[mine, k] <= at, left, right)
+        out[mine] = np.where(bins[k, mine] <= at, left, right)
     return out
 
 
@@ -312,7 +323,7 @@ class SparkRows:
         def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(nodes), features, width, 4))
             for batch in batches:
-                bins = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
+                bins = np.ascontiguousarray(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, features).T)
                 y, margin = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
                 node = np.zeros(len(y), np.int64)
                 for splits in history:
