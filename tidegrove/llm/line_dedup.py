@@ -10,7 +10,7 @@ result, a good one short lists).  Two lines that are similar enough share one of
 their first, rarest words, and there:
 
 * lines of the same set are seen at once, and only the first of them goes on;
-* others are candidates if length, position and a 64-bit bitmap of their sets
+* others are candidates if length, position and a 128-bit bitmap of their sets
   allow the overlap needed; a line proposes the ``tries`` most promising earlier
   one or ones, which are verified on the word sets themselves;
 * a line with more candidates, none of those proposed being similar enough, is
@@ -53,9 +53,9 @@ SMALL = 48
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-#: A line's entry at one word of its prefix: the word, the size of the set, the word's place, the bitmap, the set.
+#: A line's entry at one word of its prefix: the word, the size of the set, the word's place, both halves of the bitmap, the set.
 #: Larger sizes stand as ``HUGE`` and pass every filter; later places stand as 255, which only weakens one.
-ENTRY = np.dtype([("word", "<u4"), ("n", "<u2"), ("at", "u1"), ("bits", "<u8"), ("set", "<u4")])
+ENTRY = np.dtype([("word", "<u4"), ("n", "<u2"), ("at", "u1"), ("bits", "<u8"), ("more", "<u8"), ("set", "<u4")])
 HUGE = 65_535
 
 
@@ -132,8 +132,10 @@ class LineSets:
         self.n = np.diff(np.r_[self.lead, len(line)])
         mixed = mix64(self.key)
         self.set = (np.add.reduceat(mixed, self.lead) >> np.uint64(7)).astype(np.uint32) if len(line) else np.zeros(0, np.uint32)
-        bits = np.uint64(1) << (mixed >> np.uint64(58))
-        self.bits = np.bitwise_or.reduceat(bits, self.lead) if len(line) else np.zeros(0, np.uint64)
+        # Each word flips one of 128 bits, so the bits in which two sets differ are at most the words they don't share.
+        bit = np.uint64(1) << ((mixed >> np.uint64(58)) & np.uint64(63))
+        half = (mixed >> np.uint64(57)) & np.uint64(1)
+        self.bits, self.more = (np.bitwise_xor.reduceat(bit * x, self.lead) if len(line) else np.zeros(0, np.uint64) for x in (half, np.uint64(1) - half))
         self.doc = np.searchsorted(self.first, self.line, "right") - 1
         self.place = self.line - self.first[self.doc]
 
@@ -160,7 +162,7 @@ def prefixes(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[Ite
                 at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
                 spread, word = _spread(s.key[s.lead[who] + at])
                 e = np.empty(len(who), ENTRY)
-                e["word"], e["n"], e["at"], e["bits"], e["set"] = word, np.minimum(s.n[who], HUGE), np.minimum(at, 255), s.bits[who], s.set[who]
+                e["word"], e["n"], e["at"], e["bits"], e["more"], e["set"] = word, np.minimum(s.n[who], HUGE), np.minimum(at, 255), s.bits[who], s.more[who], s.set[who]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
                 yield from packer.add(s.bytes, spread, ids[s.doc[who]], s.place[who], e)
         yield from packer.flush()
@@ -177,10 +179,10 @@ class _Classes:
 
     def __init__(self, data: pa.Table):
         docs, lines, e = unpack(data, ENTRY)
-        order = np.lexsort((lines, docs, e["set"], e["bits"], e["n"], e["word"]))
+        order = np.lexsort((lines, docs, e["set"], e["more"], e["bits"], e["n"], e["word"]))
         docs, lines, e = docs[order], lines[order], e[order]
         same = np.zeros(len(e), bool)
-        same[1:] = (e["word"][1:] == e["word"][:-1]) & (e["n"][1:] == e["n"][:-1]) & (e["bits"][1:] == e["bits"][:-1]) & (e["set"][1:] == e["set"][:-1])
+        same[1:] = (e["word"][1:] == e["word"][:-1]) & (e["n"][1:] == e["n"][:-1]) & (e["bits"][1:] == e["bits"][:-1]) & (e["more"][1:] == e["more"][:-1]) & (e["set"][1:] == e["set"][:-1])
         lead = np.flatnonzero(~same)
         rep = np.repeat(lead, np.diff(np.r_[lead, len(e)]))
         later = same & (e["at"] == 0) & ((docs != docs[rep]) | (lines != lines[rep]))
@@ -217,12 +219,12 @@ class _Classes:
 
     def candidates(self, cfg: LineConfig, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Those pairs that the filters let through, with the bound on their overlap less the overlap needed."""
-        n, at, bits = self.e["n"].astype(np.int64), self.e["at"].astype(np.int64), self.e["bits"]
+        n, at, bits, more = self.e["n"].astype(np.int64), self.e["at"].astype(np.int64), self.e["bits"], self.e["more"]
         for x, y in self.pairs(cfg, only):
             total = n[x] + n[y]
             need = cfg.need(total)
             room = 1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1)
-            bound = np.minimum(np.minimum(n[x], n[y]), (total - np.bitwise_count(bits[x] ^ bits[y])) // 2)
+            bound = np.minimum(np.minimum(n[x], n[y]), (total - np.bitwise_count(bits[x] ^ bits[y]) - np.bitwise_count(more[x] ^ more[y])) // 2)
             ok = ((np.minimum(room, bound) >= need) | (np.maximum(n[x], n[y]) == HUGE)) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
             yield x[ok], y[ok], (bound - need)[ok]
 
