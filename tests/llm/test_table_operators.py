@@ -111,3 +111,17 @@ def test_every_query_has_a_schema(spark):
     for name, query in queries.QUERIES.items():
         if name not in ("op1_quality",):
             assert query(spark, "/root/testdata/sf0.001").columns
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_twin(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    rel = con.sql(queries.ORACLES[name])
+    names = list(rel.columns)
+    assert cols == sorted(names)
+    assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[names.index(c)] for c in cols)) for r in rel.fetchall())
