@@ -95,7 +95,7 @@ def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             h = _words(part.column("text"))[0]
-            counts += np.bincount((h >> np.uint64(44)).astype(np.int64), minlength=SLOTS)
+            counts += np.bincount((h >> np.uint64(44)).astype(np.int32), minlength=SLOTS)
     if counts.any():
         rows = [pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in counts.reshape(CHUNKS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
@@ -116,13 +116,26 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return np.minimum(255, np.log2(1 + counts) * 5).astype(np.uint8)
 
 
+def _by_line(key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by line, then key.  Lines ascend already, so one sort of line and leading bits of the key will
+    nearly always do."""
+    room = int(line[-1]).bit_length() if len(line) else 0
+    if room <= 24:
+        both = (line.astype(np.uint64) << np.uint64(64 - room) if room else np.uint64(0)) | (key >> np.uint64(room))
+        order = np.argsort(both)
+        both, some = both[order], key[order]
+        if not ((both[1:] == both[:-1]) & (some[1:] != some[:-1])).any():
+            return order
+    return np.lexsort((key, line))
+
+
 class LineSets:
     """The distinct words of all lines of some texts, rarest first; empty lines are left out."""
 
     def __init__(self, texts: pa.Array, levels: np.ndarray):
         h, line, self.first, self.bytes = _words(texts)
         key = (levels[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-        order = np.lexsort((key, line))
+        order = _by_line(key, line)
         key, line = key[order], line[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
@@ -179,7 +192,8 @@ class _Classes:
 
     def __init__(self, data: pa.Table):
         docs, lines, e = unpack(data, ENTRY)
-        order = np.lexsort((lines, docs, e["set"], e["more"], e["bits"], e["n"], e["word"]))
+        # Other sets of the same word and set number may stand between equal ones: these then count as two.
+        order = np.lexsort((lines, docs, (e["word"].astype(np.uint64) << np.uint64(32)) | e["set"]))
         docs, lines, e = docs[order], lines[order], e[order]
         same = np.zeros(len(e), bool)
         same[1:] = (e["word"][1:] == e["word"][:-1]) & (e["n"][1:] == e["n"][:-1]) & (e["bits"][1:] == e["bits"][:-1]) & (e["more"][1:] == e["more"][:-1]) & (e["set"][1:] == e["set"][:-1])
@@ -219,14 +233,19 @@ class _Classes:
 
     def candidates(self, cfg: LineConfig, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Those pairs that the filters let through, with the bound on their overlap less the overlap needed."""
-        n, at, bits, more = self.e["n"].astype(np.int64), self.e["at"].astype(np.int64), self.e["bits"], self.e["more"]
+        n, at, bits, more = self.e["n"].astype(np.int32), self.e["at"].astype(np.int32), self.e["bits"].copy(), self.e["more"].copy()
         for x, y in self.pairs(cfg, only):
-            total = n[x] + n[y]
-            need = cfg.need(total)
-            room = 1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1)
-            bound = np.minimum(np.minimum(n[x], n[y]), (total - np.bitwise_count(bits[x] ^ bits[y]) - np.bitwise_count(more[x] ^ more[y])) // 2)
-            ok = ((np.minimum(room, bound) >= need) | (np.maximum(n[x], n[y]) == HUGE)) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
-            yield x[ok], y[ok], (bound - need)[ok]
+            nx, ny = n[x], n[y]
+            huge = np.maximum(nx, ny) == HUGE
+            need = cfg.need(nx + ny)
+            least = np.minimum(nx, ny)
+            # The cheap filters first: most pairs already differ too much in length or meet too late.
+            keep = np.flatnonzero((np.minimum(least, np.minimum(nx - at[x], ny - at[y])) >= need) | huge)
+            x, y, need, least, total, huge = x[keep], y[keep], need[keep], least[keep], (nx + ny)[keep], huge[keep]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int32) + np.bitwise_count(more[x] ^ more[y])
+            spare = np.minimum(least, (total - apart) // 2) - need
+            ok = ((spare >= 0) | huge) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
+            yield x[ok], y[ok], spare[ok]
 
     def table(self, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> pa.Table:
         cols = (self.docs[x], self.lines[x], self.e["set"][x].astype(np.int64), self.docs[y], self.lines[y], self.e["set"][y].astype(np.int64), more)
@@ -240,13 +259,14 @@ def propose(cfg: LineConfig) -> Callable[[pa.Table], pa.Table]:
         c = _Classes(data)
         d, ln, s = c.repeats
         out = [_settled(pa.table({"xd": d, "xl": ln, "xs": s.astype(np.int64)}))]
-        for x, y, spare in c.candidates(cfg):
+        found = list(c.candidates(cfg))
+        if found:
+            x, y, spare = (np.concatenate(v) for v in zip(*found, strict=True))
             order = np.lexsort((y, -spare, x))
             x, y = x[order], y[order]
             lead = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
             many = np.diff(np.r_[lead, len(x)])
-            rank = np.arange(len(x)) - np.repeat(lead, many)
-            keep = rank < cfg.tries
+            keep = np.arange(len(x)) - np.repeat(lead, many) < cfg.tries
             out.append(c.table(x[keep], y[keep], np.repeat(many > cfg.tries, many)[keep]))
         return pa.concat_tables(out)
 
@@ -267,7 +287,9 @@ def propose_all(cfg: LineConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
             only = np.zeros(len(c.docs), bool)
             for i in np.flatnonzero(np.isin(c.docs, asked.column("xd").to_numpy())).tolist():
                 only[i] = (int(c.docs[i]), int(c.lines[i]), int(c.e["set"][i])) in who
-            out += [c.table(x, y, np.zeros(len(x), bool)) for x, y, _ in c.candidates(cfg, only)]
+            for x, y, _ in c.candidates(cfg, only):
+                if len(x):
+                    out.append(c.table(x, y, np.zeros(len(x), bool)))
         return pa.concat_tables(out)
 
     return run
