@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tidegrove.llm.common import table
 
 #: Pieces, and stretches between single spaces, whose ids a worker remembers (of each kind).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 
 
 #: Fixed value: the pattern for which texts may be cut at spaces.

@@ -55,7 +55,7 @@ LITERAL, NUMBER, UNIT, NAME = range(4)
 class Canon:
     """A worker's words: for each its canonical hash, its kind by itself, and whether it ends a sentence."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self):
         self.clear()
