@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrove.llm.common import mix64, slices, span_hashes, table, utf8, word_spans
+from tidegrove.llm.common import SLICE_BYTES, mix64, slices, span_hashes, table, utf8, word_spans
 from tidegrove.llm.substring_dedup import PACKED, Packer, group_of, unpack
 
 #: Slots of the table of word counts.
@@ -91,29 +91,33 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
 
 def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's table of counts, in chunks."""
-    counts = np.zeros(SLOTS, np.int64)
+    counts, size = np.zeros(SLOTS, np.int64), 0
     for batch in batches:
         for part in slices(batch, "text"):
-            h = _words(part.column("text"))[0]
-            counts += np.bincount((h >> np.uint64(44)).astype(np.int32), minlength=SLOTS)
-    if counts.any():
+            raw, off = utf8(part.column("text"))
+            starts, ends, _ = word_spans(raw, off)
+            counts += np.bincount((span_hashes(_LOWER[raw], starts, ends) >> np.uint64(44)).astype(np.int32), minlength=SLOTS)
+            size += len(raw)
+    if size:
         rows = [pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in counts.reshape(CHUNKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+        sizes = [size, *[0] * (CHUNKS - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows, pa.binary()), pa.array(sizes, pa.int64())], names=["chunk", "counts", "size"])
 
 
 def _add_counts(data: pa.Table) -> pa.Table:
     size = SLOTS // CHUNKS * 8
     total = sum(np.frombuffer(pa.decompress(x, size, codec="zstd", asbytes=True), np.int64) for x in data.column("counts").to_pylist())
-    return pa.table({"chunk": data.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"chunk": data.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary()), "size": pa.array([pa.compute.sum(data.column("size")).as_py()], pa.int64())})
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """A level of frequency from 0 to 255 for each slot: a megabyte, whatever the input."""
-    chunks = rows.select("text").mapInArrow(count_words, "chunk int, counts binary").groupBy("chunk").applyInArrow(_add_counts, "chunk int, counts binary").collect()
+def rarity(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """A level of frequency from 0 to 255 for each slot (a megabyte, whatever the input), and the bytes of all texts."""
+    schema = "chunk int, counts binary, size long"
+    chunks = rows.select("text").mapInArrow(count_words, schema).groupBy("chunk").applyInArrow(_add_counts, schema).collect()
     if not chunks:
-        return np.zeros(SLOTS, np.uint8)
+        return np.zeros(SLOTS, np.uint8), 0
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(chunks, key=lambda r: r.chunk)])
-    return np.minimum(255, np.log2(1 + counts) * 5).astype(np.uint8)
+    return np.minimum(255, np.log2(1 + counts) * 5).astype(np.uint8), sum(r["size"] for r in chunks)
 
 
 def _by_line(key: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -320,24 +324,42 @@ _SENT = "bucket int, xd array<long>, xl array<int>, xs array<long>, more array<b
 
 
 def _wanted(docs: pa.Table, pairs: pa.Table, doc: str, line: str, mark: str, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of a pair, words of its line) for each pair and each row whose line is the one meant."""
-    ids = pairs.column(doc).to_pylist()
+    """(index of a pair, words of its line) for each pair whose line is found; only the lines meant are cut into words."""
     meant: dict[tuple[int, int, int], list[int]] = {}
-    for i, k in enumerate(zip(ids, pairs.column(line).to_pylist(), pairs.column(mark).to_pylist(), strict=True)):
-        meant.setdefault(k, []).append(i)
-    some = set(ids)
-    docs = docs.filter(pa.array([x is not None and x in some for x in docs.column("id").to_pylist()], pa.bool_()))
-    done = set()
-    for batch in docs.combine_chunks().to_batches():
-        for part in slices(batch, "text"):
-            s = LineSets(part.column("text"), levels)
-            names = part.column("id").to_pylist()
-            for i, k in enumerate(zip((names[d] for d in s.doc.tolist()), s.place.tolist(), s.set.tolist(), strict=True)):
-                if k in meant and k not in done:
-                    done.add(k)
-                    words = s.words(i)
-                    for j in meant[k]:
-                        yield j, words
+    lines: dict[int, set[int]] = {}
+    for i, k in enumerate(zip(*(pairs.column(c).to_pylist() for c in (doc, line, mark)), strict=True)):
+        if k[0] is not None:
+            meant.setdefault(k, []).append(i)
+            lines.setdefault(k[0], set()).add(k[1])
+    for keys, s in _some_lines(docs, lines, levels):
+        for i, at in enumerate(s.doc.tolist()):
+            # Taken out, so that a row that repeats an id and a line counts once.
+            found = meant.pop((*keys[at][1:], int(s.set[i])), None)
+            if found:
+                words = s.words(i)
+                for j in found:
+                    yield j, words
+
+
+def _some_lines(docs: pa.Table, lines: dict[int, set[int]], levels: np.ndarray) -> Iterator[tuple[list[tuple[int, int, int]], LineSets]]:
+    """Sets of the given lines of the given documents, with (row, id, line) of each."""
+    keys: list[tuple[int, int, int]] = []
+    texts: list[str] = []
+    size = 0
+    column = docs.column("text")
+    for row, name in enumerate(docs.column("id").to_pylist()):
+        if name is not None and name in lines:
+            cut = column[row].as_py().split("\n")
+            for k in sorted(lines[name]):
+                if k < len(cut):
+                    keys.append((row, name, k))
+                    texts.append(cut[k])
+                    size += len(cut[k])
+            if size > SLICE_BYTES:
+                yield keys, LineSets(pa.array(texts), levels)
+                keys, texts, size = [], [], 0
+    if keys:
+        yield keys, LineSets(pa.array(texts), levels)
 
 
 def send(levels: np.ndarray, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -411,26 +433,22 @@ def strip(levels: np.ndarray, texts: bool) -> Callable[[pa.Table, pa.Table], pa.
         gone_of: dict[int, dict[int, set[int]]] = {}
         for d, ln, s in zip(*(gone.column(k).to_pylist() for k in ("xd", "xl", "xs")), strict=True):
             gone_of.setdefault(d, {}).setdefault(ln, set()).add(s)
+        # Ids may repeat: a line goes only if its set is the one meant.
+        drop: dict[int, set[int]] = {}
+        for keys, sets in _some_lines(docs, {d: set(x) for d, x in gone_of.items()}, levels):
+            for at, mark in zip(sets.doc.tolist(), sets.set.tolist(), strict=True):
+                row, name, k = keys[at]
+                if mark in gone_of[name][k]:
+                    drop.setdefault(row, set()).add(k)
         rows: list[list] = [[], [], [], []]
-        for batch in docs.combine_chunks().to_batches():
-            for part in slices(batch, "text"):
-                touched = [x is not None and x in gone_of for x in part.column("id").to_pylist()]
-                marks: dict[int, dict[int, int]] = {}
-                if any(touched):
-                    at = np.flatnonzero(touched)
-                    s = LineSets(part.column("text").take(pa.array(at)), levels)
-                    for i, ln, m in zip(at[s.doc].tolist(), s.place.tolist(), s.set.tolist(), strict=True):
-                        marks.setdefault(i, {})[ln] = m
-                for i, (doc, text) in enumerate(zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True)):
-                    lines = text.split("\n")
-                    if touched[i]:
-                        here, mine = gone_of[doc], marks.get(i, {})
-                        kept = [x for k, x in enumerate(lines) if not (k in here and mine.get(k) in here[k])]
-                    else:
-                        kept = lines
-                    body = "\n".join(kept)
-                    for x, y in zip(rows, (len(lines), len(lines) - len(kept), hashlib.sha256(body.encode()).hexdigest(), body), strict=True):
-                        x.append(y)
+        for row, text in enumerate(docs.column("text")):
+            body = text.as_py()
+            n = body.count("\n") + 1
+            less = drop.get(row, ())
+            if less:
+                body = "\n".join([x for k, x in enumerate(body.split("\n")) if k not in less])
+            for x, y in zip(rows, (n, len(less), hashlib.sha256(body.encode()).hexdigest(), body if texts else None), strict=True):
+                x.append(y)
         cols = [docs.column("id"), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), docs.column("rest")]
         names = ["id", "n_lines", "n_removed", "kept_sha256", "kept", "rest"]
         keep = [i for i, x in enumerate(names) if texts or x not in ("kept", "rest")]
@@ -449,8 +467,7 @@ def remove_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col: str =
     rest = F.struct(*spare) if spare else F.struct(F.lit(None).cast("int").alias("none"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), rest.alias("rest"))
     plain = rows.select("id", "text").where("id IS NOT NULL")
-    levels = rarity(plain)
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    levels, total = rarity(rows)
     buckets, groups = 1 + total // BUCKET_BYTES, 1 + total // GROUP_BYTES
 
     entries = plain.mapInArrow(prefixes(levels, buckets, cfg), PACKED).groupBy("bucket")
