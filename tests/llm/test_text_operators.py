@@ -369,3 +369,26 @@ def test_quality_on_held_out_rows(spark, none):
     assert np.mean(held) > 0.97
     assert quality.fit_quality(df, labels.limit(0), quality.fold() != 1) is None
     assert quality.score_quality(none, model).count() == 0
+
+
+def leaked(items: list[str], texts: list[str]) -> list[list]:
+    bench = decontamination.Bench(list(enumerate(items)), decontamination.TemplateConfig())
+    return bench.leaks(texts, decontamination.Canon())
+
+
+def test_items_of_few_literals():
+    items = [
+        "A train travels 60 km in 2 hours. How many km in 5 hours?",
+        "Convert 12 km 300 m to m and 45 min 20 s to s",
+        "What is 12 times 15?",
+        "The capital of France is Paris",
+        "In 1969 Neil Armstrong and Buzz Aldrin landed on the Moon with Apollo 11",
+        "Who wrote Hamlet?",
+        "2+2=?",
+    ]
+    around = [f"Some words stand before it. {t} Others come after it." for t in items]
+    assert leaked(items, [*items, *around]) == [[k] for k in range(7)] * 2
+    assert leaked(items, [t.upper() for t in items]) == [[k] for k in range(7)]
+    assert leaked(items, ["A train travels 80 km in 3 hours. How many km in 7 hours?", "Convert 7 km 100 m to m and 15 min 40 s to s"]) == [[0], [1]]
+    clean = ["- - - " * 20, "1 2 3 " * 50, "Anna Berta Carla " * 20, "so 2+2 makes four", "What is 13 times 15?", "", "The capital of France"]
+    assert leaked([*items, "- - -", "| --- | --- |", ""], clean) == [[]] * len(clean)

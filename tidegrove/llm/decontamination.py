@@ -10,10 +10,16 @@ round; windows that break this don't count.  A document leaks an item if
 ``enough`` tokens (or the whole item, if shorter) are covered, so questions with
 new numbers or names are caught as well as exact ones.
 
-A window counts only if it has ``literals`` tokens that are no placeholders.
-Items shorter than a window form one window of their length, down to ``shortest``
-tokens; shorter ones, and nulls, match nothing.  Null and empty documents leak
-nothing.  Repeated items and rows are treated alike.  Other columns pass
+A window counts if it has ``literals`` tokens that are no placeholders.  One of
+fewer counts if units of equal value make up for them and no window on its
+diagonal breaks the slots.  Windows of the plain lower-cased words are looked up
+as well: they need no literals and no slots, so verbatim copies are found in any
+case and however many numbers, units or names they have.
+
+Items shorter than a window form one window of their length, for placeholders
+down to ``shortest`` tokens.  Items shorter than that are found verbatim; those
+of one or two words only as a whole sentence or line.  Words of punctuation alone
+are left out.  Nulls match nothing.  Null and empty documents leak nothing.  Repeated items and rows are treated alike.  Other columns pass
 through; the added column is renamed if its name is taken.  Empty tables give
 empty results.
 """
@@ -62,14 +68,14 @@ class Canon:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.value, self.kind, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
+        self.value, self.kind, self.ends, self.bare = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool), np.zeros(1024, bool)
 
     def _add(self, word: str) -> int:
         import xxhash
 
         i = len(self.index)
         if i == len(self.kind):
-            self.value, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.value, self.kind, self.ends))
+            self.value, self.kind, self.ends, self.bare = (np.concatenate([x, np.zeros_like(x)]) for x in (self.value, self.kind, self.ends, self.bare))
         core = word.strip(_EDGE)
         low = core.lower()
         self.value[i] = xxhash.xxh64_intdigest(low.encode(), 1)
@@ -80,83 +86,174 @@ class Canon:
         elif core[:1].isupper() and core[1:] == core[1:].lower():
             self.kind[i] = NAME
         self.ends[i] = not core or word.rstrip("\"')]”’»*#$&%")[-1:] in (".", "!", "?", ":", "…")
+        self.bare[i] = not core
         self.index[word] = i
         return i
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each word: the hash of its token, its kind, its slot value.
+    def read(self, texts: list[str]) -> Words:
+        """The words of some texts, one text after the other.
 
         A capital makes a name unless the word opens the text, a line or a sentence."""
         if len(self.index) > self.MOST:
             self.clear()
-        get, add, at, opens = self.index.get, self._add, [], []
-        for line in text.split("\n"):
-            words = line.split()
-            if words:
-                opens.append(len(at))
-                at += [i if (i := get(w)) is not None else add(w) for w in words]
+        get, add, at, opens, counts = self.index.get, self._add, [], [], []
+        for text in texts:
+            before = len(at)
+            for line in text.split("\n"):
+                words = line.split()
+                if words:
+                    opens.append(len(at))
+                    at += [i if (i := get(w)) is not None else add(w) for w in words]
+            counts.append(len(at) - before)
         i = np.array(at, np.int64)
-        value, kind, ends = self.value[i], self.kind[i], self.ends[i]
         first = np.zeros(len(i), bool)
-        first[1:] = ends[:-1]
+        first[1:] = self.ends[i[:-1]]
         first[opens] = True
-        kind = np.where((kind == NAME) & first, LITERAL, kind)
-        token = np.where(kind == LITERAL, value, mix64(kind.astype(np.uint64)))
-        return token, kind, value
+        text, solid = np.repeat(np.arange(len(texts)), counts), ~self.bare[i]
+        i, first, text = i[solid], first[solid], text[solid]
+        kind = np.where((self.kind[i] == NAME) & first, LITERAL, self.kind[i])
+        return Words(self.value[i], first, text, kind)
 
 
-def _windows(token: np.ndarray, kind: np.ndarray, cfg: TemplateConfig, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the windows that count, and their hashes (of the size, too)."""
-    h = window_hashes(token, size) ^ np.uint64(size)
-    plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    at = np.flatnonzero(plain[size:] - plain[: len(plain) - size] >= min(cfg.literals, size)) if len(h) else np.zeros(0, np.int64)
-    return at, h[at]
+class Words:
+    """Words (hash, whether one opens a sentence, number of the text) and the tokens they make up.
+
+    Of a token: its hash, its kind, its slot value, its text and its first word."""
+
+    def __init__(self, value: np.ndarray, first: np.ndarray, text: np.ndarray, kind: np.ndarray):
+        self.value, self.first, self.text = value, first, text
+        self.kind, self.slot, self.owner = kind, value, text
+        self.start = np.arange(len(value) + 1)
+        self.token = np.where(self.kind == LITERAL, self.slot, mix64(self.kind.astype(np.uint64)))
+
+
+def _enough(words: Words, cfg: TemplateConfig, size: int) -> np.ndarray:
+    """Whether each window of tokens has so many literals and units that it may count."""
+    plain = np.concatenate([[0], np.cumsum((words.kind == LITERAL) | (words.kind == UNIT))])
+    return plain[size:] - plain[: len(plain) - size] >= min(cfg.literals, size)
+
+
+class _Windows:
+    """Windows of items, sorted by hash, with a table of leading bits that sees most other hashes off."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, int, np.ndarray, int]]):
+        h, item, at = (np.concatenate(x) for x in zip(*((h, np.full(len(h), k), at) for h, k, at, _ in parts), strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
+        order = np.argsort(h, kind="stable")
+        self.h, self.item, self.at = h[order], item[order], at[order]
+        self.sizes = sorted({size for *_, size in parts})
+        bits = min(24, max(12, (16 * len(h)).bit_length()))
+        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.seen[self.h >> self.shift] = True
+
+    def find(self, tokens: np.ndarray, owner: np.ndarray, size: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the windows of one text that are among these, and for each the index here."""
+        h = window_hashes(tokens, size) ^ np.uint64(size)
+        if not len(h):
+            return np.zeros(0, int), np.zeros(0, int)
+        may = self.seen[h >> self.shift] & (owner[size - 1 :] == owner[: len(h)])
+        at = np.flatnonzero(may if allowed is None else may & allowed)
+        low, high = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
+        n = high - low
+        return np.repeat(at, n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 class Bench:
-    """The windows of some items, sorted by hash."""
+    """The items' windows of tokens and of plain words."""
 
     def __init__(self, items: list[tuple[object, str | None]], cfg: TemplateConfig):
-        canon, self.items, parts = Canon(), [], []
+        canon, self.cfg, self.items = Canon(), cfg, []
+        tokens, plain = [], []
         for name, text in items:
-            token, kind, value = canon.read(text or "")
-            size = min(cfg.window, len(token))
-            if size < cfg.shortest:
+            words = canon.read([text or ""])
+            if not len(words.value):
                 continue
-            at, h = _windows(token, kind, cfg, size)
-            parts.append((h, np.full(len(at), len(self.items)), at))
-            self.items.append((name, token, kind, value, size))
-        h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.at = h[order], item[order], at[order]
-        self.sizes = sorted({x[4] for x in self.items})
-
-    def leaks(self, text: str, canon: Canon, cfg: TemplateConfig) -> list:
-        """Names of the items that the text leaks."""
-        token, kind, value = canon.read(text)
-        diagonals: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for size in self.sizes:
-            if len(token) < size:
-                continue
-            at, h = _windows(token, kind, cfg, size)
-            low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-            for k in np.flatnonzero(high > low).tolist():
-                for j in range(int(low[k]), int(high[k])):
-                    diagonals[int(self.item[j]), int(at[k]) - int(self.at[j])].append(int(self.at[j]))
-        found = {}
-        for (item, shift), places in diagonals.items():
-            name, _, kinds, values, size = self.items[item]
-            need = min(cfg.enough, len(kinds))
-            covered, here, there = set(), {}, {}
-            for p in sorted(set(places)):
-                slots = [(int(values[q]), int(value[q + shift])) for q in range(p, p + size) if kinds[q] != LITERAL]
+            k = len(self.items)
+            size = min(cfg.window, len(words.value))
+            h = window_hashes(words.value, size) ^ np.uint64(size)
+            plain.append((h, k, np.arange(len(h)), size))
+            size = min(cfg.window, len(words.token))
+            if size >= cfg.shortest:
+                at = np.flatnonzero(_enough(words, cfg, size))
+                tokens.append(((window_hashes(words.token, size) ^ np.uint64(size))[at], k, at, size))
+            self.items.append((name, words))
+        self.tokens, self.plain = _Windows(tokens), _Windows(plain)
+
+    def leaks(self, texts: list[str], canon: Canon) -> list[list]:
+        """Of each text the names of the items that it leaks."""
+        cfg, words = self.cfg, canon.read(texts)
+        # Of a text and an item: (shift, place in the item, size, place in the text, or -1 for plain words).
+        found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
+        for size in self.plain.sizes:
+            at, j = self.plain.find(words.value, words.text, size)
+            for p, item, q in zip(at.tolist(), self.plain.item[j].tolist(), self.plain.at[j].tolist(), strict=True):
+                if size > 2 or words.first[p] and (p + size == len(words.first) or words.first[p + size]):
+                    found[int(words.text[p]), item].append((p - q, q, size, -1))
+        for size in self.tokens.sizes:
+            at, j = self.tokens.find(words.token, words.owner, size, _enough(words, cfg, size))
+            for p, item, q in zip(at.tolist(), self.tokens.item[j].tolist(), self.tokens.at[j].tolist(), strict=True):
+                found[int(words.owner[p]), item].append((int(words.start[p] - self.items[item][1].start[q]), q, size, p))
+        out: list[list] = [[] for _ in texts]
+        for text, item in sorted(found):
+            name, theirs = self.items[item]
+            if self._leaked(theirs, words, found[text, item]):
+                out[text].append(name)
+        return out
+
+    def _leaked(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]]) -> bool:
+        diagonals = defaultdict(list)
+        for m in matches:
+            diagonals[m[0]].append(m)
+        return any(self._covered(item, words, some) for some in diagonals.values())
+
+    def _covered(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]]) -> bool:
+        need = min(self.cfg.enough, len(item.value))
+        covered: set[int] = set()
+        windows = []
+        for _, q, size, p in sorted(matches):
+            if p < 0:
+                covered.update(range(q, q + size))
+            else:
+                windows.append((q, size, p))
+        if len(covered) >= need:
+            return True
+        more = set(covered)
+        for some, strict in ((covered, False), (more, True)):
+            here, there, broken = {}, {}, False
+            for q, size, p in sorted(windows):
+                slots = [s for k in range(size) if item.kind[q + k] != LITERAL for s in self._slots(item, q + k, words, p + k)]
+                same = int((item.slot[q : q + size] == words.slot[p : p + size]).sum()) if strict else int((item.kind[q : q + size] == LITERAL).sum())
+                if same < min(self.cfg.literals, size):
+                    continue
                 if all(here.get(a, b) == b and there.get(b, a) == a for a, b in slots) and len({a for a, _ in slots}) == len({b for _, b in slots}) == len(set(slots)):
                     here.update(slots)
                     there.update((b, a) for a, b in slots)
-                    covered.update(range(p, p + size))
-            if len(covered) >= need:
-                found[item] = name
-        return [found[k] for k in sorted(found)]
+                    some.update(range(int(item.start[q]), int(item.start[q + size])))
+                else:
+                    broken = True
+            if len(some) >= need and not (strict and broken):
+                return True
+        return False
+
+    @staticmethod
+    def _slots(item: Words, q: int, words: Words, p: int) -> list[tuple[int, int]]:
+        return [(int(item.slot[q]), int(words.slot[p]))]
+
+
+#: Characters of text whose windows are looked up together.
+TOGETHER = 1 << 18
+
+
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in runs of about ``TOGETHER`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: TemplateConfig = TemplateConfig(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks") -> tuple[DataFrame, str]:
@@ -177,7 +274,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: TemplateConfig = Temp
             bench, canon = Bench(items, cfg), Canon()
             for batch in batches:
                 for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                    found = [bench.leaks(t.as_py() or "", canon, cfg) for t in part.column(at).cast(pa.string())]
+                    texts = [t or "" for t in part.column(at).cast(pa.string()).to_pylist()]
+                    found = [x for some in _runs(texts) for x in bench.leaks(some, canon)]
                     columns = list(part.columns)
                     if more:
                         found = [a + b for a, b in zip(columns.pop().to_pylist(), found, strict=True)]
