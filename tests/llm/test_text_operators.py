@@ -392,3 +392,12 @@ def test_items_of_few_literals():
     assert leaked(items, ["A train travels 80 km in 3 hours. How many km in 7 hours?", "Convert 7 km 100 m to m and 15 min 40 s to s"]) == [[0], [1]]
     clean = ["- - - " * 20, "1 2 3 " * 50, "Anna Berta Carla " * 20, "so 2+2 makes four", "What is 13 times 15?", "", "The capital of France"]
     assert leaked([*items, "- - -", "| --- | --- |", ""], clean) == [[]] * len(clean)
+
+
+def test_items_in_other_case_and_with_longer_names():
+    question = "The train leaves Boston at 15 km per hour and Alice counts 15 red apples while Boston sleeps under 7 blue lamps tonight."
+    longer = question.replace("Alice", "Mary Jane").replace("Boston", "New York")
+    texts = [question.lower(), question.upper(), longer, question.replace("15 km", "9").replace("15 red", "9 red")]
+    assert leaked([question], texts) == [[0]] * 4
+    pieces = "Red small birds sing sweet songs near water with Alice and then other grey birds fly over dark hills today"
+    assert leaked([pieces], ["So it went: " + pieces.replace("with Alice and", "beside x y z and")]) == [[0]]

@@ -1,13 +1,15 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are stripped of edge punctuation and lower-cased; numbers, names and units
-become typed placeholders, which keep their value as a slot.  Windows of
-``window`` such tokens of every benchmark item are hashed; windows of documents
+become typed placeholders, which keep their value as a slot.  Names in a row are
+one placeholder, and so are a number and its unit.  Windows of ``window`` such tokens of every benchmark item are hashed; windows of documents
 are looked up among them.  Matches of one document and item that lie on one
 diagonal are gathered: the tokens they cover and their slots.  A slot value of
 the item must stand for one value of the document throughout, and the other way
-round; windows that break this don't count.  A document leaks an item if
-``enough`` tokens (or the whole item, if shorter) are covered, so questions with
+round; windows that break this don't count.  Where no diagonal
+is enough, those at most ``drift`` words apart from the next are added up, as a
+slot may have grown or shrunk between them.  A document leaks an item if
+``enough`` words (or the whole item, if shorter) are covered, so questions with
 new numbers or names are caught as well as exact ones.
 
 A window counts if it has ``literals`` tokens that are no placeholders.  One of
@@ -49,6 +51,7 @@ class TemplateConfig:
     enough: int = 12
     shortest: int = 5
     block: int = 50_000
+    drift: int = 4
 
 
 #: Units that follow a number or stand alone.
@@ -122,14 +125,28 @@ class Words:
 
     def __init__(self, value: np.ndarray, first: np.ndarray, text: np.ndarray, kind: np.ndarray):
         self.value, self.first, self.text = value, first, text
-        self.kind, self.slot, self.owner = kind, value, text
-        self.start = np.arange(len(value) + 1)
+        joins = np.zeros(len(kind), bool)
+        names = (kind[1:] == NAME) & (kind[:-1] == NAME)
+        units = (kind[1:] == UNIT) & (kind[:-1] == NUMBER) & ~first[1:]
+        joins[1:] = names | units
+        at = np.flatnonzero(~joins)
+        self.start = np.append(at, len(value))
+        self.kind, self.owner = kind[at], text[at]
+        # A number and its unit are two slots, so that a number has one value with and without a unit.
+        self.unit = np.zeros(len(at), np.uint64)
+        with_unit = (self.kind == NUMBER) & (np.diff(self.start) > 1)
+        self.unit[with_unit] = value[at[with_unit] + 1]
+        self.slot = value[at]
+        several = (self.kind == NAME) & (np.diff(self.start) > 1)
+        if several.any():
+            place = np.arange(len(value)) - np.repeat(at, np.diff(self.start))
+            self.slot[several] = np.add.reduceat(mix64(value + place.astype(np.uint64)), at)[several]
         self.token = np.where(self.kind == LITERAL, self.slot, mix64(self.kind.astype(np.uint64)))
 
 
 def _enough(words: Words, cfg: TemplateConfig, size: int) -> np.ndarray:
     """Whether each window of tokens has so many literals and units that it may count."""
-    plain = np.concatenate([[0], np.cumsum((words.kind == LITERAL) | (words.kind == UNIT))])
+    plain = np.concatenate([[0], np.cumsum((words.kind == LITERAL) | (words.kind == UNIT) | (words.unit > 0))])
     return plain[size:] - plain[: len(plain) - size] >= min(cfg.literals, size)
 
 
@@ -203,7 +220,15 @@ class Bench:
         diagonals = defaultdict(list)
         for m in matches:
             diagonals[m[0]].append(m)
-        return any(self._covered(item, words, some) for some in diagonals.values())
+        if any(self._covered(item, words, some) for some in diagonals.values()):
+            return True
+        shifts = sorted(diagonals)
+        groups = [[shifts[0]]]
+        for a, b in zip(shifts, shifts[1:]):
+            if b - a > self.cfg.drift:
+                groups.append([])
+            groups[-1].append(b)
+        return any(len(g) > 1 and self._covered(item, words, [m for x in g for m in diagonals[x]]) for g in groups)
 
     def _covered(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]]) -> bool:
         need = min(self.cfg.enough, len(item.value))
@@ -221,7 +246,7 @@ class Bench:
             here, there, broken = {}, {}, False
             for q, size, p in sorted(windows):
                 slots = [s for k in range(size) if item.kind[q + k] != LITERAL for s in self._slots(item, q + k, words, p + k)]
-                same = int((item.slot[q : q + size] == words.slot[p : p + size]).sum()) if strict else int((item.kind[q : q + size] == LITERAL).sum())
+                same = self._same(item, q, words, p, size) if strict else int((item.kind[q : q + size] == LITERAL).sum())
                 if same < min(self.cfg.literals, size):
                     continue
                 if all(here.get(a, b) == b and there.get(b, a) == a for a, b in slots) and len({a for a, _ in slots}) == len({b for _, b in slots}) == len(set(slots)):
@@ -234,9 +259,16 @@ class Bench:
                 return True
         return False
 
+    @staticmethod
+    def _same(item: Words, q: int, words: Words, p: int, size: int) -> int:
+        """Tokens of equal value, or numbers of equal unit."""
+        one, other = item.unit[q : q + size], words.unit[p : p + size]
+        return int(((one == other) & ((one > 0) | (item.slot[q : q + size] == words.slot[p : p + size]))).sum())
+
     @staticmethod
     def _slots(item: Words, q: int, words: Words, p: int) -> list[tuple[int, int]]:
-        return [(int(item.slot[q]), int(words.slot[p]))]
+        pairs = [(int(item.slot[q]), int(words.slot[p]))]
+        return [*pairs, (int(item.unit[q]), int(words.unit[p]))] if item.unit[q] and words.unit[p] else pairs
 
 
 #: Characters of text whose windows are looked up together.
