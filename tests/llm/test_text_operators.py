@@ -401,3 +401,15 @@ def test_items_in_other_case_and_with_longer_names():
     assert leaked([question], texts) == [[0]] * 4
     pieces = "Red small birds sing sweet songs near water with Alice and then other grey birds fly over dark hills today"
     assert leaked([pieces], ["So it went: " + pieces.replace("with Alice and", "beside x y z and")]) == [[0]]
+
+
+def random_found(text: str) -> list[str]:
+    return [text[a:b] for a, _, b in secret_scan.random_spans(text, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={}), 1.9)]
+
+
+def test_random_strings_after_equals_signs():
+    secret = "qX7Zt2Lw8Rv4Bn6Mc1Hy3Jd5Kf9Gs0Pw2Ax8Vu4Te"
+    for text in ("DB_PASS={}", "export STRIPE_KEY={}", "https://example.org/a?sig={}&x=1", "key: {}", "a={}\n", "x == {} == y", "{}=1", "a==={}==="):
+        assert [x.rstrip("=") for x in random_found(text.format(secret))] == [secret]
+    assert random_found(f"a={secret}==") == [secret + "=="]
+    assert random_found("name=some_long_identifier_name_here id=123e4567-e89b-12d3-a456-426614174000") == []
