@@ -404,7 +404,7 @@ def test_items_in_other_case_and_with_longer_names():
 
 
 def random_found(text: str) -> list[str]:
-    return [text[a:b] for a, _, b in secret_scan.random_spans(text, tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={}), 1.9)]
+    return [text[a:b] for a, _, b in secret_scan.random_spans(text, secret_scan._vocabulary(PATH, PATTERN), 1.9)]
 
 
 def test_random_strings_after_equals_signs():
@@ -413,3 +413,12 @@ def test_random_strings_after_equals_signs():
         assert [x.rstrip("=") for x in random_found(text.format(secret))] == [secret]
     assert random_found(f"a={secret}==") == [secret + "=="]
     assert random_found("name=some_long_identifier_name_here id=123e4567-e89b-12d3-a456-426614174000") == []
+
+
+def test_random_letters_are_no_identifiers():
+    rng = random.Random(5)
+    letters = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    low = [letters(32) for _ in range(200)]
+    for some in (low, [x.upper() for x in low], ["-".join(letters(5) for _ in range(6)) for _ in range(200)], ["_".join(letters(6) for _ in range(5)) for _ in range(200)]):
+        assert sum(random_found(x) == [x] for x in some) >= 150
+    assert random_found("DEFAULT_CONNECTION_TIMEOUT_SECONDS AbstractSingletonProxyFactoryBean get_user_account_information state-of-the-art-technology ====================") == []

@@ -60,16 +60,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def harmless(run: str) -> bool:
+def harmless(run: str, vocabulary, most_ratio: float) -> bool:
     """Digests of the usual lengths, UUIDs, numbers, and identifiers of words and short numbers.
 
     An identifier's parts are cut at signs, at a capital after a small letter and
     at a digit after a letter; random strings fall apart into many such parts, so
-    a name's parts must be three characters long on average."""
+    a name's parts must be three characters long on average.  The letters of its
+    parts, made small, must take few tokens themselves, as words do."""
     if _DIGEST.match(run) and len(run) in _DIGEST_LENGTHS or _UUID.match(run) or run.isdigit():
         return True
     parts = [p for p in _HUMP.split(run) if p]
-    return len(run) >= 3 * len(parts) and all(_WORDS.match(p) for p in parts)
+    if len(run) < 3 * len(parts) or not all(_WORDS.match(p) for p in parts):
+        return False
+    words = [p.lower() for p in parts if p.isalpha()]
+    return sum(map(len, words)) > most_ratio * sum(len(vocabulary.encode_ordinary(w)) for w in words)
 
 
 @lru_cache(2)
@@ -84,7 +88,7 @@ def random_spans(text: str, vocabulary, most_ratio: float) -> list[tuple[int, in
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
-        if not harmless(run) and len(run) <= most_ratio * len(vocabulary.encode_ordinary(run)):
+        if not harmless(run, vocabulary, most_ratio) and len(run) <= most_ratio * len(vocabulary.encode_ordinary(run)):
             out.append((m.start(), 3, m.end()))
     return out
 
