@@ -105,6 +105,24 @@ def test_distributed_trees_equal_local_ones(frame):
     assert any(t.left[0] >= 0 for t in local.trees)
 
 
+@pytest.mark.parametrize("objective", ["logistic", "squared"])
+def test_held_table_and_samples_are_the_same_over_the_cluster(frame, objective):
+    s = replace(QUICK, trees=45, depth=2, subsample=0.7, colsample=0.7, patience=1, objective=objective, learning_rate=0.9)
+    train = frame.where("row_id % 3 > 0")
+    held = frame.where("row_id % 3 = 0").withColumn("label", F.when(F.col("row_id") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    local, spread = (fit(train, NAMES, "label", "row_id", s, held, distributed=d) for d in (False, True))
+    assert local.history and len(local.trees) == len(spread.trees) < 45
+    assert np.allclose(local.history, spread.history) and np.isclose(local.best_score, spread.best_score)
+    for a, b in zip(local.trees, spread.trees):
+        assert (a.feature, a.threshold, a.left) == (b.feature, b.threshold, b.left)
+        assert np.allclose(a.value, b.value)
+
+
+def test_no_gradient_no_trees_over_the_cluster(frame):
+    s = replace(QUICK, trees=2, objective="squared")
+    assert [fit(frame.withColumn("label", F.lit(2.0)), NAMES, "label", "row_id", s, distributed=d).trees for d in (False, True)] == [[], []]
+
+
 def test_transform_and_tables(spark, frame, tmp_path):
     model = fit(frame, NAMES, "label", "row_id", QUICK)
     scored = model.transform(frame, "p", spread="sd").orderBy("row_id").toPandas()

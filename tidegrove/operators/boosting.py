@@ -18,6 +18,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -491,8 +492,9 @@ def _score(s: BoostSettings, margin: np.ndarray, y: np.ndarray) -> float:
     return -float(np.sqrt(np.mean((value - y) ** 2)))
 
 
-def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSettings, evaluate: tuple[np.ndarray, np.ndarray] | None = None, start: BoostModel | None = None) -> BoostModel:
-    """Train in this process.  ``start``: go on from a model (its bins are kept, its trees stay)."""
+def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSettings, evaluate: tuple[np.ndarray, np.ndarray] | None = None, start: BoostModel | None = None, ids: np.ndarray | None = None) -> BoostModel:
+    """Train in this process.  ``start``: go on from a model (its bins are kept, its trees stay).
+    ``ids``: hashes of the rows' ids, by which row samples are then drawn as over the cluster."""
     model = BoostModel(s, fit_bins_local(x, features, s.bins), base_score(s, len(y), float(y.sum()), float((y > 0.5).sum())), []) if start is None else replace(start, settings=replace(s, learning_rate=start.settings.learning_rate), trees=list(start.trees))
     weight = 1.0 if start is None else s.learning_rate / start.settings.learning_rate
     bins = model.bins.transform(x)
@@ -503,7 +505,10 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
     widths, before, stopper = model.bins.widths, len(model.trees), _Stopper(s)
     n, k = len(y), len(features)
     for i in range(s.trees):
-        rows = np.sort(rng.permutation(n)[: max(1, int(s.subsample * n))]) if s.subsample < 1 else np.arange(n)
+        if s.subsample < 1 and ids is not None:
+            rows = np.flatnonzero(sampled(ids, i, s))
+        else:
+            rows = np.sort(rng.permutation(n)[: max(1, int(s.subsample * n))]) if s.subsample < 1 else np.arange(n)
         columns = sorted(rng.permutation(k)[: max(1, int(s.colsample * k))].tolist()) if s.colsample < 1 else list(range(k))
         g, h = derivatives(s, margin, y)
         if i % 100 == 0 and np.sqrt((g * g).sum()) < 0.001:
@@ -524,28 +529,105 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
     return model
 
 
-def fit_spark(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSettings) -> BoostModel:
+_P = tuple(np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _xxhash(x: np.ndarray, seed: np.ndarray, size: int) -> np.ndarray:
+    """Spark's ``xxhash64`` of integers of 4 or 8 bytes, going on from ``seed``."""
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = seed + _P[4] + np.uint64(size)
+    if size == 8:
+        h = turn(h ^ turn(x * _P[1], 31) * _P[0], 27) * _P[0] + _P[3]
+    else:
+        h = turn(h ^ (x & np.uint64(0xFFFFFFFF)) * _P[0], 23) * _P[1] + _P[2]
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return h ^ (h >> np.uint64(32))
+
+
+def sampled(ids: np.ndarray, tree: int, s: BoostSettings) -> np.ndarray:
+    """Whether each row (hash of its id) is in the sample of a tree: the test of ``fit_spark`` in numpy."""
+    h = np.full(len(ids), 42, np.uint64)
+    for x, size in ((np.asarray(ids).astype(np.int64).view(np.uint64), 8), (tree, 4), (s.seed, 4 if -(2**31) <= s.seed < 2**31 else 8)):
+        h = _xxhash(x if isinstance(x, np.ndarray) else np.full(len(ids), x, np.int64).view(np.uint64), h, size)
+    return h.view(np.int64) % 1_000_000 < int(s.subsample * 1_000_000)
+
+
+def _gradient_norm(rows: DataFrame, s: BoostSettings) -> float:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, margin = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            g, _ = derivatives(s, margin, y)
+            yield pa.RecordBatch.from_arrays([pa.array([float((g * g).sum())])], names=["g"])
+
+    return math.sqrt(rows.select("y", "margin").mapInArrow(run, "g double").agg(F.sum("g")).first()[0] or 0.0)
+
+
+def _score_spark(held: DataFrame, s: BoostSettings) -> float:
+    """``_score`` of a table of margins; equal margins are in the order of the row id, as in ``fit_local``."""
+    if s.objective != "logistic":
+        value = F.exp(F.least("margin", F.lit(700.0))) if s.objective == "poisson" and not s.compat else F.col("margin")
+        return -math.sqrt(held.agg(F.avg((value - F.col("y")) * (value - F.col("y")))).first()[0])
+    # Sorted once; counts of the parts before give each part its first rank.
+    ranked = held.orderBy(F.desc("margin"), "row").select("y").checkpoint()
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = hits = 0
+        for batch in batches:
+            y = batch.column(0).to_numpy(zero_copy_only=False)
+            n, hits = n + len(y), hits + int((y > 0.5).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (TaskContext.get().partitionId(), n, hits)], names=["part", "n", "hits"])
+
+    before, n, hits = {}, 0, 0
+    for r in sorted(ranked.mapInArrow(counts, "part long, n long, hits long").collect()):
+        before[r.part] = (n, hits)
+        n, hits = n + r.n, hits + r.hits
+
+    def precision(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, hits = before.get(TaskContext.get().partitionId(), (0, 0))
+        for batch in batches:
+            hit = batch.column(0).to_numpy(zero_copy_only=False) > 0.5
+            at = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array([float(((hits + np.arange(1, len(at) + 1)) / (n + at + 1)).sum())])], names=["p"])
+            n, hits = n + len(hit), hits + len(at)
+
+    return ranked.mapInArrow(precision, "p double").agg(F.sum("p")).first()[0] / hits if hits else 0.0
+
+
+def fit_spark(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSettings, evaluate: DataFrame | None = None) -> BoostModel:
     """Train on a DataFrame that need not fit one machine: a job per level of each tree.
 
     Row samples are hashes of the row id, so they need no shuffle and repeat on retry.
     Margins are recomputed from the trees in the pass that makes the histograms; every
-    ``KEEP`` trees they are checkpointed, which cuts lineage and survives lost executors."""
+    ``KEEP`` trees they are checkpointed, which cuts lineage and survives lost executors.
+    Margins of ``evaluate`` are brought up to date and checkpointed whenever a score is due."""
     bins = fit_bins(df, features, s.bins)
     y = F.col(label).cast("double")
     n, total, positive = df.agg(F.count("*"), F.sum(y), F.count(F.when(y > 0.5, 1))).first()
     model = BoostModel(s, bins, base_score(s, n, total or 0.0, positive), [])
     rng = np.random.default_rng(s.seed)
     rows = _with_margins(df.select(F.xxhash64(row_id).alias("row"), y.alias("y"), *features), features, model).checkpoint()
-    done = 0
+    held = None if evaluate is None else _with_margins(evaluate.select(F.col(row_id).alias("row"), y.alias("y"), *features), features, model).checkpoint()
+    stopper, done, scored = _Stopper(s), 0, 0
     for i in range(s.trees):
         columns = sorted(rng.permutation(len(features))[: max(1, int(s.colsample * len(features)))].tolist()) if s.colsample < 1 else list(range(len(features)))
         fresh = BoostModel(s, bins, 0.0, model.trees[done:])
         chosen = F.pmod(F.xxhash64(F.col("row"), F.lit(i), F.lit(s.seed)), F.lit(1_000_000)) < int(s.subsample * 1_000_000)
+        if i % 100 == 0 and _gradient_norm(_add_margins(rows, fresh, s), s) < 0.001:
+            break
         now = _add_margins(rows, fresh, s).withColumn("in_tree", chosen if s.subsample < 1 else F.lit(True))
         model.trees.append(grow(SparkRows(now, bins.widths, s), s, columns))
+        if held is not None and stopper.due(i):
+            held = _add_margins(held, BoostModel(s, bins, 0.0, model.trees[scored:]), s, clip=False).checkpoint()
+            scored = len(model.trees)
+            if stopper.stop(i, _score_spark(held, s)):
+                break
         if (i + 1) % KEEP == 0 and i + 1 < s.trees:
             rows = _add_margins(rows, BoostModel(s, bins, 0.0, model.trees[done:]), s).checkpoint()
             done = len(model.trees)
+    if stopper.history:
+        model.trees = model.trees[: stopper.at + 1]
+        model.best_score, model.history = stopper.best, stopper.history
     return model
 
 
@@ -563,10 +645,10 @@ def _with_margins(df: DataFrame, features: list[str], model: BoostModel) -> Data
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * len(features)), pa.array(found.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(1), pa.array(np.full(len(found), base))], names=["row", "bins", "y", "margin"])
 
-    return df.mapInArrow(run, "row long, bins array<short>, y double, margin double")
+    return df.mapInArrow(run, f"row {dict(df.dtypes)['row']}, bins array<short>, y double, margin double")
 
 
-def _add_margins(rows: DataFrame, model: BoostModel, s: BoostSettings) -> DataFrame:
+def _add_margins(rows: DataFrame, model: BoostModel, s: BoostSettings, clip: bool = True) -> DataFrame:
     if not model.trees:
         return rows
     features = len(model.bins.features)
@@ -577,11 +659,11 @@ def _add_margins(rows: DataFrame, model: BoostModel, s: BoostSettings) -> DataFr
             margin = batch.column(3).to_numpy(zero_copy_only=False).copy()
             for t in model.trees:
                 margin += s.learning_rate * t.weight * t.predict(bins)
-                if s.objective == "logistic":
+                if clip and s.objective == "logistic":
                     np.clip(margin, -MARGIN, MARGIN, out=margin)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(margin)], names=["row", "bins", "y", "margin"])
 
-    return rows.mapInArrow(run, "row long, bins array<short>, y double, margin double")
+    return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, bins array<short>, y double, margin double")
 
 
 def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSettings | None = None, evaluate: DataFrame | None = None, distributed: bool | None = None) -> BoostModel:
@@ -601,10 +683,11 @@ def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSet
         from tidegrove.sources.tables import ready_checkpoints
 
         ready_checkpoints(df.sparkSession)
-        return fit_spark(known, features, label, row_id, s)
+        return fit_spark(known, features, label, row_id, s, None if evaluate is None else evaluate.where(F.col(label).isNotNull()))
     x, y = matrix(known.orderBy(row_id), features, label)
+    ids = known.orderBy(row_id).select(F.xxhash64(row_id).alias("row")).toArrow().column(0).to_numpy() if s.subsample < 1 else None
     held = None if evaluate is None else matrix(evaluate.where(F.col(label).isNotNull()).orderBy(row_id), features, label)
-    return fit_local(x, y, features, s, held)
+    return fit_local(x, y, features, s, held, ids=ids)
 
 
 def matrix(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
