@@ -422,3 +422,9 @@ def test_random_letters_are_no_identifiers():
     for some in (low, [x.upper() for x in low], ["-".join(letters(5) for _ in range(6)) for _ in range(200)], ["_".join(letters(6) for _ in range(5)) for _ in range(200)]):
         assert sum(random_found(x) == [x] for x in some) >= 150
     assert random_found("DEFAULT_CONNECTION_TIMEOUT_SECONDS AbstractSingletonProxyFactoryBean get_user_account_information state-of-the-art-technology ====================") == []
+
+
+def test_keep_one_with_repeated_ids(spark):
+    rows = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "far away stands a small house"), (2, "far away stands a small house")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted({rows[0], rows[1], rows[3]})

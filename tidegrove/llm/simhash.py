@@ -236,13 +236,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, r: int = 4) -> DataFrame:
-    """Of each component the row of least id (any one of them if the id repeats).
+    """Of each component the row of least id (and of them that of least hash of the text, if the id repeats).
 
-    Rows with a null id are told apart by their text and come after all others."""
+    Rows are told apart by id and text; those with a null id come after all others."""
     key = free_name(docs, "key")
     # Beyond any id below 2**62; equal texts are near-duplicates anyway.
     stand_in = F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 2).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), stand_in))
+    first_id = F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id")
+    keyed = docs.withColumn(key, F.struct(first_id, F.xxhash64(F.col(text_col)).alias("text")))
     found = near_duplicates(keyed, key, text_col, size, r)
     stay = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     first = free_name(keyed, "first")
