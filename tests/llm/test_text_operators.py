@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -140,9 +141,11 @@ def test_group_of_is_sparks_hash(spark):
     assert (substring_dedup.group_of(df["id"].values, 97) == df["g"].values).all()
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_line_dedup(docs, none, small, monkeypatch):
+@pytest.mark.parametrize(("small", "large"), [(48, 1024), (2, 1024), (2, 3)])
+def test_line_dedup(docs, none, small, large, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", small)
+    monkeypatch.setattr(line_dedup, "LARGE", large)
+    monkeypatch.setattr(line_dedup, "FIRST_RUN", 2 if large == 3 else 64)
     cfg = line_dedup.LineConfig(similarity=Fraction(1, 2) if small == 2 else Fraction(4, 5))
     sets = []
     for k, (i, t) in enumerate(corpus()):
@@ -182,6 +185,40 @@ def test_line_candidates_beyond_the_first_tries(spark):
         assert got[i] == int(any(5 * len(s & o) >= 4 * len(s | o) for o in sets[:i]))
 
 
+def test_many_lines_of_one_template():
+    """A posting of very many lines: none similar, all similar, and lines of the same rare words that differ in others."""
+    cfg, rng = line_dedup.LineConfig(), random.Random(6)
+    words = lambda i, n, k: [f"t{j}" for j in range(n)] + [f"v{i}.{j}" for j in range(k)]
+    for n, k, similar in ((7, 1, False), (9, 1, True), (20, 2, True), (11, 3, False)):
+        lines = [" ".join(words(i, n, k)) for i in range(20_000)]
+        batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(lines)), pa.int64()), "text": lines})
+        levels = np.zeros(line_dedup.SLOTS, np.uint8)
+        # Template words are frequent.
+        for h, *_ in [line_dedup._words(pa.array([" ".join(f"t{j}" for j in range(n))]))]:
+            levels[(h >> np.uint64(44)).astype(np.int64)] = 100
+        table = pa.Table.from_batches(list(line_dedup.prefixes(levels, 1, cfg)([batch])))
+        classes = line_dedup._Classes(table)
+        found = list(classes.best(cfg))
+        later = np.unique(np.concatenate([x for x, _, _ in found])) if found else np.zeros(0, int)
+        # All but the first of a word's list have a candidate, or none has (but for chance hits of the bitmap).
+        if similar:
+            assert len({int(d) for d in classes.docs[later]}) == len(lines) - 1
+        else:
+            assert not len(later)
+    # Lines that share their rarest words, but differ in frequent ones.
+    lines = [" ".join([*(f"r{j}" for j in range(16)), *rng.sample([f"c{j}" for j in range(60)], 4)]) for _ in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(len(lines)), pa.int64()), "text": lines})
+    levels = np.zeros(line_dedup.SLOTS, np.uint8)
+    classes = line_dedup._Classes(pa.Table.from_batches(list(line_dedup.prefixes(levels, 1, cfg)([batch]))))
+    got = {(int(classes.docs[a]), int(classes.docs[b])) for x, y in classes.all(cfg, np.ones(len(classes.docs), bool)) for a, b in zip(x, y, strict=True)}
+    sets = [frozenset(t.split()) for t in lines]
+    want = {(i, j) for i in range(0, 3000, 10) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    same = {frozenset(x) for x in sets}
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    assert len(same) > 2900 and want
+    assert all((i, j) in got for i, j in want if first[sets[i]] == i and first[sets[j]] == j)
+
+
 def slow_print(text: str) -> int:
     words = text.encode().lower().split()
     shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

@@ -9,18 +9,24 @@ fixed size (words that share a slot share its count: any order gives the same
 result, a good one short lists).  Two lines that are similar enough share one of
 their first, rarest words, and there:
 
-* lines of the same set are seen at once, and only the first of them goes on;
+* lines of the same set are seen at once, those of one task before anything is
+  sent, and only the first of them goes on;
 * others are candidates if length, position and a 128-bit bitmap of their sets
   allow the overlap needed; a line proposes the ``tries`` most promising earlier
   one or ones, which are verified on the word sets themselves;
+* in the list of a word that many lines share, lines are compared by classes of
+  length and position, so that those which cannot match never meet, and a line
+  stops at the first run of earlier lines that holds a candidate;
 * a line with more candidates, none of those proposed being similar enough, is
   looked up again with all of them.
 
 So a group of m similar lines costs a few verifications a line, not m * m, and
-no candidate is lost.  Word sets are of 48-bit hashes or longer ones.
+no candidate is lost; no more pairs than a fixed number are held at once.  Word
+sets are of 48-bit hashes or longer ones.
 
-Null and empty texts have no lines to remove.  Rows that share an id do not
-count as earlier than each other, nor do null ids, which lose nothing.  Columns
+Null and empty texts have no lines to remove.  Of rows that share an id a line is
+earlier than those of later places, in either row; lines of one place are not
+earlier than each other.  Rows with a null id lose nothing and count for nothing.  Columns
 besides the id and the text are ignored, whatever their names.  An empty table
 gives an empty result.
 """
@@ -47,8 +53,12 @@ SLOTS = 1 << 20
 CHUNKS = 64
 #: Text bytes per bucket of prefixes, and per group of documents.
 BUCKET_BYTES, GROUP_BYTES = 9 << 20, 6 << 20
-#: Postings of at most this many sets are compared together, longer ones one by one.
-SMALL = 48
+#: Postings of at most this many sets are compared together, longer ones one by one, those of more than ``LARGE`` by classes.
+SMALL, LARGE = 48, 1024
+#: Pairs compared at once, and earlier lines of a large posting that a line is compared with first.
+PAIRS, FIRST_RUN = 1 << 20, 64
+#: Sets of lines that a task remembers, to see repeats off.
+REMEMBERED = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -148,7 +158,8 @@ class LineSets:
         self.line = line[self.lead]
         self.n = np.diff(np.r_[self.lead, len(line)])
         mixed = mix64(self.key)
-        self.set = (np.add.reduceat(mixed, self.lead) >> np.uint64(7)).astype(np.uint32) if len(line) else np.zeros(0, np.uint32)
+        self.sum = np.add.reduceat(mixed, self.lead) if len(line) else np.zeros(0, np.uint64)
+        self.set = (self.sum >> np.uint64(7)).astype(np.uint32)
         # Each word flips one of 128 bits, so the bits in which two sets differ are at most the words they don't share.
         bit = np.uint64(1) << ((mixed >> np.uint64(58)) & np.uint64(63))
         half = (mixed >> np.uint64(57)) & np.uint64(1)
@@ -166,22 +177,45 @@ def _spread(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed >> np.uint64(32), mixed.astype(np.uint32)
 
 
+class _Seen:
+    """A task's lines by their sets: which of new ones repeat an earlier line."""
+
+    def __init__(self) -> None:
+        self.first: dict[int, tuple[int, int]] = {}
+
+    def repeats(self, sums: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+        if len(self.first) > REMEMBERED:
+            self.first.clear()
+        order = np.lexsort((places, docs, sums))
+        out = np.zeros(len(sums), bool)
+        get = self.first.get
+        for i, key, line in zip(order.tolist(), sums[order].tolist(), zip(docs[order].tolist(), places[order].tolist(), strict=True), strict=True):
+            known = get(key)
+            if known is None or line < known:
+                self.first[key] = line
+            else:
+                out[i] = line != known
+        return out
+
+
 def prefixes(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packed entries of all lines."""
+    """Packed entries of all lines; a line that repeats one of the same task has a single entry, of size 0, anywhere."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets, ENTRY)
+        packer, seen = Packer(buckets, ENTRY), _Seen()
         for batch in batches:
             for part in slices(batch, "text"):
                 s = LineSets(part.column("text"), levels)
-                many = cfg.prefix(s.n)
+                docs = part.column("id").to_numpy(zero_copy_only=False)[s.doc]
+                again = seen.repeats(s.sum, docs, s.place)
+                many = np.where(again, 1, cfg.prefix(s.n))
                 who = np.repeat(np.arange(len(s.n)), many)
                 at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)
                 spread, word = _spread(s.key[s.lead[who] + at])
+                spread = np.where(again[who], mix64(docs[who].astype(np.int64).view(np.uint64)), spread)
                 e = np.empty(len(who), ENTRY)
-                e["word"], e["n"], e["at"], e["bits"], e["more"], e["set"] = word, np.minimum(s.n[who], HUGE), np.minimum(at, 255), s.bits[who], s.more[who], s.set[who]
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                yield from packer.add(s.bytes, spread, ids[s.doc[who]], s.place[who], e)
+                e["word"], e["n"], e["at"], e["bits"], e["more"], e["set"] = word, np.where(again[who], 0, np.minimum(s.n[who], HUGE)), np.minimum(at, 255), s.bits[who], s.more[who], s.set[who]
+                yield from packer.add(s.bytes, spread, docs[who], s.place[who], e)
         yield from packer.flush()
 
     return run
@@ -191,11 +225,17 @@ _PAIR = "xd long, xl int, xs long, yd long, yl int, ys long, more boolean"
 _PAIR_NAMES = ("xd", "xl", "xs", "yd", "yl", "ys", "more")
 
 
+_Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class _Classes:
     """The entries of a bucket, one for each distinct (word, set): its first line."""
 
     def __init__(self, data: pa.Table):
         docs, lines, e = unpack(data, ENTRY)
+        known = e["n"] == 0
+        repeats = [(docs[known], lines[known], e["set"][known])]
+        docs, lines, e = docs[~known], lines[~known], e[~known]
         # Other sets of the same word and set number may stand between equal ones: these then count as two.
         order = np.lexsort((lines, docs, (e["word"].astype(np.uint64) << np.uint64(32)) | e["set"]))
         docs, lines, e = docs[order], lines[order], e[order]
@@ -204,18 +244,20 @@ class _Classes:
         lead = np.flatnonzero(~same)
         rep = np.repeat(lead, np.diff(np.r_[lead, len(e)]))
         later = same & (e["at"] == 0) & ((docs != docs[rep]) | (lines != lines[rep]))
-        self.repeats = docs[later], lines[later], e["set"][later]
+        repeats.append((docs[later], lines[later], e["set"][later]))
+        self.repeats = tuple(np.concatenate(x) for x in zip(*repeats, strict=True))
         order = lead[np.lexsort((lines[lead], docs[lead], e["word"][lead]))]
         self.docs, self.lines, self.e = docs[order], lines[order], e[order]
+        self.n, self.at, self.bits, self.more = self.e["n"].astype(np.int32), self.e["at"].astype(np.int32), self.e["bits"].copy(), self.e["more"].copy()
         cuts = np.r_[True, self.e["word"][1:] != self.e["word"][:-1]] if len(order) else np.zeros(0, bool)
         self.post = np.flatnonzero(cuts)
         self.size = np.diff(np.r_[self.post, len(order)])
 
-    def pairs(self, cfg: LineConfig, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Indices (later, earlier) of lines that share a posting, in pieces; ``only``: which may be the later."""
+    def pairs(self, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Indices (later, earlier) of lines that share a posting that isn't large, in pieces; ``only``: which may be the later."""
         small = (self.size > 1) & (self.size <= SMALL)
         base, size = self.post[small], self.size[small]
-        step = max(1, (1 << 20) // (SMALL * SMALL))
+        step = max(1, PAIRS // (SMALL * SMALL))
         for i in range(0, len(base), step):
             b, s = base[i : i + step], size[i : i + step]
             each = np.repeat(np.arange(len(b)), s)
@@ -225,20 +267,21 @@ class _Classes:
                 before = np.where(only[x], before, 0)
             y = np.arange(int(before.sum())) - np.repeat(np.cumsum(before) - before, before) + np.repeat(b[each], before)
             yield np.repeat(x, before), y
-        for b, s in zip(self.post[self.size > SMALL].tolist(), self.size[self.size > SMALL].tolist(), strict=True):
+        middle = (self.size > SMALL) & (self.size <= LARGE)
+        for b, s in zip(self.post[middle].tolist(), self.size[middle].tolist(), strict=True):
             rows = np.arange(b + 1, b + s)
             if only is not None:
                 rows = rows[only[rows]]
-            wide = max(1, (1 << 20) // s)
+            wide = max(1, PAIRS // s)
             for i in range(0, len(rows), wide):
                 some = rows[i : i + wide]
                 before = some - b
                 yield np.repeat(some, before), np.arange(int(before.sum())) - np.repeat(np.cumsum(before) - before, before) + b
 
-    def candidates(self, cfg: LineConfig, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Those pairs that the filters let through, with the bound on their overlap less the overlap needed."""
-        n, at, bits, more = self.e["n"].astype(np.int32), self.e["at"].astype(np.int32), self.e["bits"].copy(), self.e["more"].copy()
-        for x, y in self.pairs(cfg, only):
+    def candidates(self, cfg: LineConfig, only: np.ndarray | None = None) -> Iterator[_Found]:
+        """Those pairs that the filters let through, with the bound on their overlap less the overlap needed; all of a line in one piece."""
+        n, at, bits, more = self.n, self.at, self.bits, self.more
+        for x, y in self.pairs(only):
             nx, ny = n[x], n[y]
             huge = np.maximum(nx, ny) == HUGE
             need = cfg.need(nx + ny)
@@ -251,11 +294,88 @@ class _Classes:
             ok = ((spare >= 0) | huge) & ((self.docs[x] != self.docs[y]) | (self.lines[x] != self.lines[y]))
             yield x[ok], y[ok], spare[ok]
 
+    def classes(self, cfg: LineConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """In each large posting, of each class of lines of one length and position: its lines; all lines of classes
+        that can be similar, the larger of the overlaps in question and the overlaps needed."""
+        for b, s in zip(self.post[self.size > LARGE].tolist(), self.size[self.size > LARGE].tolist(), strict=True):
+            n, at = self.n[b : b + s], self.at[b : b + s]
+            kinds, kind = np.unique(n.astype(np.int64) << 8 | at, return_inverse=True)
+            order = np.argsort(kind, kind="stable")
+            edge = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
+            length, place = (kinds >> 8).astype(np.int32), (kinds & 255).astype(np.int32)
+            reach = length - place
+            for k in range(len(kinds)):
+                need = cfg.need(length[k] + length)
+                meet = (np.minimum(np.minimum(reach[k], reach), np.minimum(length[k], length)) >= need) | (np.maximum(length[k], length) == HUGE)
+                others = np.flatnonzero(meet)
+                if len(others):
+                    y = np.sort(np.concatenate([order[edge[j] : edge[j + 1]] for j in others.tolist()]))
+                    yield b + order[edge[k] : edge[k + 1]], b + y, np.minimum(length[k], n[y]), need[kind[y]]
+
+    def among(self, cfg: LineConfig, only: np.ndarray | None = None, stop: bool = False) -> Iterator[tuple[_Found, np.ndarray]]:
+        """The candidates of large postings, in pieces of some lines and a run of earlier ones, and the lines (of this
+        piece's) that have earlier lines beyond it.  ``stop``: a line with candidates is not compared further."""
+        for x, y, least, need in self.classes(cfg):
+            open_ = x if only is None else x[only[x]]
+            total = self.n[x[0]] + self.n[y]
+            huge = np.maximum(self.n[x[0]], self.n[y]) == HUGE
+            a, run = 0, FIRST_RUN
+            while a < len(y):
+                open_ = open_[np.searchsorted(open_, y[a], "right") :]
+                if not len(open_):
+                    break
+                z = slice(a, min(len(y), a + run))
+                met = np.zeros(len(open_), bool)
+                wide = max(1, PAIRS // run)
+                for i in range(0, len(open_), wide):
+                    some = open_[i : i + wide]
+                    apart = np.bitwise_count(self.bits[some][:, None] ^ self.bits[y[z]]).astype(np.int32)
+                    apart += np.bitwise_count(self.more[some][:, None] ^ self.more[y[z]])
+                    ok = ((total[z] - apart) // 2 >= need[z]) | huge[z]
+                    ok &= y[z] < some[:, None]
+                    u, v = np.nonzero(ok)
+                    w = v + a
+                    other = (self.docs[some[u]] != self.docs[y[w]]) | (self.lines[some[u]] != self.lines[y[w]])
+                    u, v, w = u[other], v[other], w[other]
+                    if len(u):
+                        met[i + u] = True
+                        spare = np.minimum(least[w], (total[w] - apart[u, v]) // 2) - need[w]
+                        yield (some[u], y[w], spare), some[some > y[z][-1]]
+                a += run
+                if stop:
+                    open_ = open_[~met]
+                run = min(4 * run, 1 << 12)
+
+    def best(self, cfg: LineConfig) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each line the most promising candidates (later, earlier), and whether it may have more."""
+        for found in self.candidates(cfg):
+            x, y, keep, many = _first(*found, cfg.tries)
+            yield x[keep], y[keep], (many > cfg.tries)[keep]
+        for found, beyond in self.among(cfg, stop=True):
+            x, y, keep, many = _first(*found, cfg.tries)
+            yield x[keep], y[keep], ((many > cfg.tries) | np.isin(x, beyond))[keep]
+
+    def all(self, cfg: LineConfig, only: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All candidates of some lines."""
+        for x, y, _ in self.candidates(cfg, only):
+            yield x, y
+        for (x, y, _), _ in self.among(cfg, only):
+            yield x, y
+
     def table(self, x: np.ndarray, y: np.ndarray, more: np.ndarray) -> pa.Table:
         cols = (self.docs[x], self.lines[x], self.e["set"][x].astype(np.int64), self.docs[y], self.lines[y], self.e["set"][y].astype(np.int64), more)
         return pa.table(dict(zip(_PAIR_NAMES, map(pa.array, cols), strict=True)))
 
 
+def _first(x: np.ndarray, y: np.ndarray, spare: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs by later line and promise, which are among a line's first, and how many the line has."""
+    order = np.lexsort((y, -spare, x))
+    x, y = x[order], y[order]
+    lead = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    many = np.repeat(np.diff(np.r_[lead, len(x)]), np.diff(np.r_[lead, len(x)]))
+    return x, y, np.arange(len(x)) - np.repeat(lead, np.diff(np.r_[lead, len(x)])) < tries, many
+
+
 def propose(cfg: LineConfig) -> Callable[[pa.Table], pa.Table]:
     """In a bucket: repeats of a set (no earlier line given), and each line's most promising candidates."""
 
@@ -263,15 +383,9 @@ def propose(cfg: LineConfig) -> Callable[[pa.Table], pa.Table]:
         c = _Classes(data)
         d, ln, s = c.repeats
         out = [_settled(pa.table({"xd": d, "xl": ln, "xs": s.astype(np.int64)}))]
-        found = list(c.candidates(cfg))
+        found = list(c.best(cfg))
         if found:
-            x, y, spare = (np.concatenate(v) for v in zip(*found, strict=True))
-            order = np.lexsort((y, -spare, x))
-            x, y = x[order], y[order]
-            lead = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
-            many = np.diff(np.r_[lead, len(x)])
-            keep = np.arange(len(x)) - np.repeat(lead, many) < cfg.tries
-            out.append(c.table(x[keep], y[keep], np.repeat(many > cfg.tries, many)[keep]))
+            out.append(c.table(*(np.concatenate(v) for v in zip(*found, strict=True))))
         return pa.concat_tables(out)
 
     return run
@@ -291,7 +405,7 @@ def propose_all(cfg: LineConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
             only = np.zeros(len(c.docs), bool)
             for i in np.flatnonzero(np.isin(c.docs, asked.column("xd").to_numpy())).tolist():
                 only[i] = (int(c.docs[i]), int(c.lines[i]), int(c.e["set"][i])) in who
-            for x, y, _ in c.candidates(cfg, only):
+            for x, y in c.all(cfg, only):
                 if len(x):
                     out.append(c.table(x, y, np.zeros(len(x), bool)))
         return pa.concat_tables(out)
