@@ -225,6 +225,19 @@ _PAIR = "xd long, xl int, xs long, yd long, yl int, ys long, more boolean"
 _PAIR_NAMES = ("xd", "xl", "xs", "yd", "yl", "ys", "more")
 
 
+def _in_order(key: np.ndarray, docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """The order by key, document and line; only runs of equal keys are sorted by the latter two."""
+    order = np.argsort(key)
+    some = key[order]
+    run = np.zeros(len(key), bool)
+    run[1:] = some[1:] == some[:-1]
+    run[:-1] |= run[1:]
+    at = np.flatnonzero(run)
+    mine = order[at]
+    order[at] = mine[np.lexsort((lines[mine], docs[mine], key[mine]))]
+    return order
+
+
 _Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -237,7 +250,7 @@ class _Classes:
         repeats = [(docs[known], lines[known], e["set"][known])]
         docs, lines, e = docs[~known], lines[~known], e[~known]
         # Other sets of the same word and set number may stand between equal ones: these then count as two.
-        order = np.lexsort((lines, docs, (e["word"].astype(np.uint64) << np.uint64(32)) | e["set"]))
+        order = _in_order((e["word"].astype(np.uint64) << np.uint64(32)) | e["set"], docs, lines)
         docs, lines, e = docs[order], lines[order], e[order]
         same = np.zeros(len(e), bool)
         same[1:] = (e["word"][1:] == e["word"][:-1]) & (e["n"][1:] == e["n"][:-1]) & (e["bits"][1:] == e["bits"][:-1]) & (e["more"][1:] == e["more"][:-1]) & (e["set"][1:] == e["set"][:-1])
@@ -246,7 +259,7 @@ class _Classes:
         later = same & (e["at"] == 0) & ((docs != docs[rep]) | (lines != lines[rep]))
         repeats.append((docs[later], lines[later], e["set"][later]))
         self.repeats = tuple(np.concatenate(x) for x in zip(*repeats, strict=True))
-        order = lead[np.lexsort((lines[lead], docs[lead], e["word"][lead]))]
+        order = lead[_in_order(e["word"][lead], docs[lead], lines[lead])]
         self.docs, self.lines, self.e = docs[order], lines[order], e[order]
         self.n, self.at, self.bits, self.more = self.e["n"].astype(np.int32), self.e["at"].astype(np.int32), self.e["bits"].copy(), self.e["more"].copy()
         cuts = np.r_[True, self.e["word"][1:] != self.e["word"][:-1]] if len(order) else np.zeros(0, bool)
