@@ -465,3 +465,82 @@ def test_keep_one_with_repeated_ids(spark):
     rows = [(1, "alpha beta gamma delta epsilon"), (1, "one two three four five six seven"), (2, "one two three four five six seven"), (2, "far away stands a small house"), (2, "far away stands a small house")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, kept)) == sorted({rows[0], rows[1], rows[3]})
+
+
+def test_wide_fingerprints_are_majorities():
+    rng = np.random.default_rng(0)
+    n = np.array([0, 1, 2, 3, 5, 17, 100, 4096, 5000, 9000, 33])
+    h = rng.integers(0, 1 << 48, int(n.sum()), dtype=np.uint64)
+    got, keys, at = simhash.wide_print(h, n, 3), simhash.mix64(np.arange(1, 4, dtype=np.uint64)), 0
+    for i, k in enumerate(n.tolist()):
+        x = simhash.mix64(h[at : at + k][:, None] ^ keys)
+        at += k
+        counts = np.unpackbits(x.view(np.uint8).reshape(k, 3, 8), axis=2, bitorder="little").sum(0, dtype=int) if k else np.zeros((3, 64), int)
+        assert (np.packbits(counts * 2 > k, axis=1, bitorder="little").view("<u8")[:, 0] == got[i]).all()
+
+
+def shingle_set(text: str, size: int = 5) -> set:
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+@pytest.mark.parametrize(("points", "visitors"), [(32_000, 128_000), (20, 50)])
+def test_similar_documents(spark, none, points, visitors, monkeypatch):
+    """Every pair of similarity 0.8 is in one component, and no component joins documents far below it; every cell of the grid is searched."""
+    monkeypatch.setattr(simhash, "SHARD_POINTS", points)
+    monkeypatch.setattr(simhash, "VISITORS", visitors)
+    rng = random.Random(8)
+    texts: list[str | None] = [None, "", " \n", "one", "One", "two words", "two  WORDS", "a b c d e f g h i j"]
+    for _ in range(60):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 30, 100, 300]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randrange(4)):
+            other = list(words)
+            for _ in range(max(1, int(len(words) * rng.choice([0.005, 0.01, 0.02, 0.1])))):
+                other[rng.randrange(len(other))] = f"x{rng.randrange(3000)}"
+            # Longer and shorter ones cross the border of a band.
+            texts.append(" ".join(other[: rng.choice([len(other), len(other) - len(other) // 12])]))
+    texts += [texts[8]] * 30
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    sets = [shingle_set(t or "") for t in texts]
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / max(1, len(a | b))
+    pairs = [(i, j, alike(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)]
+    for i, j, x in pairs:
+        if x >= 0.8:
+            assert got[ids[i]] == got[ids[j]], (texts[i], texts[j], x)
+    loose = list(range(len(sets)))
+
+    def find(i):
+        while loose[i] != i:
+            i = loose[i]
+        return i
+
+    for i, j, x in pairs:
+        if x >= 0.6:
+            loose[find(i)] = find(j)
+    members: dict = {}
+    for i, k in enumerate(ids):
+        members.setdefault(got[k], []).append((k, find(i)))
+    assert all(c == min(k for k, _ in some) and len({f for _, f in some}) == 1 for c, some in members.items())
+    kept = [r.doc_id for r in simhash.keep_one(df, size=5, similarity=0.8).collect()]
+    assert sorted(kept) == sorted(members)
+    assert simhash.keep_one(none, size=5, similarity=0.8).count() == 0
+
+
+def test_hot_fingerprints_are_not_one_task(spark):
+    rows = [(i, "the same text in very many documents") for i in range(15_000)] + [(20_000 + i, f"text number {i} of its own kind {i * i}") for i in range(5_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = simhash.near_duplicates(df).groupBy("component_id").count().orderBy(F.desc("count")).first()
+    assert tuple(got) == (0, 15_000)
+    kept = simhash.keep_one(df.union(df.limit(0)), size=5, similarity=0.8)
+    assert 1 <= kept.where("doc_id < 15000").count() == 1
+
+
+def test_keep_one_of_rows_alike(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "q r s t u v", "z"), (None, None, "n"), (None, None, "m")]
+    for size, similarity in ((4, None), (5, 0.8)):
+        kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string"), size=size, similarity=similarity).collect()
+        assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "None"]

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of the word rule ``[^\x20\x09-\x0D]+``.
 _WHITE = np.zeros(256, bool)
@@ -36,11 +37,23 @@ def ready_checkpoints(spark: SparkSession) -> None:
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidegrove-checkpoints"))
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def join_skewed(rows: DataFrame, names: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """``rows`` joined with ``names``, which has each key once and, in ``copies``, its number of rows.
+
+    Keys of a ten-thousandth of all rows or more, of which there are ten thousand at most, are broadcast,
+    so that none of them is one task; the others are joined by a shuffle."""
+    total = names.agg(F.sum(copies)).first()[0] or 0
+    hot = names.where(F.col(copies) * 10_000 >= total).drop(copies)
+    rare = names.where(F.col(copies) * 10_000 < total).drop(copies)
+    if total <= 10_000:
+        return rows.join(F.broadcast(hot), keys)
+    left = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).union(left.join(rare, keys))
 
 
 def free_name(df: DataFrame, stem: str) -> str:
