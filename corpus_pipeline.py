@@ -32,8 +32,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of least id, of each group of linked fingerprints."""
-    return keep_one(docs)
+    """Keep one document, that of least id, of each group linked by a similarity of 0.8 in shingles of five words."""
+    return keep_one(docs, size=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
