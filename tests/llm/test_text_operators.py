@@ -367,6 +367,109 @@ def test_decontamination(spark, docs, none):
     assert clean.where(F.size(name) > 0).count() == 0 and clean.count() == docs.count()
 
 
+NAMES = ["Alice", "Bob", "Carlos", "Denver", "Paris", "Mary Jane", "Li Wei", "Oslo", "Quito", "Nora"]
+NOUNS = [f"noun{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(10)]
+
+
+def problem(rng: random.Random, length: int) -> list[tuple[str, str]]:
+    """A word problem as (kind, word)."""
+    out = []
+    for _ in range(length):
+        kind = rng.choices(["literal", "number", "name", "quantity"], [7, 1, 1, 1])[0]
+        if kind == "quantity":
+            out += [("number", str(rng.randint(2, 99))), ("unit", rng.choice(["kg", "km", "hours", "usd"]))]
+        else:
+            out.append((kind, {"literal": rng.choice(NOUNS), "number": str(rng.randint(2, 99)), "name": rng.choice(NAMES)}[kind]))
+    return [("literal", "so"), *out]
+
+
+def changed(rng: random.Random, item: list[tuple[str, str]], kinds: set[str]) -> str:
+    """The item with other values for the slots of some kinds, one for one throughout."""
+    fresh = {"number": [str(n) for n in range(100, 400)], "name": ["Zoe", "Yan", "Xena", "Walt", "Vera", "Uma Tran", "Theo", "Saul", "Ruth", "Quin"], "unit": ["lb", "mi", "minutes", "eur"]}
+    for pool in fresh.values():
+        rng.shuffle(pool)
+    given: dict = {}
+    for kind, w in item:
+        if kind in kinds and (kind, w) not in given:
+            given[kind, w] = fresh[kind][len([1 for k, _ in given if k == kind])]
+    return " ".join(given.get(x, x[1]) for x in item)
+
+
+def plainly_leaked(bench, words, j: int) -> bool:
+    """The rule of one document and item, window by window."""
+    cfg, (_, item, _) = bench.cfg, bench.items[j]
+    matches = []
+    size = min(cfg.window, len(item.value))
+    for p in range(len(words.value) - size + 1):
+        for q in range(len(item.value) - size + 1):
+            if (words.value[p : p + size] == item.value[q : q + size]).all() and (size > 2 or words.first[p] and (p + size == len(words.first) or words.first[p + size])):
+                matches.append((p - q, q, size, -1))
+    size = min(cfg.window, len(item.token))
+    if size >= cfg.shortest and len(words.token) >= size:
+        good, theirs = decontamination._enough(words, cfg, size), decontamination._enough(item, cfg, size)
+        for p in range(len(words.token) - size + 1):
+            for q in range(len(item.token) - size + 1):
+                if good[p] and theirs[q] and (words.token[p : p + size] == item.token[q : q + size]).all():
+                    matches.append((int(words.start[p] - item.start[q]), q, size, p))
+    return bool(matches) and bench._leaked(item, words, matches)
+
+
+def test_decontamination_equals_the_rule_window_by_window():
+    rng = random.Random(11)
+    cfg = decontamination.TemplateConfig()
+    templates = [problem(rng, rng.choice([2, 5, 9, 16, 30])) for _ in range(14)]
+    items = [" ".join(w for _, w in t) for t in templates]
+    # Many items of one template, some items twice.
+    items += [changed(rng, templates[k], {"number", "name"}) for k in (3, 4, 5) for _ in range(6)] + items[:2]
+    bench, canon = decontamination.Bench(list(enumerate(items)), cfg), decontamination.Canon()
+    filler = lambda: " ".join(rng.choice(["and", "then", *NOUNS[:30]]) for _ in range(rng.randint(0, 8)))
+    texts = []
+    for k in range(70):
+        body = [rng.choice(items), changed(rng, rng.choice(templates), {rng.choice(["number", "name", "unit"])}), " ".join(rng.sample(items[k % 14].split(), len(items[k % 14].split())))][k % 3].split()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            body[rng.randrange(len(body))] = rng.choice(["17", "Alice", "kg", NOUNS[0]])
+        texts.append(f"{filler()}\n{' '.join(body)}. {filler()}")
+    got = bench.leaks(texts, canon)
+    for text, some in zip(texts, got, strict=True):
+        words = canon.read([text])
+        assert some == [j for j in range(len(items)) if plainly_leaked(bench, words, j)]
+    assert sum(map(len, got)) > 50
+
+
+def test_decontamination_recall_by_kind():
+    """Verbatim copies in any case are all found; so are items of new numbers, names or units that have a few literals."""
+    rng = random.Random(12)
+    items = [problem(rng, rng.choice([14, 20, 30])) for _ in range(150)]
+    texts = [" ".join(w for _, w in t) for t in items]
+    texts += ["Mix 3 kg A, 5 kg B and 7 kg C at 20 % and 30 % for 2 h.", "Who painted Guernica exactly?", "A train travels 60 km in 2 hours. How many km in 5 hours?"]
+    bench, canon = decontamination.Bench(list(enumerate(texts)), decontamination.TemplateConfig()), decontamination.Canon()
+    for turn in (str, str.upper, str.lower):
+        assert all(k in some for k, some in enumerate(bench.leaks([f"Once. {turn(t)} Then." for t in texts], canon)))
+    share = {}
+    for kinds in (("number",), ("name",), ("unit",), ("number", "name"), ("number", "name", "unit")):
+        some = bench.leaks([changed(rng, t, set(kinds)) for t in items], canon)
+        share[kinds] = sum(k in x for k, x in enumerate(some)) / len(items)
+    assert min(share.values()) >= 0.8, share
+    clean = bench.leaks([" ".join(w for _, w in problem(rng, 60)) for _ in range(200)], canon)
+    assert not any(clean)
+    print(share)
+
+
+def test_decontamination_of_many_items_of_one_template():
+    import time
+
+    items = [f"A train with {i} red wagons leaves Boston at {i + 7} km per hour and needs {3 * i} blue lamps for the whole long night trip." for i in range(20_000)]
+    began = time.time()
+    bench = decontamination.Bench(list(enumerate(items)), decontamination.TemplateConfig())
+    built = time.time() - began
+    text = "A train with 5 red wagons leaves Denver at 77 km per hour and needs 99 blue lamps for the whole long night trip."
+    broken = "A train with 5 red wagons"
+    began = time.time()
+    got = bench.leaks([text, broken, items[3]], decontamination.Canon())
+    assert len(got[0]) > 19_000 and got[1] == [] and 3 in got[2]
+    assert built < 30 and time.time() - began < 3
+
+
 def test_quality_gradients_and_training():
     cfg = quality.QualityConfig(width=4, attention=3)
     rng = np.random.default_rng(0)

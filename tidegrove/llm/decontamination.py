@@ -151,19 +151,22 @@ def _enough(words: Words, cfg: TemplateConfig, size: int) -> np.ndarray:
 
 
 class _Windows:
-    """Windows of items, sorted by hash, with a table of leading bits that sees most other hashes off."""
+    """Windows of numbered owners, sorted by hash, with a table of leading bits that sees most other hashes off."""
 
     def __init__(self, parts: list[tuple[np.ndarray, int, np.ndarray, int]]):
         h, item, at = (np.concatenate(x) for x in zip(*((h, np.full(len(h), k), at) for h, k, at, _ in parts), strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
         order = np.argsort(h, kind="stable")
         self.h, self.item, self.at = h[order], item[order], at[order]
         self.sizes = sorted({size for *_, size in parts})
-        bits = min(24, max(12, (16 * len(h)).bit_length()))
-        self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
-        self.seen[self.h >> self.shift] = True
+        self.seen: np.ndarray | None = None
 
     def find(self, tokens: np.ndarray, owner: np.ndarray, size: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of the windows of one text that are among these, and for each the index here."""
+        if self.seen is None:
+            # Made where it is needed, not sent.
+            bits = min(24, max(12, (16 * len(self.h)).bit_length()))
+            self.shift, self.seen = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+            self.seen[self.h >> self.shift] = True
         h = window_hashes(tokens, size) ^ np.uint64(size)
         if not len(h):
             return np.zeros(0, int), np.zeros(0, int)
@@ -174,53 +177,92 @@ class _Windows:
         return np.repeat(at, n), np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
+def _template(words: Words) -> tuple[bytes, ...]:
+    """What items must have in common to match the same documents up to the values of their slots: the tokens, their
+    lengths in words, and which slots are equal."""
+    slots = np.concatenate([np.where(words.kind == LITERAL, np.uint64(0), words.slot), words.unit])
+    _, first, which = np.unique(slots, return_index=True, return_inverse=True)
+    return words.token.tobytes(), words.start.tobytes(), first[which].tobytes(), (words.unit > 0).tobytes()
+
+
 class Bench:
-    """The items' windows of tokens and of plain words."""
+    """The items' windows of tokens and of plain words.
+
+    Items of one template are a class: windows that all its items share are held and looked up once."""
 
     def __init__(self, items: list[tuple[object, str | None]], cfg: TemplateConfig):
         canon, self.cfg, self.items = Canon(), cfg, []
-        tokens, plain = [], []
+        numbers: dict[tuple[bytes, ...], int] = {}
+        self.members: list[list[int]] = []
         for name, text in items:
             words = canon.read([text or ""])
-            if not len(words.value):
-                continue
-            k = len(self.items)
-            size = min(cfg.window, len(words.value))
-            h = window_hashes(words.value, size) ^ np.uint64(size)
-            plain.append((h, k, np.arange(len(h)), size))
+            if len(words.value):
+                k = numbers.setdefault(_template(words), len(numbers))
+                if k == len(self.members):
+                    self.members.append([])
+                self.members[k].append(len(self.items))
+                self.items.append((name, words, k))
+        tokens, shared, plain = [], [], []
+        for k, members in enumerate(self.members):
+            words = self.items[members[0]][1]
             size = min(cfg.window, len(words.token))
             if size >= cfg.shortest:
                 at = np.flatnonzero(_enough(words, cfg, size))
                 tokens.append(((window_hashes(words.token, size) ^ np.uint64(size))[at], k, at, size))
-            self.items.append((name, words))
-        self.tokens, self.plain = _Windows(tokens), _Windows(plain)
+            size = min(cfg.window, len(words.value))
+            h = np.stack([window_hashes(self.items[i][1].value, size) ^ np.uint64(size) for i in members])
+            same = (h == h[0]).all(0)
+            at = np.flatnonzero(same)
+            shared.append((h[0][at], k, at, size))
+            at = np.flatnonzero(~same)
+            if len(at):
+                plain += [(row[at], i, at, size) for i, row in zip(members, h, strict=True)]
+        self.tokens, self.shared, self.plain = _Windows(tokens), _Windows(shared), _Windows(plain)
 
     def leaks(self, texts: list[str], canon: Canon) -> list[list]:
         """Of each text the names of the items that it leaks."""
         cfg, words = self.cfg, canon.read(texts)
-        # Of a text and an item: (shift, place in the item, size, place in the text, or -1 for plain words).
+        # Of a text and a class, and of its single items: (shift, place in the item, size, place in the text, or -1 for plain words).
         found: dict[tuple[int, int], list[tuple[int, int, int, int]]] = defaultdict(list)
-        for size in self.plain.sizes:
-            at, j = self.plain.find(words.value, words.text, size)
-            for p, item, q in zip(at.tolist(), self.plain.item[j].tolist(), self.plain.at[j].tolist(), strict=True):
-                if size > 2 or words.first[p] and (p + size == len(words.first) or words.first[p + size]):
-                    found[int(words.text[p]), item].append((p - q, q, size, -1))
+        own: dict[tuple[int, int], dict[int, list[tuple[int, int, int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for windows in (self.shared, self.plain):
+            for size in windows.sizes:
+                at, j = windows.find(words.value, words.text, size)
+                for p, k, q in zip(at.tolist(), windows.item[j].tolist(), windows.at[j].tolist(), strict=True):
+                    if size > 2 or words.first[p] and (p + size == len(words.first) or words.first[p + size]):
+                        text = int(words.text[p])
+                        (found[text, k] if windows is self.shared else own[text, self.items[k][2]][k]).append((p - q, q, size, -1))
         for size in self.tokens.sizes:
             at, j = self.tokens.find(words.token, words.owner, size, _enough(words, cfg, size))
-            for p, item, q in zip(at.tolist(), self.tokens.item[j].tolist(), self.tokens.at[j].tolist(), strict=True):
-                found[int(words.owner[p]), item].append((int(words.start[p] - self.items[item][1].start[q]), q, size, p))
-        out: list[list] = [[] for _ in texts]
-        for text, item in sorted(found):
-            name, theirs = self.items[item]
-            if self._leaked(theirs, words, found[text, item]):
-                out[text].append(name)
-        return out
-
-    def _leaked(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]]) -> bool:
+            for p, k, q in zip(at.tolist(), self.tokens.item[j].tolist(), self.tokens.at[j].tolist(), strict=True):
+                found[int(words.owner[p]), k].append((int(words.start[p] - self.items[self.members[k][0]][1].start[q]), q, size, p))
+        out: list[list[int]] = [[] for _ in texts]
+        for text, k in found.keys() | own.keys():
+            members, mine, theirs = self.members[k], found.get((text, k), []), own.get((text, k), {})
+            item = self.items[members[0]][1]
+            if mine and self._leaked(item, words, mine, strict=False):
+                out[text] += members
+                continue
+            # Where windows of tokens could be enough, it depends on an item's own values.
+            for i in members if self._possible(item, mine) else theirs:
+                if self._leaked(self.items[i][1], words, mine + theirs.get(i, [])):
+                    out[text].append(i)
+        return [[self.items[i][0] for i in sorted(some)] for some in out]
+
+    def _possible(self, item: Words, matches: list[tuple[int, int, int, int]]) -> bool:
+        covered = np.zeros(len(item.value), bool)
+        for _, q, size, p in matches:
+            covered[q : q + size] |= p < 0
+            if p >= 0:
+                covered[item.start[q] : item.start[q + size]] = True
+        return int(covered.sum()) >= min(self.cfg.enough, len(item.value))
+
+    def _leaked(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]], strict: bool = True) -> bool:
+        """Whether the matches cover enough; ``strict``: windows of few literals, whose values must agree, may help."""
         diagonals = defaultdict(list)
         for m in matches:
             diagonals[m[0]].append(m)
-        if any(self._covered(item, words, some) for some in diagonals.values()):
+        if any(self._covered(item, words, some, strict) for some in diagonals.values()):
             return True
         shifts = sorted(diagonals)
         groups = [[shifts[0]]]
@@ -228,9 +270,9 @@ class Bench:
             if b - a > self.cfg.drift:
                 groups.append([])
             groups[-1].append(b)
-        return any(len(g) > 1 and self._covered(item, words, [m for x in g for m in diagonals[x]]) for g in groups)
+        return any(len(g) > 1 and self._covered(item, words, [m for x in g for m in diagonals[x]], strict) for g in groups)
 
-    def _covered(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]]) -> bool:
+    def _covered(self, item: Words, words: Words, matches: list[tuple[int, int, int, int]], also_strict: bool) -> bool:
         need = min(self.cfg.enough, len(item.value))
         covered: set[int] = set()
         windows = []
@@ -242,7 +284,7 @@ class Bench:
         if len(covered) >= need:
             return True
         more = set(covered)
-        for some, strict in ((covered, False), (more, True)):
+        for some, strict in ((covered, False), (more, True))[: 1 + also_strict]:
             here, there, broken = {}, {}, False
             for q, size, p in sorted(windows):
                 slots = [s for k in range(size) if item.kind[q + k] != LITERAL for s in self._slots(item, q + k, words, p + k)]
@@ -293,7 +335,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: TemplateConfig = Temp
 
     The items are read in blocks of ``cfg.block``; a pass over the documents, in
     one narrow stage, looks up the windows of one block.  The documents are never
-    shuffled, and what is sent to each task is bounded by the block."""
+    shuffled.  The tables of a block are made once and broadcast; their size is bounded by the block."""
     out = free_name(docs, out_col)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
@@ -302,8 +344,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: TemplateConfig = Temp
     blocks = max(1, -(-total // cfg.block))
 
     def passing(items: list[tuple[object, str | None]], df: DataFrame, more: bool) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(Bench(items, cfg))
+
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench, canon = Bench(items, cfg), Canon()
+            bench, canon = sent.value, Canon()
             for batch in batches:
                 for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                     texts = [t or "" for t in part.column(at).cast(pa.string()).to_pylist()]
