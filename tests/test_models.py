@@ -198,15 +198,60 @@ def test_partitions(spark):
         ensembles.fit_centers(df.limit(2), ["f0"], "row_id", 5)
 
 
-def test_state_machine():
-    cfg = DriftSettings(alert_after=1, adapt_after=2)
-    step = lambda s, c, **k: adaptive.next_state(s, c, k.get("v", False), k.get("d", False), k.get("r", False), cfg)
-    assert step("normal", 0) == ("normal", 0)
-    assert step("normal", 0, v=True) == ("alert", 0)
-    assert step("alert", 0, v=True) == ("alert", 0)
-    assert step("alert", 0, v=True, d=True) == ("alert", 1)
-    assert step("alert", 1, v=True, d=True) == ("adapt", 0)
-    assert step("alert", 1, r=True) == ("normal", 0)
+@pytest.mark.parametrize(("state", "count", "vulnerable", "degraded", "recovered", "want"), [
+    ("normal", 0, False, False, False, ("normal", 0)),
+    ("normal", 1, False, False, False, ("normal", 1)),
+    ("normal", 1, False, False, True, ("normal", 0)),
+    ("normal", 0, True, False, False, ("normal", 1)),
+    ("normal", 1, True, False, False, ("alert", 1)),
+    ("normal", 1, True, False, True, ("normal", 0)),
+    ("alert", 1, True, False, False, ("alert", 1)),
+    ("alert", 1, False, True, False, ("alert", 1)),
+    ("alert", 1, True, True, False, ("alert", 2)),
+    ("alert", 2, True, True, False, ("adapt", 0)),
+    ("alert", 2, True, False, True, ("normal", 0)),
+    ("alert", 2, False, False, True, ("normal", 0)),
+    ("adapt", 0, False, False, True, ("adapt", 0)),
+])
+def test_state_machine(state, count, vulnerable, degraded, recovered, want):
+    cfg = DriftSettings(alert_after=2, adapt_after=3)
+    assert adaptive.next_state(state, count, vulnerable, degraded, recovered, cfg) == want
+
+
+def test_degraded_batches_up_to_an_adaptation():
+    """By size of the training set: 1, 2 and 4 batches after the alert's own."""
+    for rows, batches in ((1000, 2), (100_000, 4), (500_000, 7)):
+        cfg, state, count, n = DriftSettings.for_rows(rows), "normal", 0, 0
+        while state != "adapt":
+            state, count = adaptive.next_state(state, count, True, True, False, cfg)
+            n += 1
+        assert n == batches
+        state, count, n = "normal", 0, 0
+        while state != "adapt":
+            state, count = adaptive.next_regression_state(state, count, True, cfg)
+            n += 1
+        assert n == batches
+    assert adaptive.next_regression_state("alert", 2, False, cfg) == ("normal", 0)
+
+
+def test_metabolism_and_strategy():
+    m = adaptive.Metabolism(3, DriftSettings())
+    m.update(np.array([0, 1, 2]), 100)
+    for _ in range(3):
+        m.update(np.array([0]), 500)
+    assert m.utility[0] == 1 and m.utility[1] == pytest.approx(0.9995 ** (500 + 1000 + 1500)) and m.uses.tolist() == [4, 1, 1]
+    assert m.dead() == set() and m.healthy() == {0}
+    for _ in range(4):
+        m.expose([1])
+    assert m.vulnerable() == {1}
+    m.update(np.array([0]), 500)
+    assert m.dead() == {1, 2}
+    x = np.array([[1.0, np.nan], [2.0, np.nan], [9.0, np.nan]])
+    assert adaptive.volatility(x) == pytest.approx([np.sqrt(50 / 3), 0])
+    assert adaptive.minority_error(np.array([0.1, 0.9, 0.9]), np.array([1.0, 1.0, 0.0])) == 0.5 and adaptive.minority_error(np.zeros(1), np.zeros(1)) == 0
+    assert adaptive.strategy(np.array([20.0]), 0.5) == (1.0, 0.0, "features")
+    assert adaptive.strategy(np.array([1.0]), 0.5) == (pytest.approx(0.1), 0.8, "data")
+    assert adaptive.strategy(np.zeros(0), 0.0)[2] == "cautious"
 
 
 def test_ema_and_diagnostics():
@@ -252,12 +297,55 @@ def test_stream_and_replayed_batch(spark, tmp_path):
     query = adaptive.attach(stream, loop, NAMES, "label", str(tmp_path / "c"), "row_id", seen.__setitem__, availableNow=True)
     assert query.awaitTermination(120)
     assert loop.observed == 600 and sorted(seen) == list(range(len(seen))) and loop.last_batch == max(seen)
+    assert query.loop is loop
     windows = adaptive.windowed_errors(stream.withColumn("ts", F.timestamp_seconds("row_id")), "ts", "f0", "5 minutes")
     query = windows.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert spark.sql("select sum(n) from w").first()[0] == 600
 
 
+def test_stream_goes_on_after_a_crash(spark, tmp_path):
+    """A query killed in the middle of a batch and started anew with a loop of its own ends like one that never stopped."""
+    x, y = data(900)
+    model = fit_local(x, y, NAMES, QUICK)
+    fresh = lambda: adaptive.Adaptive.start(model, 900, *data(300, 9), cooldown=200, buffer=600, least_buffer=300, tolerance=0.3)
+    xs, ys = data(3000, 12)
+    schema = "row_id long, " + ", ".join(f"{n} double" for n in NAMES) + ", label double"
+    for k in range(10):
+        part = slice(300 * k, 300 * k + 300)
+        tables.from_arrays(spark, xs[part], 1 - ys[part]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(name: str, sink) -> object:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = adaptive.attach(stream, fresh(), NAMES, "label", str(tmp_path / f"c_{name}"), "row_id", sink, str(tmp_path / f"s_{name}"), availableNow=True)
+        return query
+
+    whole: dict = {}
+    query = run("whole", whole.__setitem__)
+    assert query.awaitTermination(120)
+    seen: dict = {}
+    crash = {3, 7}
+
+    def sink(number: int, report: dict) -> None:
+        seen[number] = report
+        if number in crash:
+            crash.remove(number)
+            raise RuntimeError("the driver is gone")
+
+    for _ in range(2):
+        with pytest.raises(Exception, match="the driver is gone"):
+            run("broken", sink).awaitTermination(120)
+    last = run("broken", sink)
+    assert last.awaitTermination(120)
+    assert seen == whole and any(r["adapted"] for r in whole.values())
+    kept = adaptive.LoopState(spark, str(tmp_path / "s_broken"))
+    assert kept.versions() == [8, 9]
+    back, straight = kept.load(), adaptive.LoopState(spark, str(tmp_path / "s_whole")).load()
+    assert back.status() == straight.status() and np.array_equal(back.x, straight.x) and np.array_equal(back.metabolism.utility, straight.metabolism.utility)
+    assert np.array_equal(back.model.predict(xs), straight.model.predict(xs))
+    assert adaptive.LoopState(spark, str(tmp_path / "none")).load() is None
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,V1,V2,Class\n1, 2.5 ,x,1\n2,,4,bad\n3\n")
     got = tables.read_labelled_csv(spark, str(tmp_path / "a.csv")).collect()

@@ -120,6 +120,12 @@ class DriftSettings:
     ema_alpha: float = 0.1
     validate_on: int = 2_000
     least_buffer: int = 1_000
+    #: Scores of batches that are averaged, and the fewest that tell anything.
+    recent: int = 5
+    least_recent: int = 3
+    #: Errors over this count as vulnerable; so many of the newest are remembered.
+    error_over: float = 0.2
+    remembered: int = 5_000
     holdout: bool = False
 
     @classmethod
@@ -128,3 +134,54 @@ class DriftSettings:
         tiers = ((50_000, (1, 2, 10_000, 5_000)), (200_000, (2, 3, 15_000, 10_000)), (math.inf, (3, 5, 20_000, 15_000)))
         a, b, buffer, cooldown = next(v for edge, v in tiers if n < edge)
         return cls(**{"alert_after": a, "adapt_after": b, "buffer": buffer, "cooldown": cooldown} | overrides)
+
+
+@dataclass(frozen=True)
+class RegressionDrift:
+    """Fixed values of the adaptive regression."""
+
+    #: RMSE of the newest three batches, oldest first.
+    rmse_weights: tuple[float, float, float] = (0.2, 0.3, 0.5)
+    degradation: float = 0.10
+    #: Over so many baselines of average error the data count as noisy, and more degradation is let pass.
+    noisy_over: float = 2.0
+    noisy_factor: float = 1.5
+    vulnerable_over: float = 1.5
+    #: The first model must beat this share of the labels' spread.
+    learned_under: float = 0.95
+    least_baseline: float = 0.001
+    rollback_over: float = 1.02
+    new_baseline_under: float = 1.1
+    #: Of the buffer, what is validated on: a third (at least ``least_validation``) up to 4,000 rows, then 2,000, then a fifth.
+    least_validation: int = 500
+    diagnose_on: int = 2_000
+    mean_shift_rows: int = 2_000
+    entropy_over: float = 1.2
+    prune_share: float = 0.7
+    prune_at: tuple[tuple[str, float], ...] = (("systemic", 0.95), ("feature_shift", 0.90), ("localized", 1.0))
+    #: Complexity from which a level holds, and its factor of the learning rate.
+    rate_factors: tuple[tuple[float, float], ...] = ((2.5, 0.9), (1.2, 1.0), (-math.inf, 1.1))
+    rate_multiplier: float = 1.5
+    most_rate: float = 0.05
+    lambda_factor: float = 5.0
+    gamma_factor: float = 2.0
+    #: Gradients of a larger norm are scaled down to it; at ``stop_factor`` times it no tree is added.
+    gradient_norm: float = 5_000.0
+    stop_factor: float = 5.0
+    #: Margins further from the mean label than this times its size are clamped; a mean margin further off than ``reset_over`` times starts anew.
+    clamp_factor: float = 100.0
+    reset_over: float = 10.0
+
+    def validation_rows(self, n: int) -> int:
+        return min(n, max(n // 3, self.least_validation)) if n <= 4_000 else 2_000 if n <= 15_000 else max(n // 5, 2_000)
+
+
+@dataclass(frozen=True)
+class PartitionDrift:
+    """Fixed values of partitions: a moving error over ``factor`` baselines (at least ``least``) has drifted."""
+
+    alpha: float = 0.1
+    factor: float = 1.3
+    least: float = 0.01
+    least_rows: int = 10
+    retrain_rows: int = 50

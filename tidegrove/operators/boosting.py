@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrove.functions.settings import BoostSettings
+from tidegrove.functions.settings import BoostSettings, RegressionDrift
 
 MARGIN = 10.0
 #: Rows times features up to which a model is trained in one task.
@@ -492,8 +492,9 @@ def _score(s: BoostSettings, margin: np.ndarray, y: np.ndarray) -> float:
     return -float(np.sqrt(np.mean((value - y) ** 2)))
 
 
-def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSettings, evaluate: tuple[np.ndarray, np.ndarray] | None = None, start: BoostModel | None = None, ids: np.ndarray | None = None) -> BoostModel:
+def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSettings, evaluate: tuple[np.ndarray, np.ndarray] | None = None, start: BoostModel | None = None, ids: np.ndarray | None = None, guard: RegressionDrift | None = None) -> BoostModel:
     """Train in this process.  ``start``: go on from a model (its bins are kept, its trees stay).
+    ``guard``: bounds on gradients and margins, for labels that may have moved far from the model.
     ``ids``: hashes of the rows' ids, by which row samples are then drawn as over the cluster."""
     model = BoostModel(s, fit_bins_local(x, features, s.bins), base_score(s, len(y), float(y.sum()), float((y > 0.5).sum())), []) if start is None else replace(start, settings=replace(s, learning_rate=start.settings.learning_rate), trees=list(start.trees))
     weight = 1.0 if start is None else s.learning_rate / start.settings.learning_rate
@@ -503,6 +504,9 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
     held_margin = None if held is None else model.margins(held[0])
     rng = np.random.default_rng(s.seed)
     widths, before, stopper = model.bins.widths, len(model.trees), _Stopper(s)
+    mean = float(y.mean()) if len(y) else 0.0
+    if guard and not abs(margin.mean() - mean) <= guard.reset_over * abs(mean):
+        margin = np.full(len(y), mean)
     n, k = len(y), len(features)
     for i in range(s.trees):
         if s.subsample < 1 and ids is not None:
@@ -511,14 +515,20 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
             rows = np.sort(rng.permutation(n)[: max(1, int(s.subsample * n))]) if s.subsample < 1 else np.arange(n)
         columns = sorted(rng.permutation(k)[: max(1, int(s.colsample * k))].tolist()) if s.colsample < 1 else list(range(k))
         g, h = derivatives(s, margin, y)
-        if i % 100 == 0 and np.sqrt((g * g).sum()) < 0.001:
+        norm = float(np.sqrt((g * g).sum()))
+        if i % 100 == 0 and norm < 0.001 or guard and norm > guard.gradient_norm * guard.stop_factor:
             break
+        if guard and norm > guard.gradient_norm:
+            g = g * (guard.gradient_norm / norm)
         tree = grow(LocalRows(bins, widths, y, g, h, rows), s, columns)
         tree.weight = weight
         model.trees.append(tree)
         margin = margin + s.learning_rate * tree.predict(bins)
         if s.objective == "logistic":
             margin = np.clip(margin, -MARGIN, MARGIN)
+        if guard:
+            far = max(1.0, guard.clamp_factor * abs(mean))
+            margin = np.clip(margin, mean - far, mean + far)
         if held is not None:
             held_margin = held_margin + s.learning_rate * tree.predict(held[0])
             if stopper.due(i) and stopper.stop(i, _score(s, held_margin, held[1])):
