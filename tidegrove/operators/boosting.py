@@ -694,14 +694,37 @@ def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSet
 
         ready_checkpoints(df.sparkSession)
         return fit_spark(known, features, label, row_id, s, None if evaluate is None else evaluate.where(F.col(label).isNotNull()))
-    x, y = matrix(known.orderBy(row_id), features, label)
-    ids = known.orderBy(row_id).select(F.xxhash64(row_id).alias("row")).toArrow().column(0).to_numpy() if s.subsample < 1 else None
-    held = None if evaluate is None else matrix(evaluate.where(F.col(label).isNotNull()).orderBy(row_id), features, label)
+    x, y, ids = _by_id(known, features, label, row_id)
+    held = None if evaluate is None else _by_id(evaluate.where(F.col(label).isNotNull()), features, label, row_id)[:2]
     return fit_local(x, y, features, s, held, ids=ids)
 
 
-def matrix(df: DataFrame, features: list[str], label: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features and label as arrays; null becomes NaN."""
-    t = df.select(*(F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)), F.col(label).cast("double").alias("y")).toArrow()
-    cols = [t.column(k).to_numpy() for k in range(len(features) + 1)]
-    return np.stack(cols[:-1], axis=1).astype(float), np.asarray(cols[-1], float)
+def _by_id(df: DataFrame, features: list[str], label: str, row_id: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, label and hashes of the row ids in the order of those hashes (then of the features), which doesn't
+    depend on how the rows are dealt; nothing is shuffled for it."""
+    hashed = free_name(df, "hash")
+    x, y = matrix(df.withColumn(hashed, F.xxhash64(row_id)), features, label, also=hashed)
+    ids = x[1]
+    x = x[0]
+    order = np.argsort(ids, kind="stable")
+    same = ids[order][1:] == ids[order][:-1]
+    if same.any():
+        order = np.lexsort((y, *x.T[::-1], ids))
+    return x[order], y[order], ids[order]
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def matrix(df: DataFrame, features: list[str], label: str, also: str | None = None):
+    """Features and label as arrays; null becomes NaN.  ``also``: a long column, which then comes with the features."""
+    extra = [F.col(also)] if also else []
+    t = df.select(*(F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)), F.col(label).cast("double").alias("y"), *extra).toArrow()
+    cols = [t.column(k).to_numpy() for k in range(len(features) + 1 + len(extra))]
+    x, y = np.stack(cols[: len(features)], axis=1).astype(float), np.asarray(cols[len(features)], float)
+    return ((x, cols[-1]) if also else x), y

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -86,12 +88,19 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return d.sum(2).argmin(1)
 
 
-def nearest_expression(features: list[str], centers: np.ndarray):
-    """The same as a column: an array of distances to literal centers, in generated code, without a join."""
+def distances(features: list[str], centers: np.ndarray):
+    """A column: the array of squared distances to literal centers, in generated code, without a join."""
     zero = F.lit(0.0)
     value = lambda f: F.col(f).cast("double")
-    d = [sum((F.coalesce(F.nanvl(value(f), F.lit(None).cast("double")) - float(c[k]), zero) ** 2 for k, f in enumerate(features)), zero) for c in centers]
-    return (F.array_position(F.array(*d), F.array_min(F.array(*d))) - 1).cast("int")
+    # Summed from the first coordinate on, one term after the other.
+    apart = lambda c: reduce(add, (F.coalesce((F.nanvl(value(f), F.lit(None).cast("double")) - float(c[k])) * (F.nanvl(value(f), F.lit(None).cast("double")) - float(c[k])), zero) for k, f in enumerate(features)))
+    return F.array(*map(apart, centers))
+
+
+def nearest_expression(features: list[str], centers: np.ndarray):
+    """The nearest center as a column."""
+    d = distances(features, centers)
+    return (F.array_position(d, F.array_min(d)) - 1).cast("int")
 
 
 def fit_centers(df: DataFrame, features: list[str], row_id: str, k: int, iterations: int = 10) -> np.ndarray:

@@ -17,6 +17,7 @@ from tidegrove.functions.settings import BoostSettings, derive, derive_regressio
 from tidegrove.operators import ensembles
 from tidegrove.operators import relational as op
 from tidegrove.operators.boosting import BoostModel, fit
+from tidegrove.operators.ordered import Ordered
 from tidegrove.sources import tables
 
 
@@ -98,10 +99,9 @@ class BoostRegressor(_Estimator):
     def fit(self, df: DataFrame, evaluate: DataFrame | None = None, distributed: bool | None = None) -> BoostRegressor:
         self._check(df, True)
         if self.auto:
-            spark, named = df.sparkSession, df.select(F.col(self.label).cast("double").alias("y"))
-            stats = op.run(spark, op.outlier_ratio("{df}", "y"), df=named).first()
-            mad = op.run(spark, op.mad("{df}", "y"), df=named).first()[0]
-            s = derive_regression(stats["n"], len(self.features), stats["ratio"], mad, **self.settings)
+            o = Ordered(df.sparkSession, df=df.select(F.col(self.label).cast("double").alias("y")).where("y IS NOT NULL"))
+            stats = o.outlier_ratio("{df}", "y").first()
+            s = derive_regression(stats["n"], len(self.features), stats["ratio"], o.mad("{df}", "y"), **self.settings)
         else:
             s = BoostSettings(**{"objective": "squared", "mi_weight": 0.0, **self.settings})
         self.model_ = fit(df, self.features, self.label, self.row_id, s, evaluate, distributed)

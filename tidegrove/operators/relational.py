@@ -1,5 +1,10 @@
 """Set-based operators of the engine, as SQL that Spark plans and other engines can check.
 
+Texts marked "Spark" use its array functions to get by with one scan; the plain
+ones say the same for any engine.  Operators that need an order over all rows are
+here in their plain form, with a window over everything; ``ordered`` has the forms
+that run on many machines.
+
 A function takes relations (SQL text of a table or subquery) and column
 expressions and returns a query.  ``run`` executes one with DataFrames in the
 places of its ``{name}`` parameters.  Ordered operators take the columns of a
@@ -27,7 +32,7 @@ def round6(x: str) -> str:
 
 
 def profile(rel: str, features: list[str], label: str) -> str:
-    """Per feature: rows, missing (null or NaN), distinct values, positives of the label.  One pass."""
+    """Per feature: rows, missing (null or NaN), distinct values, positives of the label.  A scan per feature."""
     parts = [
         f"SELECT '{f}' AS feature, count(*) AS n, count(*) - count(CASE WHEN NOT isnan({f}) THEN {f} END) AS n_missing, "
         f"count(DISTINCT CASE WHEN NOT isnan({f}) THEN {f} END) AS n_distinct, count(CASE WHEN {fn.positive(label)} THEN 1 END) AS n_positive FROM {rel} AS t"
@@ -36,6 +41,15 @@ def profile(rel: str, features: list[str], label: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def profile_in_one_scan(rel: str, features: list[str], label: str) -> str:
+    """``profile`` for Spark: rows are turned into (feature, value), counted by value, then by feature."""
+    values = ", ".join(f"named_struct('feature', '{f}', 'v', CASE WHEN NOT isnan({f}) THEN CAST({f} AS DOUBLE) END)" for f in features)
+    return f"""
+    SELECT feature, CAST(sum(k) AS BIGINT) AS n, CAST(sum(CASE WHEN v IS NULL THEN k ELSE 0 END) AS BIGINT) AS n_missing, count(v) AS n_distinct, CAST(sum(pos) AS BIGINT) AS n_positive
+    FROM (SELECT f.feature, f.v, count(*) AS k, count(CASE WHEN yes THEN 1 END) AS pos FROM (SELECT explode(array({values})) AS f, {fn.positive(label)} AS yes FROM {rel} AS t) AS a GROUP BY f.feature, f.v) AS b
+    GROUP BY feature"""
+
+
 def base_log_odds(rel: str, label: str) -> str:
     """Positives, negatives and ln(pos / max(neg, 1)), at least -10."""
     return f"""
@@ -126,6 +140,14 @@ def histogram(rel: str, features: list[str], g: str, h: str, y: str, where: str
     return " UNION ALL ".join(parts)
 
 
+def histogram_in_one_scan(rel: str, features: list[str], g: str, h: str, y: str, where: str = "true") -> str:
+    """``histogram`` for Spark: one scan and one exchange of at most features * bins rows a task."""
+    bins = ", ".join(f"CAST({f} AS INT)" for f in features)
+    return f"""
+    SELECT feature, bin, sum(g) AS g, sum(h) AS h, sum(y) AS y, count(*) AS n
+    FROM (SELECT posexplode(array({bins})) AS (feature, bin), {g} AS g, {h} AS h, {y} AS y FROM {rel} AS t WHERE {where}) AS x GROUP BY feature, bin"""
+
+
 def subtract(parent: str, child: str) -> str:
     """The sibling's histogram."""
     return f"""
@@ -198,7 +220,7 @@ def confusion(rel: str, score: str, label: str, threshold: float = 0.5) -> str:
 
 
 def threshold_sweep(rel: str, score: str, label: str) -> str:
-    """The first threshold of .10, .15, ... .85 with the best F1.  One pass: counts for each."""
+    """The first threshold of .10, .15, ... .85 with the best F1, from a row for each row and threshold."""
     steps = ", ".join(f"({i / 100!r})" for i in range(10, 90, 5))
     return f"""
     SELECT {_f1("threshold,")} FROM (SELECT CAST(u.th AS DOUBLE) AS threshold, {_COUNTS}
@@ -206,6 +228,17 @@ def threshold_sweep(rel: str, score: str, label: str) -> str:
     ORDER BY f1 DESC, threshold LIMIT 1"""
 
 
+def threshold_sweep_in_one_scan(rel: str, score: str, label: str) -> str:
+    """``threshold_sweep`` for Spark: hits at each threshold are conditional counts, so nothing is multiplied."""
+    steps = [i / 100 for i in range(10, 90, 5)]
+    hits = ", ".join(f"count(CASE WHEN s >= {t!r}D AND yes THEN 1 END) AS tp{k}, count(CASE WHEN s >= {t!r}D AND NOT yes THEN 1 END) AS fp{k}" for k, t in enumerate(steps))
+    rows = ", ".join(f"named_struct('threshold', {t!r}D, 'tp', tp{k}, 'fp', fp{k}, 'fn', p - tp{k}, 'tn', n - fp{k})" for k, t in enumerate(steps))
+    return f"""
+    SELECT {_f1("threshold,")} FROM (SELECT c.* FROM (SELECT explode(array({rows})) AS c
+        FROM (SELECT count(CASE WHEN yes THEN 1 END) AS p, count(CASE WHEN NOT yes THEN 1 END) AS n, {hits} FROM (SELECT {score} AS s, {fn.positive(label)} AS yes FROM {rel} AS t) AS x) AS y) AS z) AS w
+    ORDER BY f1 DESC, threshold LIMIT 1"""
+
+
 def class_f1_counts(rel: str, predicted: str, label: str) -> str:
     """Per class: support, predictions, hits, precision, recall, F1.  The rows are reduced to a table of pairs first."""
     pairs = f"SELECT {label} AS y, {predicted} AS p, count(*) AS n FROM {rel} AS t GROUP BY 1, 2"
@@ -233,6 +266,15 @@ def regression_metrics(rel: str, predicted: str, label: str) -> str:
     FROM (SELECT CAST({label} AS DOUBLE) AS y, CAST({predicted} AS DOUBLE) AS p FROM {rel} AS t) AS x"""
 
 
+def pr_auc_by_score(rel: str, score: str, label: str) -> str:
+    """Average precision with rows of one score taken together, from counts per score."""
+    down = "OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""
+    SELECT {round6("CASE WHEN coalesce(sum(pos), 0) = 0 THEN 0.0 ELSE sum(pos * tp / CAST(seen AS DOUBLE)) / sum(pos) END")} AS auc
+    FROM (SELECT pos, sum(pos) {down} AS tp, sum(k) {down} AS seen
+          FROM (SELECT {score} AS s, count(*) AS k, count(CASE WHEN {fn.positive(label)} THEN 1 END) AS pos FROM {rel} AS t GROUP BY {score}) AS c) AS w"""
+
+
 def poisson_deviance(rel: str, margin: str, label: str) -> str:
     return f"SELECT {round6(f'avg({fn.rate(margin)} - ({label}) * ({margin}))')} AS loss FROM {rel} AS t"
 
@@ -311,8 +353,8 @@ def vulnerability_baseline(rel: str, p: str, y: str) -> str:
 def nearest_center(points: str, centers: str, dims: int, key: str) -> str:
     """(key, partition, distance): the center of least squared distance, the lower number on ties.
 
-    ``points`` and ``centers`` have columns c0 .. c{dims-1}; the centers are few and
-    broadcast, so this is a scan with an aggregate per point on its own task."""
+    ``points`` and ``centers`` have columns c0 .. c{dims-1}.  Every pair is a row here; ``ensembles.nearest_expression``
+    is the form without a join."""
     d = " + ".join(f"(p.c{i} - c.c{i}) * (p.c{i} - c.c{i})" for i in range(dims))
     return f"""
     SELECT {key}, partition_, distance FROM (

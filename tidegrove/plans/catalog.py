@@ -9,10 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegrove.functions import scalar as fn
+from tidegrove.operators import ensembles
 from tidegrove.operators import relational as op
+from tidegrove.operators.ordered import Ordered, clock, literal
 from tidegrove.operators.relational import round6
 from tidegrove.plans import models
 
@@ -20,11 +24,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _relational(name: str, sql: str) -> None:
+def _batched(name: str, sql: str) -> None:
+    """A query over events in batches of a thousand."""
+    _relational(name, sql, plan=lambda o: o.run(sql.replace(_BATCHED, o.batches(_EVENTS, ["ts", "event_id"], 1000, clock("ts")))))
+
+
+def _relational(name: str, sql: str, spark_sql: str | None = None, plan: Callable[[Ordered], DataFrame] | None = None) -> None:
+    """``spark_sql`` or ``plan``: what Spark runs instead, while ``sql`` stays the twin."""
     tables = sorted(set(re.findall(r"\{(\w+)\}", sql)))
+    # Histograms take one scan in Spark.
+    text = spark_sql or sql.replace(_HIST, _HIST_SPARK).replace(_SMALL, _SMALL_SPARK)
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op.run(spark, sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+        frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+        return plan(Ordered(spark, **frames)) if plan else op.run(spark, text, **frames)
 
     query.__name__ = name
     QUERIES[name] = query
@@ -38,6 +51,8 @@ _FEATURES = ["b0", "b1", "b2", "b3"]
 _P = "CAST(0.33 AS DOUBLE)"
 _HIST = op.histogram(_BINS, _FEATURES, *fn.logistic(_P, "y", 2.0), "y")
 _SMALL = op.histogram(_BINS, _FEATURES, *fn.logistic(_P, "y", 2.0), "y", "b2 <= 8")
+_HIST_SPARK = op.histogram_in_one_scan(_BINS, _FEATURES, *fn.logistic(_P, "y", 2.0), "y")
+_SMALL_SPARK = op.histogram_in_one_scan(_BINS, _FEATURES, *fn.logistic(_P, "y", 2.0), "y", "b2 <= 8")
 _ORDERS = "(SELECT o_orderkey, o_totalprice, o_orderstatus, 1.0 / (1.0 + exp(-(o_totalprice - 150000.0) / 60000.0)) AS p, CASE WHEN o_orderstatus = 'F' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS y FROM {orders})"
 _EVENTS = "(SELECT event_id, ts, value, user_id, event_type, CASE WHEN event_type = 'error' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS y, 1.0 / (1.0 + exp(-(value - 50.0) / 25.0)) AS p, value - 48.0 AS err FROM {events})"
 _BATCHED = f"({op.batches(_EVENTS, 'ts, event_id', 1000)})"
@@ -51,21 +66,23 @@ _TREE_B = [{"feature": 1, "threshold": 4, "left": 1, "right": 2}, {"value": -0.3
 _MARGIN = f"(SELECT b0, b1, b2, b3, y, {op.score_expression(_TREE_A, 'b{}')} AS s1, {op.score_expression(_TREE_B, 'b{}')} AS s2 FROM {_BINS} AS z)"
 
 # Profiles and automatic settings.
-_relational("profile_columns", op.profile(_R, ["q", "l_extendedprice", "l_discount", "l_tax"], "y"))
+_PROFILED = (_R, ["q", "l_extendedprice", "l_discount", "l_tax"], "y")
+_relational("profile_columns", op.profile(*_PROFILED), op.profile_in_one_scan(*_PROFILED))
 _relational("pos_ratio_base_score", op.base_log_odds(_R, "y"))
 _relational("auto_config", models.auto_settings_sql(_R, "y", 4))
-_relational("upper_median", f"SELECT {round6('v')} AS v FROM ({op.upper_median('{events}', 'value')}) AS m")
-_relational("mad", f"SELECT {round6('v')} AS v FROM ({op.mad('{events}', 'value')}) AS m")
-_relational("iqr_outlier_ratio", op.outlier_ratio("{lineitem}", "l_extendedprice"))
-_relational("regressor_auto_config", models.regressor_settings_sql("{lineitem}", "l_extendedprice", 3))
+_relational("upper_median", f"SELECT {round6('v')} AS v FROM ({op.upper_median('{events}', 'value')}) AS m", plan=lambda o: o.statistics("{events}", "value", v="floor(n / 2)").selectExpr("round(v, 6) AS v"))
+_relational("mad", f"SELECT {round6('v')} AS v FROM ({op.mad('{events}', 'value')}) AS m", plan=lambda o: o.run(f"SELECT {round6(literal(o.mad('{events}', 'value')))} AS v"))
+_relational("iqr_outlier_ratio", op.outlier_ratio("{lineitem}", "l_extendedprice"), plan=lambda o: o.outlier_ratio("{lineitem}", "l_extendedprice"))
+_relational("regressor_auto_config", models.regressor_settings_sql("{lineitem}", "l_extendedprice", 3), plan=lambda o: models.regressor_settings(o, "{lineitem}", "l_extendedprice", 3))
 _relational("column_stats_by_type", f"SELECT event_type, count(*) AS n, {round6('avg(value)')} AS mean, {round6('var_pop(value)')} AS var FROM {{events}} AS t GROUP BY event_type")
 
 # Binning.
-_relational("quantile_edges", op.quantile_edges("{lineitem}", "l_extendedprice"))
-_relational("value_edges", op.quantile_edges("{lineitem}", "l_discount"))
-_relational("bin_floor_regime", op.bin_counts("{lineitem}", "l_extendedprice", op.quantile_edges("{lineitem}", "l_extendedprice")))
-_relational("bin_ceil_regime", op.bin_counts("{lineitem}", "CAST(l_linenumber AS DOUBLE)", op.quantile_edges("{lineitem}", "CAST(l_linenumber AS DOUBLE)")))
-_relational("impute_median", f"SELECT count(*) AS n, count(q) AS known, {round6('sum(coalesce(q, (SELECT v FROM (' + op.upper_median(_R, 'q') + ') AS m)))')} AS total FROM {_R} AS t")
+_relational("quantile_edges", op.quantile_edges("{lineitem}", "l_extendedprice"), plan=lambda o: o.quantile_edges("{lineitem}", "l_extendedprice"))
+_relational("value_edges", op.quantile_edges("{lineitem}", "l_discount"), plan=lambda o: o.quantile_edges("{lineitem}", "l_discount"))
+_LINE = "CAST(l_linenumber AS DOUBLE)"
+_relational("bin_floor_regime", op.bin_counts("{lineitem}", "l_extendedprice", op.quantile_edges("{lineitem}", "l_extendedprice")), plan=lambda o: o.bin_counts("{lineitem}", "l_extendedprice", o.quantile_edges("{lineitem}", "l_extendedprice")))
+_relational("bin_ceil_regime", op.bin_counts("{lineitem}", _LINE, op.quantile_edges("{lineitem}", _LINE)), plan=lambda o: o.bin_counts("{lineitem}", _LINE, o.quantile_edges("{lineitem}", _LINE)))
+_relational("impute_median", f"SELECT count(*) AS n, count(q) AS known, {round6('sum(coalesce(q, (SELECT v FROM (' + op.upper_median(_R, 'q') + ') AS m)))')} AS total FROM {_R} AS t", plan=lambda o: o.run(f"SELECT count(*) AS n, count(q) AS known, {round6(f'sum(coalesce(q, {literal(o.upper_median(_R, chr(113)))}))')} AS total FROM {_R} AS t"))
 
 # Losses.
 _relational("logistic_grad_hess", op.gradient_sums(_R, "l_returnflag", fn.logistic("(l_discount * 5.0 + 0.2)", "y", 2.5), "y"))
@@ -101,11 +118,12 @@ _relational("prune_trees", op.prune(_TREES, _DEAD, 0.8))
 _relational("truncate_trees", f"SELECT tree_id, count(*) AS nodes FROM {_TREES} AS t WHERE tree_id <= 1 GROUP BY tree_id")
 
 # Metrics.
-_relational("roc_auc", op.roc_auc(_ORDERS, "p", "y", "o_orderkey"))
-_relational("pr_auc", op.pr_auc(_ORDERS, "p", "y", "o_orderkey"))
-_relational("roc_auc_by_score", op.roc_auc_by_score(_BINS, "b0", "y"))
+_relational("roc_auc", op.roc_auc(_ORDERS, "p", "y", "o_orderkey"), plan=lambda o: o.roc_auc(_ORDERS, "p", "y", "o_orderkey"))
+_relational("pr_auc", op.pr_auc(_ORDERS, "p", "y", "o_orderkey"), plan=lambda o: o.pr_auc(_ORDERS, "p", "y", "o_orderkey"))
+_relational("roc_auc_by_score", op.roc_auc_by_score(_BINS, "b0", "y"), plan=lambda o: o.roc_auc_by_score(_BINS, "b0", "y"))
+_relational("pr_auc_by_score", op.pr_auc_by_score(_BINS, "b0", "y"), plan=lambda o: o.pr_auc_by_score(_BINS, "b0", "y"))
 _relational("confusion_f1", op.confusion(_ORDERS, "p", "y"))
-_relational("threshold_sweep", op.threshold_sweep(_ORDERS, "p", "y"))
+_relational("threshold_sweep", op.threshold_sweep(_ORDERS, "p", "y"), op.threshold_sweep_in_one_scan(_ORDERS, "p", "y"))
 _relational("class_f1_counts", op.class_f1_counts(_ORDERS, "CASE WHEN p < 0.3 THEN 'P' WHEN p < 0.6 THEN 'F' ELSE 'O' END", "o_orderstatus"))
 _relational("macro_f1", op.macro_f1(_ORDERS, "CASE WHEN p < 0.3 THEN 'P' WHEN p < 0.6 THEN 'F' ELSE 'O' END", "o_orderstatus"))
 _relational("rmse_mae_r2", op.regression_metrics("{lineitem}", "l_quantity * 1500.0", "l_extendedprice"))
@@ -119,18 +137,19 @@ _relational(
 )
 
 # Batches, buffers, drift.
-_relational("batch_metrics", f"SELECT batch, count(*) AS n, {round6('avg(abs(err))')} AS mae, {round6('sqrt(avg(err * err))')} AS rmse, {round6('avg(y)')} AS pos_ratio FROM {_BATCHED} AS t GROUP BY batch")
+_batched("batch_metrics", f"SELECT batch, count(*) AS n, {round6('avg(abs(err))')} AS mae, {round6('sqrt(avg(err * err))')} AS rmse, {round6('avg(y)')} AS pos_ratio FROM {_BATCHED} AS t GROUP BY batch")
 _relational("rolling_buffer", f"SELECT event_id, {round6('value')} AS value FROM ({op.newest(_EVENTS, 'event_id', 500)}) AS b")
 _relational("vulnerability_baseline", op.vulnerability_baseline(_EVENTS, "p", "y"))
-_relational("vulnerability_ema", op.ema(f"(SELECT * FROM (SELECT *, {fn.vulnerability('p', 'y', '0.2')} AS v FROM {_EVENTS} AS e) AS w WHERE abs(y - p) > 0.2)", "v", "event_id"))
-_relational(
+_VULNERABLE = f"(SELECT * FROM (SELECT *, {fn.vulnerability('p', 'y', '0.2')} AS v FROM {_EVENTS} AS e) AS w WHERE abs(y - p) > 0.2)"
+_relational("vulnerability_ema", op.ema(_VULNERABLE, "v", "event_id"), plan=lambda o: o.ema(_VULNERABLE, "v", ["event_id"]))
+_batched(
     "recent_weighted_rmse",
     f"SELECT batch, {round6('0.5 * rmse + 0.3 * lag(rmse, 1) OVER (ORDER BY batch) + 0.2 * lag(rmse, 2) OVER (ORDER BY batch)')} AS weighted "
     f"FROM (SELECT batch, sqrt(avg(err * err)) AS rmse FROM {_BATCHED} AS t GROUP BY batch) AS b",
 )
-_relational("recent_avg_metric", f"SELECT batch, {round6('avg(mae) OVER (ORDER BY batch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS recent FROM (SELECT batch, avg(abs(err)) AS mae FROM {_BATCHED} AS t GROUP BY batch) AS b")
-_relational("smoothed_validation", f"SELECT batch, {round6('avg(mae) OVER (ORDER BY batch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS smoothed FROM (SELECT batch, avg(abs(err)) AS mae FROM {_BATCHED} AS t GROUP BY batch) AS b")
-_relational(
+_batched("recent_avg_metric", f"SELECT batch, {round6('avg(mae) OVER (ORDER BY batch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS recent FROM (SELECT batch, avg(abs(err)) AS mae FROM {_BATCHED} AS t GROUP BY batch) AS b")
+_batched("smoothed_validation", f"SELECT batch, {round6('avg(mae) OVER (ORDER BY batch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')} AS smoothed FROM (SELECT batch, avg(abs(err)) AS mae FROM {_BATCHED} AS t GROUP BY batch) AS b")
+_batched(
     "recent_avg_pr_auc",
     f"SELECT batch, {round6('avg(auc) OVER (ORDER BY batch ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)')} AS recent FROM ("
     "SELECT batch, CASE WHEN max(pt) = 0 THEN 0.0 ELSE sum(CASE WHEN y > 0 THEN tp / seen ELSE 0.0 END) / max(pt) END AS auc FROM ("
@@ -139,10 +158,10 @@ _relational(
     f"FROM {_BATCHED} AS t) AS r GROUP BY batch) AS b",
 )
 _relational("error_entropy", op.error_entropy(_EVENTS, "abs(err)"))
-_relational("residual_autocorr", op.autocorrelation(_EVENTS, "err", "event_id"))
-_relational("heteroscedasticity", op.heteroscedasticity(_EVENTS, "p", "err", "event_id"))
-_relational("feature_mean_shift", op.mean_shift(_EVENTS, ["value", "p"], "event_id"))
-_relational("feature_volatility", f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, (SELECT v FROM ({op.upper_median('{events}', 'value')}) AS m) AS md FROM {{events}} AS e) AS t")
+_relational("residual_autocorr", op.autocorrelation(_EVENTS, "err", "event_id"), plan=lambda o: o.autocorrelation(_EVENTS, "err", ["event_id"]))
+_relational("heteroscedasticity", op.heteroscedasticity(_EVENTS, "p", "err", "event_id"), plan=lambda o: o.heteroscedasticity(_EVENTS, "p", "err", "event_id"))
+_relational("feature_mean_shift", op.mean_shift(_EVENTS, ["value", "p"], "event_id"), plan=lambda o: o.mean_shift(_EVENTS, ["value", "p"], ["event_id"]))
+_relational("feature_volatility", f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, (SELECT v FROM ({op.upper_median('{events}', 'value')}) AS m) AS md FROM {{events}} AS e) AS t", plan=lambda o: o.run(f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, {literal(o.upper_median('{events}', 'value'))} AS md FROM {{events}} AS e) AS t"))
 _relational("minority_error_rate", f"SELECT {round6('avg(CASE WHEN p < 0.5 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS rate, count(*) AS n FROM {_EVENTS} AS t WHERE y > 0.5")
 _GRID = "(SELECT CAST(h AS DOUBLE) AS h, CAST(acf AS DOUBLE) AS acf, CAST(het AS DOUBLE) AS het, CAST(rmse AS DOUBLE) AS rmse, n, CAST(cx AS DOUBLE) AS cx, CAST(deg AS DOUBLE) AS deg FROM (VALUES (0.5, 0.1, 0.2, 1.0, 500, 3.0, 0.1), (3.1, 0.7, 2.0, 1.0, 5000, 2.0, 1.2), (2.0, 0.6, 0.1, 1.0, 20000, 1.0, 2.0), (1.0, 0.1, 0.9, 1.0, 15000, 2.6, 0.5)) AS v(h, acf, het, rmse, n, cx, deg))"
 _score = fn.drift_score("h", "acf", "het", "rmse")
@@ -150,30 +169,49 @@ _relational("drift_score", f"SELECT n, {fn.drift_kind('h')} AS kind, {round6(_sc
 _relational("new_tree_count", f"SELECT n, {fn.tree_count(_score, 'abs(acf)', 'least(het / rmse, 1.0)', 'n', 'cx', 'deg')} AS trees FROM {_GRID} AS t")
 _relational("complexity", f"SELECT {round6('var_pop(err) + 0.5 * var_pop(p)')} AS complexity FROM {_EVENTS} AS t")
 
-# Partitions.
-_C = 4
-_POINTS = {"spark": ", ".join(f"CAST(embedding[{i}] AS DOUBLE) AS c{i}" for i in range(_C)), "duck": ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS c{i}" for i in range(_C))}
+# Partitions: the rows of the first ten vectors are the centers.
+_DIMS, _CENTERS = 64, 10
 
 
-def _embedding_query(name: str, sql: Callable[[str, str], str]) -> None:
-    points = {k: f"(SELECT vec_id, label, {v} FROM {{embeddings}})" for k, v in _POINTS.items()}
-    texts = {k: sql(v, f"(SELECT CAST(vec_id AS INT) AS partition_, c0, c1, c2, c3 FROM {v} AS z WHERE vec_id < 10)") for k, v in points.items()}
+def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[int, list[float]]]:
+    """vec_id, label, c0 .. and the nearest center (partition_, distance): literal centers, so there is no join."""
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"c{i}") for i in range(_DIMS)))
+    names = [f"c{i}" for i in range(_DIMS)]
+    centers = {r.vec_id: [r[c] for c in names] for r in points.where(F.col("vec_id") < _CENTERS).orderBy("vec_id").collect()}
+    found = points.select("*", ensembles.distances(names, np.array(list(centers.values()))).alias("d_"))
+    return found.select("vec_id", "label", *names, (F.array_position("d_", F.array_min("d_")) - 1).cast("int").alias("partition_"), F.array_min("d_").alias("distance")), centers
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return op.run(spark, texts["spark"], embeddings=spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
-    query.__name__ = name
-    QUERIES[name] = query
-    ORACLES[name] = texts["duck"].format(embeddings="embeddings")
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _assigned(spark, sf_dir)
+    return rows.select("vec_id", "partition_", F.round("distance", 6).alias("distance"))
+
+
+def kmeans_one_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New centers, zero for one without rows, in one aggregate."""
+    rows, centers = _assigned(spark, sf_dir)
+    known = spark.createDataFrame([(int(k),) for k in centers], "partition_ int")
+    means = rows.groupBy("partition_").agg(*(F.avg(f"c{i}").alias(f"c{i}") for i in range(_DIMS)), F.count("*").alias("n"))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    return known.join(F.broadcast(means), "partition_", "left").select("partition_", *(zero(F.col(f"c{i}")).alias(f"c{i}") for i in range(_DIMS)), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def partition_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = _assigned(spark, sf_dir)
+    return rows.groupBy("partition_").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") != F.col("partition_")).cast("double")), 6).alias("error"))
 
 
-def _assigned(points: str, centers: str) -> str:
-    return f"(SELECT n.partition_, n.distance, q.* FROM ({op.nearest_center(points, centers, _C, 'vec_id')}) AS n JOIN {points} AS q ON n.vec_id = q.vec_id)"
+def _assigned_sql() -> tuple[str, str]:
+    points = "(SELECT vec_id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS c{i}" for i in range(_DIMS)) + " FROM embeddings)"
+    centers = f"(SELECT CAST(vec_id AS INT) AS partition_, {', '.join(f'c{i}' for i in range(_DIMS))} FROM {points} AS z WHERE vec_id < {_CENTERS})"
+    return f"(SELECT n.partition_, n.distance, q.* FROM ({op.nearest_center(points, centers, _DIMS, 'vec_id')}) AS n JOIN {points} AS q ON n.vec_id = q.vec_id)", centers
 
 
-_embedding_query("nearest_centroid", lambda p, c: f"SELECT vec_id, partition_, {round6('distance')} AS distance FROM ({op.nearest_center(p, c, _C, 'vec_id')}) AS n")
-_embedding_query("kmeans_one_step", lambda p, c: f"SELECT k.partition_, {', '.join(round6(f'coalesce(avg(a.c{i}), 0.0)') + f' AS c{i}' for i in range(_C))}, count(a.vec_id) AS n FROM {c} AS k LEFT JOIN {_assigned(p, c)} AS a ON k.partition_ = a.partition_ GROUP BY k.partition_")
-_embedding_query("partition_error", lambda p, c: f"SELECT partition_, count(*) AS n, {round6('avg(CASE WHEN label <> partition_ THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS error FROM {_assigned(p, c)} AS a GROUP BY partition_")
+_ASSIGNED, _KNOWN = _assigned_sql()
+QUERIES |= {f.__name__: f for f in (nearest_centroid, kmeans_one_step, partition_error)}
+ORACLES["nearest_centroid"] = f"SELECT vec_id, partition_, {round6('distance')} AS distance FROM {_ASSIGNED} AS n"
+ORACLES["kmeans_one_step"] = f"SELECT k.partition_, {', '.join(round6(f'coalesce(avg(a.c{i}), 0.0)') + f' AS c{i}' for i in range(_DIMS))}, count(a.vec_id) AS n FROM {_KNOWN} AS k LEFT JOIN {_ASSIGNED} AS a ON k.partition_ = a.partition_ GROUP BY k.partition_"
+ORACLES["partition_error"] = f"SELECT partition_, count(*) AS n, {round6('avg(CASE WHEN label <> partition_ THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS error FROM {_ASSIGNED} AS a GROUP BY partition_"
 
 # Fitted models, drift replay: no SQL form, checked by tests.
 QUERIES |= models.QUERIES

@@ -11,6 +11,7 @@ from tidegrove.functions.settings import BoostSettings
 from tidegrove.operators import ensembles
 from tidegrove.operators import relational as op
 from tidegrove.operators.boosting import fit, fit_local, matrix
+from tidegrove.operators.ordered import Ordered
 from tidegrove.operators.relational import round6
 from tidegrove.streaming import adaptive
 
@@ -47,6 +48,14 @@ def regressor_settings_sql(rel: str, label: str, features: int) -> str:
     FROM (SELECT n, ratio, (SELECT v FROM ({op.mad(rel, label)}) AS m) AS spread FROM ({op.outlier_ratio(rel, label)}) AS o) AS x"""
 
 
+def regressor_settings(o: Ordered, rel: str, label: str, features: int) -> DataFrame:
+    """The same from order statistics that run on many machines."""
+    r = o.outlier_ratio(rel, label).first()
+    s = st.derive_regression(r["n"], features, r["ratio"], o.mad(rel, label))
+    row = (s.objective, round(s.huber_delta, 6), s.learning_rate, s.depth, round(s.reg_lambda, 6), s.trees)
+    return o.spark.createDataFrame([row], "objective string, huber_delta double, learning_rate double, depth int, reg_lambda double, trees int")
+
+
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _QUICK = BoostSettings(trees=12, depth=4, learning_rate=0.2, subsample=1.0, colsample=1.0, min_samples_split=20, min_child_weight=1.0, mi_weight=0.05)
 
