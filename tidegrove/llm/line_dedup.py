@@ -381,8 +381,10 @@ class _Classes:
 
 
 def _first(x: np.ndarray, y: np.ndarray, spare: np.ndarray, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs by later line and promise, which are among a line's first, and how many the line has."""
-    order = np.lexsort((y, -spare, x))
+    """Pairs by later line and promise, which are among a line's first, and how many the line has.
+
+    Of equal promise any will do: lines choose at random, so that none is asked for by all others like it."""
+    order = np.lexsort((mix64(x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)), -spare, x))
     x, y = x[order], y[order]
     lead = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
     many = np.repeat(np.diff(np.r_[lead, len(x)]), np.diff(np.r_[lead, len(x)]))
@@ -447,7 +449,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-_SENT = "bucket int, xd long, xl int, xs long, yd long, yl int, ys long, more boolean, words binary"
+_SENT = "bucket int, xd array<long>, xl array<int>, xs array<long>, more array<boolean>, words binary"
 
 
 def _wanted(docs: pa.Table, pairs: pa.Table, doc: str, line: str, mark: str, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -489,23 +491,29 @@ def _some_lines(docs: pa.Table, lines: dict[int, set[int]], levels: np.ndarray)
         yield keys, LineSets(pa.array(texts), levels)
 
 
-def send(levels: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """In a group of documents: the words of each earlier line asked for, once to each group that asks (column ``to``)."""
-
-    def run(docs: pa.Table, asks: pa.Table) -> pa.Table:
-        found: list[tuple[int, bytes]] = []
-        line, raw = None, b""
-        if asks.num_rows:
-            # The asks for one line come one after the other, so its words are packed once.
-            for j, words in _wanted(docs, asks, "yd", "yl", "ys", levels):
-                if words is not line:
-                    line, raw = words, _short(words).tobytes()
-                found.append((j, raw))
-        some = asks.take(pa.array([j for j, _ in found], pa.int64()))
-        n = len(found)
-        blank = {"xd": pa.nulls(n, pa.int64()), "xl": pa.nulls(n, pa.int32()), "xs": pa.nulls(n, pa.int64()), "more": pa.nulls(n, pa.bool_())}
-        cols = {"bucket": some.column("to"), **blank, **{k: some.column(k) for k in ("yd", "yl", "ys")}, "words": pa.array([w for _, w in found], pa.binary())}
-        return pa.table({k: cols[k] for k in ("bucket", *_PAIR_NAMES, "words")})
+def send(levels: np.ndarray, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """In a group of documents: the words of each earlier line, once to each group that has later lines to
+    compare with it, with the list of those; settled lines go to their groups without words."""
+
+    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        if pairs.num_rows:
+            cols = [pairs.column(k).to_numpy() for k in ("xd", "xl", "xs", "more")]
+            to = group_of(cols[0], groups)
+            found: dict[tuple[int, int], list[int]] = {}
+            words: dict[int, bytes] = {}
+            for i in np.flatnonzero(np.array([x is None for x in pairs.column("yd").to_pylist()], bool)).tolist():
+                found.setdefault((-1, int(to[i])), []).append(i)
+            # The places of one line's pairs come one after the other, so its words are held once.
+            line, held = -1, None
+            for j, w in _wanted(docs, pairs, "yd", "yl", "ys", levels):
+                if w is not held:
+                    line, held = line + 1, w
+                    words[line] = _short(w).tobytes()
+                found.setdefault((line, int(to[j])), []).append(j)
+            rows = [(g, *(c[at].tolist() for c in cols), words.get(y)) for (y, g), at in found.items()]
+        kinds = (pa.int32(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "xd", "xl", "xs", "more", "words"])
 
     return run
 
@@ -520,16 +528,15 @@ def verify(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[pa.Ta
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if sent.num_rows:
-            has = pa.compute.is_valid(sent.column("words"))
-            given = sent.filter(has)
-            words = dict(zip(zip(*(given.column(k).to_pylist() for k in ("yd", "yl", "ys")), strict=True), given.column("words").to_pylist(), strict=True))
-            sent = sent.filter(pa.compute.invert(has))
+            sizes = pa.compute.list_value_length(sent.column("xd")).to_numpy()
+            held = sent.column("words").to_pylist()
+            theirs = [held[i] for i in np.repeat(np.arange(len(sizes)), sizes).tolist()]
+            sent = pa.table({k: pa.compute.list_flatten(sent.column(k)) for k in ("xd", "xl", "xs", "more")})
             keys = list(zip(*(sent.column(k).to_pylist() for k in ("xd", "xl", "xs")), strict=True))
-            theirs = [words.get(y) for y in zip(*(sent.column(k).to_pylist() for k in ("yd", "yl", "ys")), strict=True)]
             more = sent.column("more").to_pylist()
-            good = {k for k, y in zip(keys, sent.column("yd").to_pylist(), strict=True) if y is None}
+            good = {k for k, w in zip(keys, theirs, strict=True) if w is None}
             again: dict[tuple, list[int]] = {}
-            ask = sent.append_column("j", pa.array(range(len(keys)), pa.int64())).filter(pa.array([w is not None for w in theirs], pa.bool_()))
+            ask = sent.append_column("j", pa.array(range(len(keys)))).filter(pa.array([w is not None for w in theirs], pa.bool_()))
             back = ask.column("j").to_pylist()
             for i, mine in _wanted(docs, ask, "xd", "xl", "xs", levels):
                 j = back[i]
@@ -601,10 +608,7 @@ def remove_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col: str =
     def settle(pairs: DataFrame) -> DataFrame:
         """Verdicts on candidate pairs."""
         one = pairs.groupBy("xd", "xl", "xs", "yd", "yl", "ys").agg(F.max("more").alias("more"))
-        # However many lines are like one line, its document's group is asked once by each group.
-        asks = in_group(one.where("yd IS NOT NULL"), F.col("xd")).select("yd", "yl", "ys", F.col("bucket").alias("to")).distinct()
-        words = grouped.cogroup(in_group(asks, F.col("yd")).groupBy("bucket")).applyInArrow(send(levels), _SENT)
-        sent = in_group(one, F.col("xd")).withColumn("words", F.lit(None).cast("binary")).select(words.columns).union(words)
+        sent = grouped.cogroup(in_group(one, F.coalesce("yd", "xd")).groupBy("bucket")).applyInArrow(send(levels, groups), _SENT)
         return grouped.cogroup(sent.groupBy("bucket")).applyInArrow(verify(levels, buckets, cfg), _VERDICT)
 
     first = settle(entries.applyInArrow(propose(cfg), _PAIR))
