@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidegrove.llm import bpe, decontamination, line_dedup, quality, secret_scan, sharding, simhash, substring_dedup
-from tidegrove.llm.common import word_spans, utf8
+from tidegrove.llm.common import span_hashes, utf8, word_spans
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, leaks string, kept string, bucket string, key string, shard string"
@@ -109,8 +109,9 @@ def test_encode_texts(docs, none):
     assert bpe.encode_texts(none, PATH, PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("window", [8, 50])
-def test_substring_dedup(docs, none, window):
+@pytest.mark.parametrize(("window", "shared"), [(8, 16), (50, 16), (8, 2)])
+def test_substring_dedup(docs, none, window, shared, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARED", shared)
     rows = corpus()
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first: dict = {}
@@ -136,6 +137,33 @@ def test_substring_dedup(docs, none, window):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, -1, 0])
+def test_passage_of_all_documents(spark, order):
+    """A passage that every document has is settled in the tasks, whatever the order of the documents."""
+    rng = random.Random(9)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 70))]
+        at = rng.randint(0, len(words))
+        rows.append((i, " ".join(words[:at] + shared + words[at:])))
+    rows = rng.sample(rows, len(rows)) if not order else rows[::order]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    assert got == {i: (len(t.split()), 60 if i else 0) for i, t in rows}
+
+
+def test_words_have_hashes_of_their_own():
+    rng = random.Random(10)
+    words = sorted({"".join(rng.choice("abé") for _ in range(n)) for n in [*range(1, 40)] * 30 + [250, 256, 257, 300, 5000] * 4})
+    words += ["x" * n for n in (7, 8, 9, 15, 16, 17, 255, 256, 257, 264, 265)]
+    texts = pa.array([" ".join(words), *words])
+    raw, off = utf8(texts)
+    starts, ends, first = word_spans(raw, off)
+    h = span_hashes(raw, starts, ends)
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words)
+    assert span_hashes(raw[:0], starts[:0], ends[:0]).tolist() == []
+
+
 def test_group_of_is_sparks_hash(spark):
     df = spark.range(-50, 50).select((F.col("id") * 123456789).alias("id"), F.pmod(F.xxhash64(F.col("id") * 123456789), F.lit(97)).alias("g")).toPandas()
     assert (substring_dedup.group_of(df["id"].values, 97) == df["g"].values).all()

@@ -75,16 +75,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_coefficients = np.zeros(0, np.uint64)
+_numbers = np.zeros(0, np.uint64)
 _powers = np.zeros((2, 0), np.uint64)
 
 
-def _byte_coefficients(n: int) -> np.ndarray:
-    """A fixed pseudo-random 64-bit number for each byte position of a word."""
-    global _coefficients
-    if len(_coefficients) < n:
-        _coefficients = mix64(np.arange(1, max(256, 2 * n) + 1, dtype=np.uint64) * _C)
-    return _coefficients[:n]
+def _factors(n: int) -> np.ndarray:
+    """A fixed pseudo-random odd number for each eight bytes of a word."""
+    global _numbers
+    if len(_numbers) < n:
+        _numbers = mix64(np.arange(1, max(256, 2 * n) + 1, dtype=np.uint64) * _C) | np.uint64(1)
+    return _numbers[:n]
 
 
 def _word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,20 +145,32 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Bytes up to which words are hashed together, eight bytes at a time.
+_LONG_WORD = 256
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word that ``word_spans`` found in ``raw`` (or a copy without capitals)."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lens = (ends - starts).astype(np.int32)
-    first = np.zeros(len(lens), np.int64)
-    np.cumsum(lens[:-1], out=first[1:])
-    # All that is no white space, in order, is the words one after the other.
-    values = raw[~_WHITE[raw]].astype(np.uint64)
-    values += np.uint64(1)
-    within = np.arange(len(values), dtype=np.int32)
-    within -= np.repeat(first.astype(np.int32), lens)
-    values *= _byte_coefficients(int(lens.max()))[within]
-    return mix64(np.add.reduceat(values, first) ^ (lens.astype(np.uint64) << np.uint64(48)))
+    lens = ends - starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    # The eight bytes from every place on.
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    factors = _factors(_LONG_WORD // 8)
+    total = (eight[starts] & _MASKS[np.minimum(lens, 8)]) * factors[0]
+    more, k = np.flatnonzero((lens > 8) & (lens <= _LONG_WORD)), 1
+    while len(more):
+        left = lens[more] - 8 * k
+        total[more] += (eight[starts[more] + 8 * k] & _MASKS[np.minimum(left, 8)]) * factors[k]
+        more, k = more[left > 8], k + 1
+    for i in np.flatnonzero(lens > _LONG_WORD).tolist():
+        words = np.zeros(-(-int(lens[i]) // 8) * 8, np.uint8)
+        words[: lens[i]] = raw[starts[i] : ends[i]]
+        words = words.view("<u8")
+        total[i] = (words * _factors(len(words))).sum(dtype=np.uint64)
+    return mix64(total ^ (lens.astype(np.uint64) << np.uint64(48)))
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -15,8 +15,9 @@ block of the one that equals some run of words of the other:
 
 Hashes travel in packed arrays, a few bytes each: a row per bucket and some
 megabytes of text.  Buckets and groups of documents grow in number with the
-input, not in size; a run that very many documents share is one entry per
-document in one bucket, and never a pair.
+input, not in size.  Of a run that many documents of one task share, what those
+documents say of each other is settled there: only the least of its blocks, the
+greatest of its probes and what no block of the task precedes go to the bucket.
 
 Null and empty texts have no words.  A document shorter than a window loses
 nothing.  Rows that share an id do not count as earlier than each other, nor do
@@ -109,7 +110,45 @@ class Packer:
         if self.parts:
             cols = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
             self.parts, self.bytes = [], 0
-            yield sized(pack(*cols), self.kind)
+            yield sized(pack(*self.thin(*cols)), self.kind)
+
+    def thin(self, *cols: np.ndarray) -> tuple[np.ndarray, ...]:
+        return cols
+
+
+#: Entries of one run in a packed row from which they are settled among themselves.
+SHARED = 16
+
+
+class _Probes(Packer):
+    """Packs probes; hits that the task can tell by itself go straight to their groups, as buckets beyond the others."""
+
+    def __init__(self, buckets: int, block: int, groups: int):
+        super().__init__(buckets, np.dtype("<u4"))
+        self.block, self.groups = block, groups
+
+    def thin(self, bucket: np.ndarray, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        key = (bucket.astype(np.uint64) << np.uint64(32)) | hashes
+        order = np.argsort(key)
+        some = key[order]
+        lead = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
+        many = np.diff(np.r_[lead, len(some)])
+        hot = many >= SHARED
+        if not hot.any():
+            return bucket, docs, places, hashes
+        at = order[np.repeat(hot, many)]
+        lead = np.cumsum(many[hot]) - many[hot]
+        run = np.repeat(np.arange(len(lead)), many[hot])
+        d, block = docs[at], places[at] % self.block == 0
+        none = np.iinfo(np.int64)
+        least = np.minimum.reduceat(np.where(block, d, none.max), lead)[run]
+        most = np.maximum.reduceat(d, lead)[run]
+        hit = (d > least) | (block & (d < most))
+        # All of the least document's blocks and of the greatest one's probes: few, and which of them doesn't matter.
+        told = hit & ~(block & (d == least)) & (d != most)
+        bucket, docs, places = bucket.copy(), docs, places
+        bucket[at[told]] = self.buckets + group_of(d[told], self.groups)
+        return bucket, docs, places, hashes
 
 
 def sized(rows: pa.RecordBatch, kind: np.dtype) -> pa.RecordBatch:
@@ -134,11 +173,11 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return span_hashes(raw, starts, ends), first, len(raw)
 
 
-def probes(block: int, window: int, buckets: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def probes(block: int, window: int, buckets: int, groups: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Map (id, text) batches to packed hashes of every run of ``block`` words of the documents that have a window."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(buckets, np.dtype("<u4"))
+        packer = _Probes(buckets, block, groups)
         for batch in batches:
             for part in slices(batch, "text"):
                 words, first, size = _word_hashes(part.column("text"))
@@ -158,11 +197,14 @@ def probes(block: int, window: int, buckets: int) -> Callable[[Iterable[pa.Recor
     return run
 
 
-def meet(block: int, groups: int) -> Callable[[pa.Table], pa.Table]:
+def meet(block: int, buckets: int, groups: int) -> Callable[[pa.Table], pa.Table]:
     """In a bucket: probes that meet a block of an earlier document, and blocks that a later one's probe meets."""
 
     def run(data: pa.Table) -> pa.Table:
         docs, places, h = unpack(data, np.dtype("<u4"))
+        if data.num_rows and data.column("bucket")[0].as_py() >= buckets:
+            # Known hits of one group.
+            return _by_group(docs, places, groups)
         at = np.flatnonzero(places % block == 0)
         at = at[np.lexsort((docs[at], h[at]))]
         keys, lead = np.unique(h[at], return_index=True)
@@ -308,7 +350,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     buckets, groups = 1 + total // BUCKET_BYTES, 1 + total // GROUP_BYTES
 
     known = rows.where("id IS NOT NULL")
-    hits = known.mapInArrow(probes(block, window, buckets), PACKED).groupBy("bucket").applyInArrow(meet(block, groups), PACKED)
+    hits = known.mapInArrow(probes(block, window, buckets, groups), PACKED).groupBy("bucket").applyInArrow(meet(block, buckets, groups), PACKED)
 
     grouped = rows.withColumn("bucket", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(groups)).cast("int"))
 
