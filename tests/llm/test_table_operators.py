@@ -17,6 +17,7 @@ def test_url_verdicts(spark):
         "ftp://x.net/es/1", "x.net/es/1", "http://x.net/fr", "http://x.net/fr/", "http://b.org/es/", None, "", "://", "http://://a", "http://É.NET/es/a?://", "http://x.net/de/", "http://co.uk/a", "http://a.b.co.uk/a",
     ]
     rows = [(i, u, "h") for i, u in enumerate(urls)] + [(None, "http://x.net/es/", "h"), (3, urls[3], "h")] + [(100 + i, f"http://h{i % 7}.bad.net/{('es', 'fr', 'de')[i % 3]}/{i}", "h") for i in range(60)]
+    rows += [(200 + i, u, "h") for i, u in enumerate(["http://user:a@b@h1.bad.net:8080/de/", "http://1.2.3.4:80/es/", "http://1.2.3.4/", "http://[::1]:80/a", "http://[", "http://:80/", "http://co.uk:8080/", "http://@/"])]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string").select("page_id", "url", "host", F.lit("x").alias("rule"))
     got = url_reputation.url_verdicts(pages)
     frame = pages.toArrow()

@@ -498,6 +498,47 @@ def test_decontamination_of_many_items_of_one_template():
     assert built < 30 and time.time() - began < 3
 
 
+def test_passages_by_brute_force():
+    """Features of each passage, counted byte by byte and word by word."""
+    texts = [t for _, t in corpus(n=8)] + ["A b, c!\n\nD1 é\x00", "x " * 129, "  lead", "Same same Same"]
+    for words in (4, 64):
+        x, lead = quality.passages(pa.array(texts), words)
+        at = 0
+        for text in texts:
+            raw = (text or "").encode()
+            spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+            cuts = [0, *(spans[i][0] for i in range(words, len(spans), words)), len(raw)]
+            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                piece, some = raw[a:b], [raw[s:e] for s, e in spans[k * words : (k + 1) * words]]
+                counts, pairs = np.zeros(quality._CLASSES), np.zeros(64)
+                for c in piece:
+                    counts[quality._CLASS[c]] += 1
+                for c, d in zip(piece, piece[1:]):
+                    pairs[quality._COARSE[c] * 8 + quality._COARSE[d]] += 1
+                n = max(1, len(some))
+                extra = [np.log1p(len(some)), len(piece) / n / 8, len(set(some)) / n, sum(p == q for p, q in zip(some, some[1:])) / n, sum(w[:1].isalpha() and w[:1].isupper() for w in some) / n]
+                want = np.concatenate([np.sqrt(counts / max(1, len(piece))), np.sqrt(pairs / max(1, len(piece))), extra])
+                assert np.allclose(x[at], want, atol=1e-6)
+                at += 1
+        assert at == len(x) == lead[-1]
+
+
+def test_quality_of_repeated_and_very_long_rows(spark):
+    """The model does not depend on how rows are dealt or repeated; long documents are scored, if not learnt from."""
+    rows = [(i, ("Good words in a calm sentence, number %d. " % i) * 4 if i % 2 else "zx!!%d ## qq" % i * 9, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2 + [(1, None), (61, "Good words. " * 20_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(61, 0)], "doc_id long, quality int")
+    one = quality.fit_quality(docs.repartition(5), labels, F.lit(True))
+    two = quality.fit_quality(docs.coalesce(1), labels, F.lit(True))
+    assert all(np.array_equal(one.params[k], two.params[k]) for k in one.params)
+    got = quality.score_quality(docs, one).collect()
+    by_id: dict = {}
+    for r in got:
+        by_id.setdefault((r.doc_id, r.text), set()).add(r.score)
+    assert len(got) == docs.count() and all(len(s) == 1 for s in by_id.values())
+    assert max(by_id[61, "Good words. " * 20_000]) > 0.5
+
+
 def test_quality_gradients_and_training():
     cfg = quality.QualityConfig(width=4, attention=3)
     rng = np.random.default_rng(0)

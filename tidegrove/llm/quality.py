@@ -5,18 +5,20 @@ its characters and words; a gated attention (tanh times sigmoid) weighs the
 passages of a bag, and the weighted sum of their encodings is scored by a
 logistic unit.  Only documents have labels; what the passages are worth is learnt
 from those.  Training is on the driver, over a bounded sample of labelled
-documents (``sample``: those of least hash of their id, whole texts); scoring
-is a narrow pass over all documents.
+documents (``sample``: those of least hash of their id, whole texts, but none of
+more than ``longest`` bytes); scoring is a narrow pass over all documents.
 
 A null or empty text is a bag of one empty passage and is scored.  A labelled id
 with different labels, a null label or a null id is left out of training; with no
-usable label every score is 0.5.  Repeated rows get equal scores.  Columns
+usable label every score is 0.5.  Of rows that repeat a labelled id one is learnt
+from, that of the least text digest; repeated rows get equal scores.  Columns
 besides those named are ignored, whatever their names.  An empty table gives an
 empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -30,10 +32,12 @@ from tidegrove.llm.common import free_name, slices, span_hashes, table, utf8, wo
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """words a passage; at most ``sample`` labelled documents; widths of encoding and attention; training settings."""
+    """words a passage; at most ``sample`` labelled documents of at most ``longest`` bytes are learnt from (scored are all),
+    which bounds what reaches the driver; widths of encoding and attention; training settings."""
 
     words: int = 64
     sample: int = 4_000
+    longest: int = 1 << 17
     width: int = 16
     attention: int = 8
     epochs: int = 30
@@ -202,16 +206,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learnable: Column, cfg: Qual
             for part in slices(batch, "text"):
                 x, lead = passages(part.column("text"), words)
                 rows = [x[a:b].tobytes() for a, b in zip(lead[:-1], lead[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("y"), pa.array(rows, pa.binary())], names=["y", "x"])
+                digests = [hashlib.sha256(r).digest() for r in rows]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())], names=["id", "y", "digest", "x"])
 
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bags = pair.join(picked, "id").select("y", "text").mapInArrow(encode, "y double, x binary").toArrow()
+    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= cfg.longest)
+    encoded = pair.join(picked, "id").select("id", "y", "text").mapInArrow(encode, f"id {dict(pair.dtypes)['id']}, y double, digest binary, x binary")
+    bags = encoded.groupBy("id").agg(F.min(F.struct("digest", "y", "x")).alias("bag")).select("bag.*").toArrow()
     if not bags.num_rows:
         return None
+    # Whatever order Spark returned.
+    bags = bags.sort_by([("digest", "ascending"), ("y", "ascending")])
     parts = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in bags.column("x").to_pylist()]
-    order = sorted(range(len(parts)), key=lambda i: (len(parts[i]), parts[i].tobytes()[:256]))  # whatever order Spark returned
-    y = (bags.column("y").to_numpy() > 0.5).astype(float)[order]
-    parts = [parts[i] for i in order]
+    y = (bags.column("y").to_numpy() > 0.5).astype(float)
     return train(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, cfg)
 
 

@@ -1,7 +1,8 @@
 """URL filter by rules and empirical-Bayes host reputation, in SQL only.
 
 Pages that a rule judges are labelled outcomes (block: bad).  Outcomes are
-counted by host, registered domain and public suffix.  Each level's bad rate is
+counted by host, registered domain and public suffix (of the name without user and
+port; numeric addresses are domains of one suffix).  Each level's bad rate is
 shrunk to that of the level above through a beta prior whose strength comes from
 the spread between siblings (method of moments for beta-binomial counts):
 suffix to all pages, domain to suffix, host to domain; what a level does not
@@ -18,11 +19,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegrove.llm.common import ready_checkpoints, table
+from tidegrove.llm.common import join_skewed, ready_checkpoints, table
 
 #: Fixed values: (verdict, host, path) of each rule.
 RULES = (
@@ -101,55 +103,82 @@ def _posterior(keys: str, children: str, k: str) -> str:
 
 
 def counts_sql(judged: str) -> str:
-    """Labelled pages and bad ones among them, by host."""
-    return f"SELECT host, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(CASE WHEN ruled = 'block' THEN 1 END) AS DOUBLE) AS bad FROM {judged} GROUP BY host"
+    """Pages, labelled pages and bad ones among them, by host."""
+    return f"SELECT host, count(*) AS pages, CAST(count(ruled) AS DOUBLE) AS n, CAST(count(CASE WHEN ruled = 'block' THEN 1 END) AS DOUBLE) AS bad FROM {judged} GROUP BY host"
 
 
-def reputation_sql(cfg: ReputationConfig, judged: str, counted: str | None = None) -> str:
-    """One row per page.  ``judged`` is the query of ``judged_sql``, ``counted`` that of ``counts_sql`` over it."""
-    counted = counted or counts_sql("judged")
+def hosts_sql(cfg: ReputationConfig, counted: str) -> str:
+    """Hosts with the registered domain and the suffix of their name, without user and port; an address is a domain of its own."""
     two = ", ".join(map(_quote, cfg.suffixes)) or "''"
-    tail2, tail3 = "regexp_extract(host, '[^.]+[.][^.]+$', 0)", "regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0)"
-    last = "regexp_extract(host, '[^.]+$', 0)"
+    tail2, tail3 = "regexp_extract(site, '[^.]+[.][^.]+$', 0)", "regexp_extract(site, '[^.]+[.][^.]+[.][^.]+$', 0)"
+    last = "regexp_extract(site, '[^.]+$', 0)"
+    address = "(site LIKE '[%' OR regexp_extract(site, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$', 0) <> '')"
     return f"""
-WITH judged AS ({judged}),
-hosts AS (
-    SELECT host, CASE WHEN {tail2} IN ({two}) THEN {tail2} ELSE {last} END AS suffix,
-           CASE WHEN {tail2} IN ({two}) AND {tail3} <> '' THEN {tail3} WHEN {tail2} <> '' THEN {tail2} ELSE host END AS domain, n, bad
-    FROM ({counted}) AS counted),
-domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
-suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
-everything AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS rate FROM suffixes),
-suffix_k AS ({_strength("suffixes", "(SELECT rate FROM everything)")}),
-suffix_up AS (SELECT suffix, n, bad, (SELECT rate FROM everything) AS up, 0.0 AS var FROM suffixes),
-suffix_rates AS ({_posterior("suffix", "suffix_up", "suffix_k")}),
-domains_up AS (SELECT d.domain, d.suffix, d.n, d.bad, s.rate AS up, s.var FROM domains d JOIN suffix_rates s ON d.suffix = s.suffix),
-domain_k AS ({_strength("domains_up", "up")}),
-domain_rates AS ({_posterior("domain, suffix", "domains_up", "domain_k")}),
-hosts_up AS (SELECT h.host, h.n, h.bad, d.rate AS up, d.var FROM hosts h JOIN domain_rates d ON h.domain = d.domain AND h.suffix = d.suffix),
-host_k AS ({_strength("hosts_up", "up")}),
-bounds AS (
-    SELECT host, CAST(n AS BIGINT) AS host_labelled, CAST(bad AS BIGINT) AS host_bad, round(greatest(0.0, rate - {cfg.z} * sqrt(var)), 6) AS host_bound
-    FROM ({_posterior("host, n, bad", "hosts_up", "host_k")}) AS posteriors)
-SELECT j.page_id, j.host, j.path, j.rule,
-       CASE WHEN j.ruled IS NOT NULL THEN j.ruled WHEN b.host_bound > {cfg.limit} THEN 'block' ELSE 'allow' END AS verdict,
-       b.host_labelled, b.host_bad, b.host_bound
-FROM judged j JOIN bounds b ON j.host = b.host"""
+    SELECT host, CASE WHEN {address} THEN '[]' WHEN {tail2} IN ({two}) THEN {tail2} ELSE {last} END AS suffix,
+           CASE WHEN {address} THEN site WHEN {tail2} IN ({two}) AND {tail3} <> '' THEN {tail3} WHEN {tail2} <> '' THEN {tail2} ELSE site END AS domain, pages, n, bad
+    FROM (SELECT *, CASE WHEN left(name, 1) = '[' THEN substring(name, 1, instr(name, ']')) ELSE regexp_extract(name, '^[^:]*', 0) END AS site
+          FROM (SELECT *, regexp_extract(host, '[^@]*$', 0) AS name FROM ({counted}) AS counted) AS named) AS sites"""
+
+
+def levels_sql(cfg: ReputationConfig, hosts: str) -> dict[str, str]:
+    """By name, in order, the tables of rates from the suffixes down to the hosts."""
+    return {
+        "hosts": hosts,
+        "domains": "SELECT domain, suffix, count(*) AS hosts_, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix",
+        "suffixes": "SELECT suffix, count(*) AS domains_, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix",
+        "everything": "SELECT (sum(bad) + 1) / (sum(n) + 2) AS rate FROM suffixes",
+        "suffix_k": _strength("suffixes", "(SELECT rate FROM everything)"),
+        "suffix_up": "SELECT suffix, domains_, n, bad, (SELECT rate FROM everything) AS up, 0.0 AS var FROM suffixes",
+        "suffix_rates": _posterior("suffix, domains_", "suffix_up", "suffix_k"),
+        "domains_up": "SELECT d.domain, d.suffix, d.hosts_, d.n, d.bad, s.rate AS up, s.var FROM domains d JOIN suffix_rates s ON d.suffix = s.suffix",
+        "domain_k": _strength("domains_up", "up"),
+        "domain_rates": _posterior("domain, suffix, hosts_", "domains_up", "domain_k"),
+        "hosts_up": "SELECT h.host, h.pages, h.n, h.bad, d.rate AS up, d.var FROM hosts h JOIN domain_rates d ON h.domain = d.domain AND h.suffix = d.suffix",
+        "host_k": _strength("hosts_up", "up"),
+        "bounds": f"""
+    SELECT host, pages, CAST(n AS BIGINT) AS host_labelled, CAST(bad AS BIGINT) AS host_bad, round(greatest(0.0, rate - {cfg.z} * sqrt(var)), 6) AS host_bound
+    FROM ({_posterior("host, pages, n, bad", "hosts_up", "host_k")}) AS posteriors""",
+    }
+
+
+def _verdicts(cfg: ReputationConfig, joined: str) -> str:
+    return f"""
+SELECT page_id, host, path, rule,
+       CASE WHEN ruled IS NOT NULL THEN ruled WHEN host_bound > {cfg.limit} THEN 'block' ELSE 'allow' END AS verdict,
+       host_labelled, host_bad, host_bound
+FROM {joined}"""
+
+
+def reputation_sql(cfg: ReputationConfig, judged: str) -> str:
+    """One row per page, as one query; ``judged`` is that of ``judged_sql``."""
+    levels = ",\n".join(f"{name} AS ({sql})" for name, sql in levels_sql(cfg, hosts_sql(cfg, counts_sql("judged"))).items())
+    return f"WITH judged AS ({judged}),\n{levels}" + _verdicts(cfg, "(SELECT j.*, b.host_labelled, b.host_bad, b.host_bound FROM judged j JOIN bounds b ON j.host = b.host) AS joined")
 
 
 def url_verdicts(pages: DataFrame, cfg: ReputationConfig = ReputationConfig(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A row for each page: its host, path, rule, verdict and the evidence on its host.
 
-    Pages are counted by host before anything is shuffled; the counts, a row per
-    host, are checkpointed, and all later levels work on them; the last join has one row per host on one side, so a
-    host with a third of all pages is a skewed join that Spark splits."""
+    Pages are counted by host before anything is shuffled.  Each level's table is checkpointed, so it is made once;
+    domains, hosts and pages are joined with their level above with hot keys (a suffix, domain or host with many
+    rows) broadcast, so that no key is one task."""
     spark = pages.sparkSession
     pair = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("url"))
     judged = spark.sql(judged_sql(cfg, "{pages}").replace("{text}", "STRING"), pages=pair)
     ready_checkpoints(spark)
-    hosts = spark.sql(counts_sql("{judged}"), judged=judged).checkpoint()
-    found = spark.sql(reputation_sql(cfg, "SELECT * FROM {judged}", "SELECT * FROM {hosts}"), judged=judged, hosts=hosts)
-    return found.withColumnRenamed("page_id", id_col)
+    made: dict[str, DataFrame] = {}
+    above = {"domains_up": ("domains", "suffix_rates", ["suffix"], "domains_"), "hosts_up": ("hosts", "domain_rates", ["domain", "suffix"], "hosts_")}
+    for name, sql in levels_sql(cfg, hosts_sql(cfg, counts_sql("{judged}"))).items():
+        if name in above:
+            rows, names, keys, copies = above[name]
+            found = join_skewed(made[rows], made[names].withColumnRenamed("rate", "up"), keys, copies)
+        else:
+            known = [x for x in made if re.search(rf"\b(FROM|JOIN) {x}\b", sql)]
+            for x in known:
+                sql = re.sub(rf"\b(FROM|JOIN) {x}\b", rf"\1 {{{x}}}", sql)
+            found = spark.sql(sql, **{x: made[x] for x in known}, **({"judged": judged} if name == "hosts" else {}))
+        made[name] = found.checkpoint()
+    joined = join_skewed(judged, made["bounds"], ["host"], "pages")
+    return spark.sql(_verdicts(cfg, "{joined}"), joined=joined).withColumnRenamed("page_id", id_col)
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
