@@ -128,9 +128,12 @@ class _Probes(Packer):
         self.block, self.groups = block, groups
 
     def thin(self, bucket: np.ndarray, docs: np.ndarray, places: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-        key = (bucket.astype(np.uint64) << np.uint64(32)) | hashes
+        # Counted in slots first, so that only what may be frequent is sorted.
+        slot = hashes >> np.uint32(12)
+        may = np.flatnonzero((np.bincount(slot, minlength=1 << 20) >= SHARED)[slot])
+        key = (bucket[may].astype(np.uint64) << np.uint64(32)) | hashes[may]
         order = np.argsort(key)
-        some = key[order]
+        some, order = key[order], may[order]
         lead = np.flatnonzero(np.r_[True, some[1:] != some[:-1]]) if len(some) else np.zeros(0, np.int64)
         many = np.diff(np.r_[lead, len(some)])
         hot = many >= SHARED
