@@ -355,6 +355,6 @@ def test_csv(spark, tmp_path):
     assert tables.synthetic(spark, 50, 3).where("label = 1").count() > 5
 
 
-@pytest.mark.parametrize("name", ["fit_binary", "fit_regressor", "fit_multiclass", "adaptive_replay", "hash_sample"])
+@pytest.mark.parametrize("name", ["fit_binary", "fit_binary_distributed", "fit_regressor", "fit_multiclass", "partitioned_fit", "adaptive_replay", "hash_sample"])
 def test_model_queries(spark, name):
     assert models.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0

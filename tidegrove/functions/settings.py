@@ -6,12 +6,16 @@ Fixed values throughout: the published defaults and tiers.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class BoostSettings:
-    """objective: logistic, squared, huber or poisson; ``compat`` keeps quirks of published behaviour (see ``fit``)."""
+    """objective: logistic, squared, huber, poisson or custom; ``compat`` keeps quirks of published behaviour (see ``fit``).
+
+    ``loss``, for a custom objective: a function of margins and labels (arrays) to gradients and hessians.  Such a model
+    starts at the mean label, is validated by squared error and predicts its margin; a saved one keeps no function."""
 
     objective: str = "logistic"
     trees: int = 1000
@@ -30,11 +34,12 @@ class BoostSettings:
     huber_delta: float = 1.0
     seed: int = 1
     compat: bool = False
+    loss: Callable | None = None
 
     def __post_init__(self):
         if not 2 <= self.bins <= 255:
             raise ValueError("bins must be from 2 to 255")
-        if self.objective not in ("logistic", "squared", "huber", "poisson"):
+        if self.objective not in ("logistic", "squared", "huber", "poisson", "custom"):
             raise ValueError(f"unknown objective {self.objective}")
 
 

@@ -70,28 +70,33 @@ class BinModel:
 
 
 def fit_bins(df: DataFrame, features: list[str], bins: int = 32) -> BinModel:
-    """Exact edges over distinct values, one job for all features.
+    """Exact edges over distinct values and exact medians, one plan for all features.
 
-    Positions among the distinct values and of the median are windows over
-    counts per (feature, value); features are independent partitions, and what
-    reaches the driver is at most bins + 1 edges a feature."""
+    Each feature's values are cut into ranges (see ``ordered``); a window is over the distinct values of one range of one
+    feature, and what reaches the driver is at most bins + 2 values a feature."""
     from pyspark.sql import Window as W
 
-    long = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)))).alias("e")).select("e.k", "e.v")
-    counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("k", "v").agg(F.count("*").alias("c"))
-    order = W.partitionBy("k").orderBy("v")
-    ranked = counts.select(
-        "k", "v", "c", (F.row_number().over(order) - 1).alias("at"), F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.count("*").over(W.partitionBy("k")).alias("m"), F.sum("c").over(W.partitionBy("k")).alias("n")
+    from tidegrove.operators.ordered import Ordered, edge_shares, part
+
+    value = [f"CAST(`{f}` AS DOUBLE)" for f in features]
+    cuts = Ordered(df.sparkSession, df=df).cuts("{df}", *value)
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.expr(v).alias("v"), F.expr(part(v, c)).alias("part")) for k, (v, c) in enumerate(zip(value, cuts, strict=True))))
+    long = df.select(F.explode(cells).alias("e")).select("e.*")
+    counts = long.where(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("k", "part", "v").agg(F.count("*").alias("c"))
+    ranges = counts.groupBy("k", "part").agg(F.count("*").alias("pm"), F.sum("c").alias("pn"))
+    # A row a range: at most features * (ordered.PARTS + 1).
+    before = W.partitionBy("k").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    totals = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"before_{c}") for c in ("pm", "pn")] + [F.sum("pm").over(W.partitionBy("k")).alias("m"), F.sum("pn").over(W.partitionBy("k")).alias("n")]
+    order = W.partitionBy("k", "part").orderBy("v")
+    ranked = counts.join(F.broadcast(ranges.select("k", "part", *totals)), ["k", "part"]).select(
+        "k", "v", "c", "m", "n", (F.row_number().over(order) - 1 + F.col("before_pm")).alias("at"), (F.sum("c").over(order.rowsBetween(W.unboundedPreceding, 0)) + F.col("before_pn")).alias("upto")
     )
-    q = bins // 4
-    shares = [0.10 * i / (bins / 4) if i < q else 0.90 + 0.10 * (i - 3 * bins // 4) / (bins / 4) if i > 3 * bins // 4 else 0.10 + 0.80 * (i - q) / (bins / 2) for i in range(bins + 1)]
-    wanted = F.array(*(F.floor((F.col("m") - 1) * s + 0.5) for s in shares))
+    wanted = F.array(*(F.floor((F.col("m") - 1) * s + 0.5) for s in edge_shares(bins)))
     is_edge = (F.col("m") <= bins) | F.array_contains(wanted, F.col("at").cast("long"))
     is_median = (F.floor(F.col("n") / 2) >= F.col("upto") - F.col("c")) & (F.floor(F.col("n") / 2) < F.col("upto"))
-    chosen = ranked.where(is_edge | is_median)
     edges: list[list[float]] = [[] for _ in features]
     medians = [0.0] * len(features)
-    for r in chosen.select("k", "v", is_edge.alias("edge"), is_median.alias("median")).collect():
+    for r in ranked.where(is_edge | is_median).select("k", "v", is_edge.alias("edge"), is_median.alias("median")).collect():
         if r.edge:
             edges[r.k].append(r.v)
         if r["median"]:
@@ -116,6 +121,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def derivatives(s: BoostSettings, margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if s.objective == "custom":
+        g, h = s.loss(margin, y)
+        return np.asarray(g, float), np.asarray(h, float)
     if s.objective == "logistic":
         p, w = sigmoid(margin), np.where(y > 0.5, s.scale_pos_weight, 1.0)
         return w * (p - y), w * p * np.maximum(1 - p, 1e-6)
@@ -429,7 +437,7 @@ class BoostModel:
         best = self.best_score if self.best_score is not None and math.isfinite(self.best_score) else None
         return json.dumps(
             {
-                "settings": asdict(self.settings),
+                "settings": asdict(replace(self.settings, loss=None)),
                 "bins": {"features": self.bins.features, "edges": [e.tolist() for e in self.bins.edges], "medians": self.bins.medians},
                 "base": self.base,
                 "trees": [asdict(t) for t in self.trees],
@@ -676,6 +684,19 @@ def _add_margins(rows: DataFrame, model: BoostModel, s: BoostSettings, clip: boo
     return rows.mapInArrow(run, f"row {dict(rows.dtypes)['row']}, bins array<short>, y double, margin double")
 
 
+def trains_here(rows: int, features: int) -> bool:
+    """Whether a model of so many rows is trained in one process."""
+    return rows * features <= LOCAL_CELLS
+
+
+def quick_train(df: DataFrame, features: list[str], label: str, row_id: str, evaluate: DataFrame | None = None, **overrides) -> BoostModel:
+    """A binary model with settings derived from the data; some may be given."""
+    from tidegrove.functions.settings import derive
+
+    n, ratio = df.where(F.col(label).isNotNull()).agg(F.count("*"), F.avg((F.col(label) > 0.5).cast("double"))).first()
+    return fit(df, features, label, row_id, derive(n, len(features), ratio or 0.0, **overrides), evaluate)
+
+
 def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSettings | None = None, evaluate: DataFrame | None = None, distributed: bool | None = None) -> BoostModel:
     """Train where the data allow: in the driver's process up to ``LOCAL_CELLS`` cells, else over the cluster.
 
@@ -689,7 +710,7 @@ def fit(df: DataFrame, features: list[str], label: str, row_id: str, s: BoostSet
     if not n:
         raise ValueError("no labelled rows to fit")
     s = s or derive(n, len(features), ratio)
-    if distributed or (distributed is None and n * len(features) > LOCAL_CELLS):
+    if distributed or (distributed is None and not trains_here(n, len(features))):
         from tidegrove.sources.tables import ready_checkpoints
 
         ready_checkpoints(df.sparkSession)

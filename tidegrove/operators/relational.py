@@ -89,6 +89,11 @@ def outlier_ratio(rel: str, value: str) -> str:
     FROM (SELECT {value} AS v, (SELECT v FROM ({q1}) AS a) AS q1, (SELECT v FROM ({q3}) AS b) AS q3 FROM {rel} AS t) AS x"""
 
 
+def sample(rel: str, key: str, share: float) -> str:
+    """Rows whose key has a digest in the lowest ``share``: for Spark; no shuffle, and the same rows anywhere."""
+    return f"SELECT * FROM {rel} AS t WHERE CAST(conv(substring(md5(CAST({key} AS STRING)), 1, 8), 16, 10) AS BIGINT) < {int(share * (1 << 32))}"
+
+
 # --- binning ---------------------------------------------------------------------
 
 

@@ -56,11 +56,6 @@ _SMALL_SPARK = op.histogram_in_one_scan(_BINS, _FEATURES, *fn.logistic(_P, "y",
 _ORDERS = "(SELECT o_orderkey, o_totalprice, o_orderstatus, 1.0 / (1.0 + exp(-(o_totalprice - 150000.0) / 60000.0)) AS p, CASE WHEN o_orderstatus = 'F' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS y FROM {orders})"
 _EVENTS = "(SELECT event_id, ts, value, user_id, event_type, CASE WHEN event_type = 'error' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END AS y, 1.0 / (1.0 + exp(-(value - 50.0) / 25.0)) AS p, value - 48.0 AS err FROM {events})"
 _BATCHED = f"({op.batches(_EVENTS, 'ts, event_id', 1000)})"
-_TREES = (
-    "(SELECT * FROM (VALUES (0, 0, 'split', 0, 3), (0, 1, 'leaf', NULL, NULL), (0, 2, 'split', 2, 8), (0, 3, 'leaf', NULL, NULL), (0, 4, 'leaf', NULL, NULL), "
-    "(1, 0, 'split', 1, 4), (1, 1, 'split', 1, 2), (1, 2, 'leaf', NULL, NULL), (1, 3, 'leaf', NULL, NULL), (1, 4, 'leaf', NULL, NULL), (2, 0, 'leaf', NULL, NULL)) AS v(tree_id, node_id, kind, feature, threshold))"
-)
-_DEAD = "(SELECT * FROM (VALUES (1), (3)) AS v(feature))"
 _TREE_A = [{"feature": 0, "threshold": 3, "left": 1, "right": 2}, {"feature": 2, "threshold": 8, "left": 3, "right": 4}, {"value": 0.4}, {"value": -0.25}, {"value": 0.1}]
 _TREE_B = [{"feature": 1, "threshold": 4, "left": 1, "right": 2}, {"value": -0.3}, {"feature": 3, "threshold": 9, "left": 3, "right": 4}, {"value": 0.2}, {"value": 0.55}]
 _MARGIN = f"(SELECT b0, b1, b2, b3, y, {op.score_expression(_TREE_A, 'b{}')} AS s1, {op.score_expression(_TREE_B, 'b{}')} AS s2 FROM {_BINS} AS z)"
@@ -112,10 +107,6 @@ _relational(
     f"SELECT s1, s2, {round6('0.1 + 0.5 * (s1 + s2)')} AS prediction, {round6('sqrt((a * a + b * b + c * c) / 3.0 - ((a + b + c) / 3.0) * ((a + b + c) / 3.0) + 0.000000000001)')} AS spread "
     f"FROM (SELECT DISTINCT s1, s2, CAST(0.1 AS DOUBLE) AS a, 0.1 + 0.5 * s1 AS b, 0.1 + 0.5 * s1 + 0.5 * s2 AS c FROM {_MARGIN} AS t) AS x",
 )
-_relational("feature_usage", op.feature_usage(_TREES))
-_relational("tree_dependency", op.dependency(_TREES, _DEAD))
-_relational("prune_trees", op.prune(_TREES, _DEAD, 0.8))
-_relational("truncate_trees", f"SELECT tree_id, count(*) AS nodes FROM {_TREES} AS t WHERE tree_id <= 1 GROUP BY tree_id")
 
 # Metrics.
 _relational("roc_auc", op.roc_auc(_ORDERS, "p", "y", "o_orderkey"), plan=lambda o: o.roc_auc(_ORDERS, "p", "y", "o_orderkey"))
@@ -163,10 +154,21 @@ _relational("heteroscedasticity", op.heteroscedasticity(_EVENTS, "p", "err", "ev
 _relational("feature_mean_shift", op.mean_shift(_EVENTS, ["value", "p"], "event_id"), plan=lambda o: o.mean_shift(_EVENTS, ["value", "p"], ["event_id"]))
 _relational("feature_volatility", f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, (SELECT v FROM ({op.upper_median('{events}', 'value')}) AS m) AS md FROM {{events}} AS e) AS t", plan=lambda o: o.run(f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, {literal(o.upper_median('{events}', 'value'))} AS md FROM {{events}} AS e) AS t"))
 _relational("minority_error_rate", f"SELECT {round6('avg(CASE WHEN p < 0.5 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS rate, count(*) AS n FROM {_EVENTS} AS t WHERE y > 0.5")
-_GRID = "(SELECT CAST(h AS DOUBLE) AS h, CAST(acf AS DOUBLE) AS acf, CAST(het AS DOUBLE) AS het, CAST(rmse AS DOUBLE) AS rmse, n, CAST(cx AS DOUBLE) AS cx, CAST(deg AS DOUBLE) AS deg FROM (VALUES (0.5, 0.1, 0.2, 1.0, 500, 3.0, 0.1), (3.1, 0.7, 2.0, 1.0, 5000, 2.0, 1.2), (2.0, 0.6, 0.1, 1.0, 20000, 1.0, 2.0), (1.0, 0.1, 0.9, 1.0, 15000, 2.6, 0.5)) AS v(h, acf, het, rmse, n, cx, deg))"
+# Diagnoses of twenty groups of events: entropy, autocorrelation and spread of the errors.
+_GROUPED = f"(SELECT event_type AS t, CAST(user_id % 4 AS INT) AS u, event_id, err, abs(err) AS e FROM {_EVENTS} AS e0)"
+_SPREAD = f"(SELECT t, u, max(e) AS top, avg(e) AS mu, count(*) AS k, sqrt(avg(err * err)) AS rmse, var_pop(e) AS het, var_pop(err) AS var FROM {_GROUPED} AS g GROUP BY t, u)"
+_EVEN = (
+    "(SELECT t, u, sum(-share * log2(share)) AS h FROM (SELECT t, u, n / CAST(sum(n) OVER (PARTITION BY t, u) AS DOUBLE) AS share FROM "
+    f"(SELECT g.t, g.u, least(floor(g.e / (s.top + 0.0000000001) * 10), 9) AS b, count(*) AS n FROM {_GROUPED} AS g JOIN {_SPREAD} AS s ON g.t = s.t AND g.u = s.u GROUP BY 1, 2, 3) AS c) AS d GROUP BY t, u)"
+)
+_LAGGED = (
+    "(SELECT t, u, sum(d * coalesce(after, 0.0)) / sum(d * d) AS acf FROM (SELECT t, u, d, lead(d) OVER (PARTITION BY t, u ORDER BY event_id DESC) AS after FROM "
+    f"(SELECT g.t, g.u, g.event_id, g.e - s.mu AS d FROM {_GROUPED} AS g JOIN {_SPREAD} AS s ON g.t = s.t AND g.u = s.u) AS x) AS y GROUP BY t, u)"
+)
+_GRID = f"(SELECT s.t, s.u, s.k * 40 AS n, e.h, l.acf, s.het / 8.0 AS het, s.rmse, s.var / 300.0 AS cx, s.rmse / 20.0 - 1.0 AS deg FROM {_SPREAD} AS s JOIN {_EVEN} AS e ON s.t = e.t AND s.u = e.u JOIN {_LAGGED} AS l ON s.t = l.t AND s.u = l.u)"
 _score = fn.drift_score("h", "acf", "het", "rmse")
-_relational("drift_score", f"SELECT n, {fn.drift_kind('h')} AS kind, {round6(_score)} AS score FROM {_GRID} AS t")
-_relational("new_tree_count", f"SELECT n, {fn.tree_count(_score, 'abs(acf)', 'least(het / rmse, 1.0)', 'n', 'cx', 'deg')} AS trees FROM {_GRID} AS t")
+_relational("drift_score", f"SELECT t, u, n, {fn.drift_kind('h')} AS kind, {round6(_score)} AS score FROM {_GRID} AS t")
+_relational("new_tree_count", f"SELECT t, u, n, {fn.tree_count(_score, 'abs(acf)', 'least(het / rmse, 1.0)', 'n', 'cx', 'deg')} AS trees FROM {_GRID} AS t")
 _relational("complexity", f"SELECT {round6('var_pop(err) + 0.5 * var_pop(p)')} AS complexity FROM {_EVENTS} AS t")
 
 # Partitions: the rows of the first ten vectors are the centers.
@@ -213,8 +215,9 @@ ORACLES["nearest_centroid"] = f"SELECT vec_id, partition_, {round6('distance')}
 ORACLES["kmeans_one_step"] = f"SELECT k.partition_, {', '.join(round6(f'coalesce(avg(a.c{i}), 0.0)') + f' AS c{i}' for i in range(_DIMS))}, count(a.vec_id) AS n FROM {_KNOWN} AS k LEFT JOIN {_ASSIGNED} AS a ON k.partition_ = a.partition_ GROUP BY k.partition_"
 ORACLES["partition_error"] = f"SELECT partition_, count(*) AS n, {round6('avg(CASE WHEN label <> partition_ THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS error FROM {_ASSIGNED} AS a GROUP BY partition_"
 
-# Fitted models, drift replay: no SQL form, checked by tests.
+# Fitted models, and operators on their trees; whole models and the replay of drift have no SQL form.
 QUERIES |= models.QUERIES
+ORACLES |= models.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +13,10 @@ from tidegrove.functions import settings as st
 from tidegrove.functions.settings import BoostSettings
 from tidegrove.operators import ensembles
 from tidegrove.operators import relational as op
-from tidegrove.operators.boosting import fit, fit_local, matrix
-from tidegrove.operators.ordered import Ordered
+from tidegrove.operators.boosting import BoostModel, fit
+from tidegrove.operators.ordered import Ordered, clock
 from tidegrove.operators.relational import round6
+from tidegrove.sources.tables import ready_checkpoints
 from tidegrove.streaming import adaptive
 
 
@@ -102,21 +106,154 @@ def partitioned_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adaptive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the adaptive loop over events in batches of a thousand, in order of time."""
+    """Reports of the adaptive loop over events in batches of a thousand, in order of time.
+
+    The first quarter trains, the second calibrates, the rest is observed, its last third with labels turned round.
+    The driver holds a batch and the loop's buffer, whatever the size of the table."""
+    features = ["value", "user"]
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "value", F.col("user_id").cast("double").alias("user"), (F.col("value") > 60).cast("double").alias("y"))
-    x, y = matrix(events.orderBy("ts", "event_id"), ["value", "user"], "y")
-    n = len(y) // 4
-    model = fit_local(x[:n], y[:n], ["value", "user"], _QUICK, None)
-    loop = adaptive.Adaptive.start(model, n, x[n : 2 * n], y[n : 2 * n], cooldown=1000)
-    flipped = np.concatenate([y[2 * n : 3 * n], 1 - y[3 * n :]])
-    reports = adaptive.replay(loop, x[2 * n :], flipped, 1000)
+    o = Ordered(spark, events=events)
+    ready_checkpoints(spark)
+    rows = o.run(f"SELECT event_id, value, user, y, rn, n_, floor(n_ / 4) AS q FROM {o.numbered('{events}', ['ts', 'event_id'], clock('ts'))} AS e").checkpoint()
+    first = rows.where("rn <= q")
+    model = fit(first, features, "y", "event_id", _QUICK)
+    loop = adaptive.Adaptive.start_over(model, first.count(), rows.where("rn > q AND rn <= 2 * q"), "y", "event_id", cooldown=1000)
+    later = rows.where("rn > 2 * q").orderBy("rn").select("value", "user", F.when(F.col("rn") > 3 * F.col("q"), 1 - F.col("y")).otherwise(F.col("y")))
+    reports, batch = [], []
+
+    def observe() -> None:
+        x = np.array(batch, float)
+        reports.append(loop.observe(x[:, :2], x[:, 2]))
+        batch.clear()
+
+    for row in later.toLocalIterator():
+        batch.append(tuple(row))
+        if len(batch) == 1000:
+            observe()
+    if batch:
+        observe()
     return spark.createDataFrame([(k, float(r["pr_auc"]), float(r["ema"]), r["state"], bool(r["adapted"]), r["trees"]) for k, r in enumerate(reports)], "batch int, pr_auc double, ema double, state string, adapted boolean, trees int")
 
 
+# --- first trees: small enough to be said in SQL as well --------------------------------
+
+_FIRST = BoostSettings(trees=1, depth=2, learning_rate=0.2, subsample=1.0, colsample=1.0, min_samples_split=20, min_child_weight=1.0, mi_weight=0.0, reg_lambda=1.0, gamma=0.1)
+_TIERS = ("high", "low", "middle")
+_CHARGE = "(l_extendedprice * (1.0 - 5.0 * l_discount) * (1.0 + l_tax) / 1000.0)"
+
+
+def first_tree_sql(rel: str, features: list[str], label: str, s: BoostSettings) -> str:
+    """The first tree of a model in plain SQL, by edges, bins, gradients at the base score, histograms and best splits:
+    (path, kind, feature, threshold, value), where a path says left or right from the root on."""
+    edges = ", ".join(f"e{k} AS (SELECT list(edge ORDER BY edge) AS edges FROM ({op.quantile_edges(rel, f, s.bins)}) AS q)" for k, f in enumerate(features))
+    below = lambda k, f: f"len(list_filter((SELECT edges FROM e{k}), lambda x: x < {f}))"
+    size = lambda k: f"len((SELECT edges FROM e{k}))"
+    bins = ", ".join(f"CASE WHEN {size(k)} <= 8 THEN least({below(k, f)}, {size(k)} - 1) ELSE greatest({below(k, f)} - 1, 0) END AS b{k}" for k, f in enumerate(features))
+    if s.objective == "logistic":
+        base = "SELECT greatest(-10.0, ln(count(*) FILTER (y > 0.5) / CAST(greatest(count(*) FILTER (NOT y > 0.5), 1) AS DOUBLE))) AS f FROM rows_"
+        g, h = "1.0 / (1.0 + exp(-f)) - y", "(1.0 / (1.0 + exp(-f))) * greatest(1.0 - 1.0 / (1.0 + exp(-f)), 0.000001)"
+    else:
+        base, g, h = "SELECT avg(y) AS f FROM rows_", "f - y", "1.0"
+    parts = [f"rows_ AS (SELECT {label} AS y, {', '.join(f'{f} AS x{k}' for k, f in enumerate(features))} FROM {rel} AS t)", edges]
+    parts.append(f"base AS ({base})")
+    parts.append(f"n0 AS (SELECT '' AS path, {g} AS g, {h} AS h, {bins.replace(' < ', ' < ')} FROM rows_, base)")
+    for k, f in enumerate(features):
+        parts[-1] = parts[-1].replace(f"x < {f}", f"x < x{k}")
+    chosen = "CASE s.feature " + " ".join(f"WHEN {k} THEN b{k}" for k in range(len(features))) + " END"
+    for depth in range(s.depth):
+        cells = " UNION ALL ".join(f"SELECT path, {k} AS feature, b{k} AS bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM n{depth} GROUP BY path, b{k}" for k in range(len(features)))
+        run, whole = "OVER (PARTITION BY path, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", "OVER (PARTITION BY path, feature)"
+        gain = f"0.5 * (gl * gl / (hl + {s.reg_lambda!r}) + (gt - gl) * (gt - gl) / (ht - hl + {s.reg_lambda!r}) - gt * gt / (ht + {s.reg_lambda!r})) - {s.gamma!r}"
+        live = f"hl >= {s.min_child_weight!r} AND ht - hl >= {s.min_child_weight!r} AND nt >= {s.min_samples_split} AND ht >= {s.min_child_weight!r}" + (f" AND abs(gt) >= {0.01 * s.min_child_weight!r}" if depth else "")
+        parts.append(
+            f"s{depth} AS (SELECT path, feature, bin AS threshold FROM (SELECT path, feature, bin, gain, row_number() OVER (PARTITION BY path ORDER BY gain DESC, feature, bin) AS rank_ FROM ("
+            f"SELECT path, feature, bin, {gain} AS gain FROM (SELECT path, feature, bin, max(bin) {whole} AS last, sum(g) {run} AS gl, sum(h) {run} AS hl, sum(g) {whole} AS gt, sum(h) {whole} AS ht, sum(n) {whole} AS nt FROM ({cells}) AS c) AS p "
+            f"WHERE bin < last AND {live}) AS q) AS r WHERE rank_ = 1 AND gain > 0.000001)"
+        )
+        kept = ", ".join(["n.g", "n.h", *(f"n.b{k}" for k in range(len(features)))])
+        parts.append(f"n{depth + 1} AS (SELECT n.path || CASE WHEN {chosen} <= s.threshold THEN 'L' ELSE 'R' END AS path, {kept} FROM n{depth} AS n JOIN s{depth} AS s ON n.path = s.path)")
+    nodes = " UNION ALL ".join(f"SELECT path, -sum(g) / (sum(h) + {s.reg_lambda!r}) AS value FROM n{d} GROUP BY path" for d in range(s.depth + 1))
+    splits = " UNION ALL ".join(f"SELECT * FROM s{d}" for d in range(s.depth))
+    return f"""
+    WITH {', '.join(parts)}
+    SELECT a.path, CASE WHEN b.feature IS NULL THEN 'leaf' ELSE 'split' END AS kind, CAST(b.feature AS INT) AS feature, CAST(b.threshold AS INT) AS threshold, CASE WHEN b.feature IS NULL THEN {round6("a.value")} END AS value
+    FROM ({nodes}) AS a LEFT JOIN ({splits}) AS b ON a.path = b.path"""
+
+
+def tree_rows(models: list[BoostModel]) -> list[tuple]:
+    """(tree_id, path, kind, feature, threshold, value) of all trees of some models."""
+    out = []
+    for i, t in enumerate(t for m in models for t in m.trees):
+        todo = [(0, "")]
+        while todo:
+            at, path = todo.pop()
+            split = t.left[at] >= 0
+            out.append((i, path, "split" if split else "leaf", int(t.feature[at]) if split else None, int(t.threshold[at]) if split else None, None if split else round(float(t.value[at]), 6)))
+            if split:
+                todo += [(t.left[at], path + "L"), (t.right[at], path + "R")]
+    return out
+
+
+_TREE_ROWS = "tree_id int, path string, kind string, feature int, threshold int, value double"
+
+
+def first_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tree of a binary model, trained in one process."""
+    return spark.createDataFrame(tree_rows([fit(_lineitem(spark, sf_dir), _FEATURES, "y", "row_id", _FIRST, distributed=False)]), _TREE_ROWS).drop("tree_id")
+
+
+def first_tree_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, with a Spark job per level."""
+    return spark.createDataFrame(tree_rows([fit(_lineitem(spark, sf_dir), _FEATURES, "y", "row_id", _FIRST, distributed=True)]), _TREE_ROWS).drop("tree_id")
+
+
+def first_tree_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = replace(_FIRST, objective="squared")
+    return spark.createDataFrame(tree_rows([fit(_lineitem(spark, sf_dir), _FEATURES, "charge", "row_id", s)]), _TREE_ROWS).drop("tree_id")
+
+
+def first_trees_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first tree of each class against the rest; classes in the order of their names."""
+    model = ensembles.fit_classes(_lineitem(spark, sf_dir), _FEATURES, "tier", "row_id", _FIRST)
+    return spark.createDataFrame(tree_rows(model.models), _TREE_ROWS)
+
+
+_TIER_SQL = f"CASE WHEN {_CHARGE} > 45 THEN 'high' WHEN {_CHARGE} > 20 THEN 'middle' ELSE 'low' END"
+_ONE_HOT = [f"CASE WHEN {_TIER_SQL} = '{c}' THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END" for c in _TIERS]
+_BY_CLASS = " UNION ALL ".join(f"SELECT {k} AS tree_id, x.* FROM ({first_tree_sql('lineitem', _FEATURES, y, _FIRST)}) AS x" for k, y in enumerate(_ONE_HOT))
+_BINARY = first_tree_sql("lineitem", _FEATURES, f"CASE WHEN {_CHARGE} > 25 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END", _FIRST)
+
+_DEAD = "(SELECT * FROM (VALUES (1), (3)) AS v(feature))"
+#: Operators on tables of trees, over those of ``first_trees_by_class``.
+_ON_TREES = {
+    "feature_usage": op.feature_usage("{trees}"),
+    "tree_dependency": op.dependency("{trees}", _DEAD),
+    "prune_trees": op.prune("{trees}", _DEAD, 0.7),
+    "truncate_trees": "SELECT tree_id, count(*) AS nodes FROM {trees} AS t WHERE tree_id <= 1 GROUP BY tree_id",
+}
+
+
+def _on_trees(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return op.run(spark, _ON_TREES[name], trees=first_trees_by_class(spark, sf_dir))
+
+    query.__name__ = name
+    return query
+
+
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A repeatable sample of orders without a shuffle: the feature is the sampling."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where(F.pmod(F.xxhash64("o_orderkey", F.lit(1)), F.lit(1_000_000)) < 100_000).select("o_orderkey")
+    """A tenth of the orders by a digest of their key: repeatable anywhere, without a shuffle; the feature is the sampling."""
+    return op.run(spark, op.sample("{orders}", "o_orderkey", 0.1), orders=spark.read.parquet(f"{sf_dir}/orders.parquet")).select("o_orderkey")
 
 
-QUERIES = {f.__name__: f for f in (fit_binary, fit_binary_distributed, fit_regressor, fit_multiclass, partitioned_fit, adaptive_replay, hash_sample)}
+QUERIES = {f.__name__: f for f in (fit_binary, fit_binary_distributed, fit_regressor, fit_multiclass, partitioned_fit, adaptive_replay, first_tree, first_tree_distributed, first_tree_regression, first_trees_by_class, hash_sample)}
+QUERIES |= {name: _on_trees(name) for name in _ON_TREES}
+ORACLES = {
+    "first_tree": _BINARY,
+    "first_tree_distributed": _BINARY,
+    "first_tree_regression": first_tree_sql("lineitem", _FEATURES, _CHARGE, replace(_FIRST, objective="squared")),
+    "first_trees_by_class": _BY_CLASS,
+    # The digest's first eight hexadecimal digits, as a share of all.
+    "hash_sample": "SELECT o_orderkey FROM orders WHERE CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) < 429496729",
+}
+ORACLES |= {name: sql.replace("{trees}", f"({_BY_CLASS})") for name, sql in _ON_TREES.items()}

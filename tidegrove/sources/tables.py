@@ -11,9 +11,14 @@ from pyspark.sql import types as T
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Make ``checkpoint()`` usable: the cluster's folder, or one of our own if it names none."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidegrove-checkpoints"))
+    """Make ``checkpoint()`` usable: the cluster's folder or, on one machine that names none, one of our own."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "tidegrove-checkpoints"))
 
 
 def read_labelled_csv(spark: SparkSession, path: str, label: str | None = None, skip: int = 1) -> DataFrame:
@@ -59,6 +64,11 @@ def save_models(spark: SparkSession, models: dict[str, object], path: str) -> No
 
 
 def load_models(spark: SparkSession, path: str) -> dict[str, object]:
-    from tidegrove.operators.boosting import BoostModel
+    from tidegrove.operators.ensembles import model_from_json
 
-    return {r.model_id: BoostModel.from_json(r.json) for r in spark.read.schema(_MODELS).parquet(path).collect()}
+    return {r.model_id: model_from_json(r.json) for r in spark.read.schema(_MODELS).parquet(path).collect()}
+
+
+def write_report(report: DataFrame, path: str, append: bool = False) -> None:
+    """Metric reports (see ``estimators.metric_report``) as a Parquet table, a row each."""
+    report.coalesce(1).write.mode("append" if append else "overwrite").parquet(path)
