@@ -582,7 +582,7 @@ def _gradient_norm(rows: DataFrame, s: BoostSettings) -> float:
 
 
 def _score_spark(held: DataFrame, s: BoostSettings) -> float:
-    """``_score`` of a table of margins; equal margins are in the order of the row id, as in ``fit_local``."""
+    """``_score`` of a table of margins; equal margins are in the order of the hash of the row id, as in ``fit``."""
     if s.objective != "logistic":
         value = F.exp(F.least("margin", F.lit(700.0))) if s.objective == "poisson" and not s.compat else F.col("margin")
         return -math.sqrt(held.agg(F.avg((value - F.col("y")) * (value - F.col("y")))).first()[0])
@@ -625,7 +625,7 @@ def fit_spark(df: DataFrame, features: list[str], label: str, row_id: str, s: Bo
     model = BoostModel(s, bins, base_score(s, n, total or 0.0, positive), [])
     rng = np.random.default_rng(s.seed)
     rows = _with_margins(df.select(F.xxhash64(row_id).alias("row"), y.alias("y"), *features), features, model).checkpoint()
-    held = None if evaluate is None else _with_margins(evaluate.select(F.col(row_id).alias("row"), y.alias("y"), *features), features, model).checkpoint()
+    held = None if evaluate is None else _with_margins(evaluate.select(F.xxhash64(row_id).alias("row"), y.alias("y"), *features), features, model).checkpoint()
     stopper, done, scored = _Stopper(s), 0, 0
     for i in range(s.trees):
         columns = sorted(rng.permutation(len(features))[: max(1, int(s.colsample * len(features)))].tolist()) if s.colsample < 1 else list(range(len(features)))

@@ -104,7 +104,7 @@ _relational("margin_clamp", f"SELECT {round6('sum(' + fn.clamp('l_extendedprice
 _relational("sigmoid_prob", f"SELECT {round6('sum(' + fn.sigmoid('s1 + s2') + ')')} AS p, {round6('sum(' + fn.logit(fn.sigmoid('s1 + s2')) + ')')} AS m, {round6('sum(ln(greatest(' + fn.sigmoid('s1') + ', 0.000000000000001)))')} AS log_p FROM {_MARGIN} AS t")
 _relational(
     "staged_uncertainty",
-    f"SELECT s1, s2, {round6('0.1 + 0.5 * (s1 + s2)')} AS prediction, {round6('sqrt((a * a + b * b + c * c) / 3.0 - ((a + b + c) / 3.0) * ((a + b + c) / 3.0) + 0.000000000001)')} AS spread "
+    f"SELECT s1, s2, {round6('0.1 + 0.5 * (s1 + s2)')} AS prediction, {round6('sqrt(greatest(0.0, (a * a + b * b + c * c) / 3.0 - ((a + b + c) / 3.0) * ((a + b + c) / 3.0)))')} AS spread "
     f"FROM (SELECT DISTINCT s1, s2, CAST(0.1 AS DOUBLE) AS a, 0.1 + 0.5 * s1 AS b, 0.1 + 0.5 * s1 + 0.5 * s2 AS c FROM {_MARGIN} AS t) AS x",
 )
 
