@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,122 @@ def test_twin(spark, name):
     names = list(rel.columns)
     assert cols == sorted(names)
     assert sorted(str(tuple(r[c] for c in cols)) for r in df.collect()) == sorted(str(tuple(r[names.index(c)] for c in cols)) for r in rel.fetchall())
+
+
+def test_recall_at_the_default_confidence_over_many_cells(spark):
+    """Clustered vectors, so that the tree prunes; cells small enough that many are skipped."""
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((40, 32))
+    x = (centers[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0, ann.AnnConfig(cell_points=200)).collect()
+    y = x.astype(float)
+    y /= np.sqrt((y * y).sum(1, keepdims=True))
+    mine = {(r.query_id, r.vec_id) for r in got}
+    hit = 0
+    for i in range(0, 4000, 50):
+        s = y @ y[i]
+        s[i] = -9
+        hit += len({(i, int(j)) for j in np.argsort(-s)[:5]} & mine)
+    assert hit >= 0.9 * 400, hit
+    print("recall", hit / 400)
+
+
+def jaccard_classes(rows: list[tuple]) -> list[int]:
+    """Of each row the number of its class by a similarity of 0.8 in five-word shingles."""
+    sets = []
+    for t in rows:
+        words = (t[1] or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(rows))]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Each stage on its own input, with nulls, ties, repeated rows, empty texts and clashing names."""
+    import random
+
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    from tidegrove.llm import bpe, decontamination, quality
+    from tidegrove.llm.common import table
+
+    rng = random.Random(15)
+    vocabulary = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(600)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n)).capitalize() + "."
+    question = "The train leaves Boston at 15 km per hour and Alice counts 15 red apples while Boston sleeps under 7 blue lamps."
+    docs: list[tuple] = []
+    for i in range(50):
+        docs.append((i, "\n".join(line(rng.randint(12, 40)) for _ in range(rng.randint(1, 4)))))
+    docs += [(50 + i, "!!@@## 1%x&& " * rng.randint(5, 40)) for i in range(20)]
+    docs += [(80, docs[0][1]), (81, docs[1][1] + " one more word"), (82, f"{line(20)}\n{question}"), (83, question.replace("Boston", "Denver").replace("15", "99")), (84, docs[2][1].split("\n")[0] + "\n" + line(25)), (85, docs[3][1]), (85, docs[4][1]), (85, docs[4][1]), (None, docs[5][1]), (None, line(30)), (86, ""), (87, None), (None, None)]
+    rng.shuffle(docs)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, leaks string, kept string, bucket string, key string, rest string"
+    rows = [(i, t, "en", None, None if t is None else len(t), *"abcdefg") for i, t in docs]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 0 if 50 <= i < 70 else 1) for i in range(80)] + [(None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, question), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+
+    now = table(spark, sf, "documents")
+    plain = lambda df: [(r.doc_id, r.text) for r in df.collect()]
+    order = lambda some: sorted(some, key=str)
+    stages = dict(corpus_pipeline.STAGES)
+
+    model = quality.fit_quality(now, table(spark, sf, "labels"), quality.fold() != 1)
+    def score(text):
+        x, lead = quality.passages(pa.array([text], pa.string()), 64)
+        return model.forward(x, lead)["score"][0]
+
+    want = [(i, t) for i, t in plain(now) if score(t) >= 0.5]
+    now = stages["quality"](spark, now, sf).checkpoint()
+    assert order(plain(now)) == order(want) and len(want) < len(docs)
+    assert now.columns == [c.split()[0] for c in schema.split(", ")]
+
+    before = plain(now)
+    lines = [(k, i, n, frozenset(x.encode().lower().split())) for k, (i, t) in enumerate(before) for n, x in enumerate((t or "").split("\n"))]
+    gone = {(k, n) for k, i, n, s in lines if i is not None and s and any(j is not None and (j, m) < (i, n) and o and len(s & o) >= 0.8 * len(s | o) for _, j, m, o in lines)}
+    want = [(i, "\n".join(x for n, x in enumerate((t or "").split("\n")) if (k, n) not in gone)) for k, (i, t) in enumerate(before)]
+    now = stages["line_dedup"](spark, now, sf).checkpoint()
+    assert order(plain(now)) == order(want) and gone
+
+    before = plain(now)
+    classes = jaccard_classes(before)
+    after = plain(stages["near_duplicates"](spark, now, sf))
+    for c in set(classes):
+        mine = [r for r, k in zip(before, classes) if k == c]
+        kept = [r for r in after if r in mine]
+        ids = [i for i, _ in mine if i is not None]
+        assert len(kept) == 1 and (not ids or kept[0][0] == min(ids)), (mine, kept)
+    now = stages["near_duplicates"](spark, now, sf).checkpoint()
+    assert len(plain(now)) == len(set(classes)) < len(before)
+
+    bench = decontamination.Bench([(1, question)], decontamination.TemplateConfig())
+    want = [(i, t) for i, t in plain(now) if not bench.leaks([t or ""], decontamination.Canon())[0]]
+    before = len(plain(now))
+    now = stages["decontamination"](spark, now, sf).checkpoint()
+    assert order(plain(now)) == order(want) and len(want) < before
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    out = stages["encoding"](spark, now, sf)
+    assert order((r.doc_id, list(r.ids)) for r in out.collect()) == order((i, library.encode_ordinary(t or "")) for i, t in plain(now))
+    whole = corpus_pipeline.run(spark, sf)
+    assert order((r.doc_id, r.ids_sha256) for r in whole.collect()) == order((r.doc_id, r.ids_sha256) for r in out.collect())
+
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "benchmark"):
+        table(spark, sf, name).limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0

@@ -716,3 +716,52 @@ def test_keep_one_of_rows_alike(spark):
     for size, similarity in ((4, None), (5, 0.8)):
         kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, key string"), size=size, similarity=similarity).collect()
         assert sorted(str(r.doc_id) for r in kept) == ["1", "2", "None"]
+
+
+def test_secrets_of_nulls_repeats_long_texts_and_clashing_names(spark):
+    rng = random.Random(13)
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
+    long = "word " * 100_000 + f"key={token} " + "tail " * 100_000
+    rows = [(None, f"x {token}", "a", 1), (7, long, "b", 2), (7, long, "b", 2), (8, None, "c", 3), (8, "é" * 30 + f" {token}", "c", 3)]
+    got = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string, n_hex int"), PATH, PATTERN).collect()
+    assert len(got) == 5 and got[0].__fields__[0] == "doc_id"
+    spans = sorted((str(r.doc_id), r.spans) for r in got)
+    at = long.index(token)
+    assert spans == sorted([("None", "random:2:46"), ("7", f"random:{at}:{at + 44}"), ("7", f"random:{at}:{at + 44}"), ("8", ""), ("8", "random:31:75")])
+
+
+def test_random_spans_by_brute_force():
+    """Runs by a scan of characters, and their tokens by the library, one run after the other."""
+    vocabulary = secret_scan._vocabulary(PATH, PATTERN)
+    rng = random.Random(14)
+    code, other = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", " .,:;=\"'()é\n="
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randint(1, 12)):
+            text += "".join(rng.choice(code) for _ in range(rng.choice([3, 19, 20, 21, 40]))) if rng.random() < 0.6 else rng.choice(["someLongIdentifierNameHere", "deadbeef" * 4, "1234567890" * 3, "under_score_words_in_a_row"])
+            text += rng.choice(other) * rng.choice([0, 1, 1, 2, 3])
+        want, i = [], 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[j] in code:
+                j += 1
+            if j - i >= 20:
+                # Up to two signs of padding, and none if a run would go on behind them.
+                pads = len(text[j : j + 2]) - len(text[j : j + 2].lstrip("="))
+                while pads and j + pads < len(text) and text[j + pads] in code:
+                    pads -= 1
+                run = text[i : j + pads]
+                if not secret_scan.harmless(run, vocabulary, 1.9) and len(run) <= 1.9 * len(vocabulary.encode_ordinary(run)):
+                    want.append((i, 3, j + pads))
+            i = max(j, i + 1)
+        assert secret_scan.random_spans(text, vocabulary, 1.9) == want, text
+
+
+def test_write_shards(spark, tmp_path):
+    rows = [(i, f"text {i % 17} " * (i % 9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "s"), 5)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(tuple, back.select("doc_id", "text").collect())) == rows
+    place = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(df, 5).collect()}
+    assert all(place[r.doc_id] == (r.shard, r.slot) for r in back.collect())
