@@ -765,3 +765,27 @@ def test_write_shards(spark, tmp_path):
     assert sorted(map(tuple, back.select("doc_id", "text").collect())) == rows
     place = {r.doc_id: (r.shard, r.slot) for r in sharding.assign_shards(df, 5).collect()}
     assert all(place[r.doc_id] == (r.shard, r.slot) for r in back.collect())
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 5])
+def test_components_by_brute_force(spark, broadcast, monkeypatch):
+    """Chains, stars and random edges, with hot nodes told from others at any size."""
+    from tidegrove.llm import common
+    from tidegrove.llm.components import components
+
+    monkeypatch.setattr(common, "HOT_SHARE", broadcast)
+    rng = random.Random(16)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(7, 7)]
+    edges += edges[:10] + [(b, a) for a, b in edges[:10]]
+    root: dict = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.a: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: find(i) for i in root if find(i) != i}

@@ -4,7 +4,8 @@ Each round first links every larger neighbour of a node to the node's smallest
 neighbour, then every smaller one and the node itself.  The edges shrink to
 stars around the smallest node of each component in a number of rounds
 logarithmic in practice.  Nodes with very many neighbours are joined, not
-gathered: their smallest neighbour is found by a partial aggregate.
+gathered: their smallest neighbour is found by a partial aggregate and broadcast,
+so that a star is not one task.
 """
 
 from __future__ import annotations
@@ -12,19 +13,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegrove.llm.common import ready_checkpoints
+from tidegrove.llm.common import join_skewed, ready_checkpoints
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One operation on edges (a, b), a > b."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One operation on edges (a, b), a > b, at most n of them."""
     if large:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        far = near.where("b > a").join(least, F.col("a") == F.col("k"))
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies")).select("a", F.least("a", "m").alias("m"), "copies")
+        far = join_skewed(near.where("b > a"), least, ["a"], "copies", 2 * n)
         moved = far.select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        moved = edges.join(least, F.col("a") == F.col("k")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+        moved = join_skewed(edges, least, ["a"], "copies", n).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
     return moved.where("a <> b").distinct()
 
 
@@ -41,4 +42,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == state or not seen[0]:
             return now.withColumnRenamed("b", "root")
         state = seen
-        now = _star(_star(now, True), False).checkpoint()
+        # The first operation leaves no more edges than there were.
+        now = _star(_star(now, True, seen[0]).checkpoint(), False, seen[0]).checkpoint()
