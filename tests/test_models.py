@@ -272,6 +272,8 @@ def test_adaptive_loop_recovers():
     assert not any(r["adapted"] for r in adaptive.replay(loop, xs[:1000], ys[:1000], 250))
     reports = adaptive.replay(loop, xs[1000:], 1 - ys[1000:], 250)
     assert loop.adaptations > 0 and any(r["state"] == "alert" for r in reports)
+    loop.state, loop.count = "alert", 2
+    assert loop.state_text() == "Alert(2)"
     with pytest.raises(ValueError):
         adaptive.Adaptive.start(loop.model, 10, x[:0], y[:0])
 

@@ -106,3 +106,50 @@ def test_derived_settings():
     assert st.derive_regression(1000, 20, 0.1, 2.0).huber_delta == pytest.approx(2.7)
     with pytest.raises(ValueError):
         st.BoostSettings(bins=300)
+
+
+def plain(v):
+    return None if v is None else round(float(v), 6)
+
+
+@pytest.mark.parametrize("parts", [64, 3])
+@pytest.mark.parametrize("rows", [0, 1, 9, 400])
+def test_forms_over_ranges_equal_plain_ones(spark, monkeypatch, rows, parts):
+    """With nulls, NaN, ties, a value that half of the rows have, and empty tables."""
+    from tidegrove.operators import ordered
+
+    monkeypatch.setattr(ordered, "PARTS", parts)
+    rng = random.Random(rows)
+    data = []
+    for i in range(rows):
+        v = rng.choice([7.0, 7.0, 7.0, round(rng.gauss(0, 3), 1), rng.gauss(0, 3), None, float("nan")])
+        data.append((i, v, rng.choice([0.25, round(rng.random(), 2)]), float(rng.random() < 0.4), round(rng.gauss(0, 5), 2)))
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "o long, v double, p double, y double, e double").repartition(3)
+    o = ordered.Ordered(spark, df=df)
+    same = lambda a, b: [[plain(x) for x in r] for r in a.collect()] == [[plain(x) for x in r] for r in b.collect()]
+    old = lambda sql: op.run(spark, sql, df=df)
+    assert plain(o.upper_median("{df}", "v")) == plain(old(op.upper_median("{df}", "v")).first()[0])
+    assert plain(o.mad("{df}", "v")) == plain(old(op.mad("{df}", "v")).first()[0])
+    assert same(o.outlier_ratio("{df}", "p"), old(op.outlier_ratio("{df}", "p")))
+    for bins in (4, 32):
+        assert same(o.quantile_edges("{df}", "v", bins).orderBy("k"), old(op.quantile_edges("{df}", "v", bins)).orderBy("k"))
+    if rows:
+        edges = o.quantile_edges("{df}", "p", 32)
+        assert same(o.bin_counts("{df}", "p", edges).orderBy("bin"), old(op.bin_counts("{df}", "p", op.quantile_edges("{df}", "p", 32))).orderBy("bin"))
+    if rows:
+        assert same(o.roc_auc("{df}", "p", "y", "o"), old(op.roc_auc("{df}", "p", "y", "o")))
+        assert same(o.pr_auc("{df}", "p", "y", "o"), old(op.pr_auc("{df}", "p", "y", "o")))
+        assert same(o.roc_auc_by_score("{df}", "p", "y"), old(op.roc_auc_by_score("{df}", "p", "y")))
+        assert same(o.pr_auc_by_score("{df}", "p", "y"), old(op.pr_auc_by_score("{df}", "p", "y")))
+    for order in (["o"], ["p", "o"]):
+        text = ", ".join(order)
+        assert same(o.ema("{df}", "e", order), old(op.ema("{df}", "e", text)))
+        assert same(o.run(f"SELECT o, batch FROM {o.batches('{df}', order, 7)} AS b ORDER BY o"), old(f"SELECT o, batch FROM ({op.batches('{df}', text, 7)}) AS b ORDER BY o"))
+    if rows:
+        assert same(o.autocorrelation("{df}", "e", ["o"]), old(op.autocorrelation("{df}", "e", "o")))
+    assert same(o.heteroscedasticity("{df}", "p", "e", "o"), old(op.heteroscedasticity("{df}", "p", "e", "o")))
+    shift = lambda f: sorted((r.feature, plain(r["shift"]), r.drifted) for r in f.collect())
+    assert shift(o.mean_shift("{df}", ["p", "e"], ["o"], 50, 5)) == shift(old(op.mean_shift("{df}", ["p", "e"], "o", 50, 5)))
+    assert sorted(map(tuple, old(op.profile_in_one_scan("{df}", ["v", "p"], "y")).collect())) == [r for r in sorted(map(tuple, old(op.profile("{df}", ["v", "p"], "y")).collect())) if rows]
+    assert same(old(op.threshold_sweep_in_one_scan("{df}", "p", "y")), old(op.threshold_sweep("{df}", "p", "y"))) or not rows

@@ -217,7 +217,7 @@ _COUNTS = "count(CASE WHEN hit AND yes THEN 1 END) AS tp, count(CASE WHEN hit AN
 def _f1(extra: str = "") -> str:
     p, r = "CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / CAST(tp + fp AS DOUBLE) END", "CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / CAST(tp + fn AS DOUBLE) END"
     f1 = "CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / CAST(2 * tp + fp + fn AS DOUBLE) END"
-    return f"{extra} tp, fp, fn, tn, {round6(p)} AS precision_, {round6(r)} AS recall, {round6(f1)} AS f1, {round6('(tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE)')} AS accuracy"
+    return f"{extra} tp, fp, fn, tn, {round6(p)} AS precision_, {round6(r)} AS recall, {round6(f1)} AS f1, {round6('CASE WHEN tp + fp + fn + tn = 0 THEN 0.0 ELSE (tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE) END')} AS accuracy"
 
 
 def confusion(rel: str, score: str, label: str, threshold: float = 0.5) -> str:
