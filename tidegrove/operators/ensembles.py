@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -116,11 +114,10 @@ def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 def distances(features: list[str], centers: np.ndarray):
     """A column: the array of squared distances to literal centers, in generated code, without a join."""
-    zero = F.lit(0.0)
-    value = lambda f: F.col(f).cast("double")
-    # Summed from the first coordinate on, one term after the other.
-    apart = lambda c: reduce(add, (F.coalesce((F.nanvl(value(f), F.lit(None).cast("double")) - float(c[k])) * (F.nanvl(value(f), F.lit(None).cast("double")) - float(c[k])), zero) for k, f in enumerate(features)))
-    return F.array(*map(apart, centers))
+    apart = [f"(nanvl(CAST(`{f}` AS DOUBLE), CAST(NULL AS DOUBLE)) - CAST({{!r}} AS DOUBLE))" for f in features]
+    # Summed from the first coordinate on; a missing one counts nothing.  Text, as a call for each term would take longer than the query.
+    one = lambda c: " + ".join(f"coalesce({(t := x.format(float(v)))} * {t}, 0.0D)" for x, v in zip(apart, c, strict=True))
+    return F.expr(f"array({', '.join(map(one, centers))})")
 
 
 def nearest_expression(features: list[str], centers: np.ndarray):
