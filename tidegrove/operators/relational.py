@@ -183,6 +183,26 @@ def best_split(hist: str, **settings: float) -> str:
     return f"SELECT feature, bin, gain FROM ({split_gains(hist, **settings)}) AS s ORDER BY gain DESC, feature, bin LIMIT 1"
 
 
+def variance_histogram(rel: str, features: list[str], y: str) -> str:
+    """(feature, bin, n, y, yy): rows, sums and sums of squares of a label per bin."""
+    return " UNION ALL ".join(f"SELECT {k} AS feature, CAST({f} AS INT) AS bin, count(*) AS n, sum({y}) AS y, sum({y} * {y}) AS yy FROM {rel} AS t GROUP BY {f}" for k, f in enumerate(features))
+
+
+def variance_histogram_in_one_scan(rel: str, features: list[str], y: str) -> str:
+    """``variance_histogram`` for Spark."""
+    bins = ", ".join(f"CAST({f} AS INT)" for f in features)
+    return f"SELECT feature, bin, count(*) AS n, sum(y) AS y, sum(y * y) AS yy FROM (SELECT posexplode(array({bins})) AS (feature, bin), {y} AS y FROM {rel} AS t) AS x GROUP BY feature, bin"
+
+
+def variance_split(hist: str, least: int = 1) -> str:
+    """The split that reduces the variance of the label most, ties to the lower feature, then bin."""
+    left = "OVER (PARTITION BY feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    cols = ", ".join(f"sum({c}) {left} AS {c}l, sum({c}) OVER (PARTITION BY feature) AS {c}t" for c in ("n", "y", "yy"))
+    return f"""
+    SELECT feature, bin, ((yyt - yt * yt / nt) - (yyl - yl * yl / nl) - (yyt - yyl - (yt - yl) * (yt - yl) / (nt - nl))) / nt AS reduction
+    FROM (SELECT feature, bin, {cols} FROM ({hist}) AS h) AS p WHERE nl >= {least} AND nt - nl >= {least} ORDER BY 3 DESC, feature, bin LIMIT 1"""
+
+
 # --- metrics ---------------------------------------------------------------------
 
 
@@ -352,6 +372,26 @@ def vulnerability_baseline(rel: str, p: str, y: str) -> str:
     FROM (SELECT avg(2.0 * abs({p} - 0.5) * ({y} - {p}) * ({y} - {p}) * ({w})) AS base, {ratio} AS r FROM {rel} AS t) AS x"""
 
 
+def drift_strategy(rel: str, features: list[str], medians: list[str], p: str, y: str) -> str:
+    """Scores of corruption (volatile features and wrong positives) and of concept drift, and what they call for.
+
+    ``medians``: of each feature, as expressions."""
+    spread = [f"sqrt(avg(({f} - {m}) * ({f} - {m})))" for f, m in zip(features, medians, strict=True)]
+    wrong = f"coalesce(avg(CASE WHEN {fn.positive(y)} THEN CASE WHEN abs({y} - {p}) > 0.3 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END END), 0.0)"
+    return f"""
+    SELECT {round6("corruption")} AS corruption, {round6("concept")} AS concept,
+           CASE WHEN corruption > 0.6 AND corruption > concept THEN 'features' WHEN concept > 0.7 THEN 'data' ELSE 'cautious' END AS strategy
+    FROM (SELECT least(1.0, least(v / 10.0, 1.0) * minority * 2.0) AS corruption, CASE WHEN v < 3.0 AND minority > 0.3 THEN 0.8 ELSE 0.0 END AS concept
+          FROM (SELECT ({" + ".join(spread)}) / {len(features)!r} AS v, {wrong} AS minority FROM {rel} AS t) AS a) AS b"""
+
+
+def decay(rel: str, key: str, at: str, rate: float = 0.0005, dead_below: float = 0.15) -> str:
+    """(key, since, utility, dead): of each key the rows since it was last seen and what is left of its use."""
+    return f"""
+    SELECT k, since, {round6(f"power(CAST({1 - rate!r} AS DOUBLE), since)")} AS utility, power(CAST({1 - rate!r} AS DOUBLE), since) < {dead_below!r} AS dead
+    FROM (SELECT k, (SELECT max({at}) FROM {rel} AS t0) - last AS since FROM (SELECT {key} AS k, max({at}) AS last FROM {rel} AS t GROUP BY {key}) AS a) AS b"""
+
+
 # --- clusters ----------------------------------------------------------------------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrove.functions import scalar as fn
-from tidegrove.operators import ensembles
+from tidegrove.operators import ensembles, estimators
 from tidegrove.operators import relational as op
 from tidegrove.operators.ordered import Ordered, clock, literal
 from tidegrove.operators.relational import round6
@@ -97,6 +97,10 @@ _relational("split_gain", f"SELECT feature, bin, {round6('gain')} AS gain FROM (
 _relational("split_gain_entropy_ungated", f"SELECT feature, bin, {round6('gain')} AS gain FROM ({op.split_gains(_HIST, 1.0, 0.1, 1.0, 0.3)}) AS x")
 _relational("best_split_feature", f"SELECT feature, bin, {round6('gain')} AS gain FROM ({op.best_split(_HIST, lam=1.0, gamma=0.1, min_child=1.0)}) AS x")
 
+_PRICED = f"(SELECT b0, b1, b2, b3, v FROM (SELECT *, CAST(b3 AS DOUBLE) * 4.0 + b0 AS v FROM {_BINS} AS z0) AS z1)"
+_BEST = f"SELECT feature, bin, {round6('reduction')} AS reduction FROM ({{}}) AS s"
+_relational("variance_split", _BEST.replace("{}", op.variance_split(op.variance_histogram(_PRICED, _FEATURES, "v"))), _BEST.replace("{}", op.variance_split(op.variance_histogram_in_one_scan(_PRICED, _FEATURES, "v"))))
+
 # Trees and scores.
 _relational("depth2_tree_score", f"SELECT s1, s2, count(*) AS n, {round6('sum(y)')} AS y FROM {_MARGIN} AS t GROUP BY s1, s2")
 _relational("leaf_values", f"SELECT feature, bin, {round6(fn.leaf('g', 'h', 1.0))} AS value FROM ({_HIST}) AS x")
@@ -113,6 +117,12 @@ _relational("roc_auc", op.roc_auc(_ORDERS, "p", "y", "o_orderkey"), plan=lambda
 _relational("pr_auc", op.pr_auc(_ORDERS, "p", "y", "o_orderkey"), plan=lambda o: o.pr_auc(_ORDERS, "p", "y", "o_orderkey"))
 _relational("roc_auc_by_score", op.roc_auc_by_score(_BINS, "b0", "y"), plan=lambda o: o.roc_auc_by_score(_BINS, "b0", "y"))
 _relational("pr_auc_by_score", op.pr_auc_by_score(_BINS, "b0", "y"), plan=lambda o: o.pr_auc_by_score(_BINS, "b0", "y"))
+_relational(
+    "probability_columns",
+    f"SELECT y, count(*) AS n, {round6('sum(1.0 - p)')} AS p0, {round6('sum(p)')} AS p1, {round6('sum(ln(greatest(1.0 - p, 0.000000000000001)))')} AS log_p0, {round6('sum(ln(greatest(p, 0.000000000000001)))')} AS log_p1 FROM {_ORDERS} AS t GROUP BY y",
+)
+_REPORT = f"SELECT r.auc AS roc_auc, q.auc AS pr_auc, c.* FROM ({op.roc_auc(_ORDERS, 'p', 'y', 'o_orderkey')}) AS r CROSS JOIN ({op.pr_auc(_ORDERS, 'p', 'y', 'o_orderkey')}) AS q CROSS JOIN ({op.confusion(_ORDERS, 'p', 'y')}) AS c"
+_relational("metric_report", _REPORT, plan=lambda o: estimators.metric_report(o.run(f"SELECT p, y, o_orderkey FROM {_ORDERS} AS t"), "p", "y", "o_orderkey").drop("name"))
 _relational("confusion_f1", op.confusion(_ORDERS, "p", "y"))
 _relational("threshold_sweep", op.threshold_sweep(_ORDERS, "p", "y"), op.threshold_sweep_in_one_scan(_ORDERS, "p", "y"))
 _relational("class_f1_counts", op.class_f1_counts(_ORDERS, "CASE WHEN p < 0.3 THEN 'P' WHEN p < 0.6 THEN 'F' ELSE 'O' END", "o_orderstatus"))
@@ -153,6 +163,12 @@ _relational("residual_autocorr", op.autocorrelation(_EVENTS, "err", "event_id"),
 _relational("heteroscedasticity", op.heteroscedasticity(_EVENTS, "p", "err", "event_id"), plan=lambda o: o.heteroscedasticity(_EVENTS, "p", "err", "event_id"))
 _relational("feature_mean_shift", op.mean_shift(_EVENTS, ["value", "p"], "event_id"), plan=lambda o: o.mean_shift(_EVENTS, ["value", "p"], ["event_id"]))
 _relational("feature_volatility", f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, (SELECT v FROM ({op.upper_median('{events}', 'value')}) AS m) AS md FROM {{events}} AS e) AS t", plan=lambda o: o.run(f"SELECT {round6('sqrt(avg((value - md) * (value - md)))')} AS volatility FROM (SELECT value, {literal(o.upper_median('{events}', 'value'))} AS md FROM {{events}} AS e) AS t"))
+_relational(
+    "drift_strategy",
+    op.drift_strategy(_EVENTS, ["value"], [f"(SELECT v FROM ({op.upper_median('{events}', 'value')}) AS m)"], "p", "y"),
+    plan=lambda o: o.run(op.drift_strategy(_EVENTS, ["value"], [literal(o.upper_median("{events}", "value"))], "p", "y")),
+)
+_relational("feature_decay", op.decay(_EVENTS, "user_id", "event_id"))
 _relational("minority_error_rate", f"SELECT {round6('avg(CASE WHEN p < 0.5 THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END)')} AS rate, count(*) AS n FROM {_EVENTS} AS t WHERE y > 0.5")
 # Diagnoses of twenty groups of events: entropy, autocorrelation and spread of the errors.
 _GROUPED = f"(SELECT event_type AS t, CAST(user_id % 4 AS INT) AS u, event_id, err, abs(err) AS e FROM {_EVENTS} AS e0)"
