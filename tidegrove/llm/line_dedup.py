@@ -221,8 +221,10 @@ def prefixes(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[Ite
     return run
 
 
-_PAIR = "xd long, xl int, xs long, yd long, yl int, ys long, more boolean"
 _PAIR_NAMES = ("xd", "xl", "xs", "yd", "yl", "ys", "more")
+#: A pair goes to the group of its later line (``bucket``).  Beside it goes, once for each earlier line and group, an ask
+#: (no later line) to the earlier line's group, with the group that wants the words (``to``).
+_PAIR = "bucket int, xd long, xl int, xs long, yd long, yl int, ys long, more boolean, to int"
 
 
 def _in_order(key: np.ndarray, docs: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -391,7 +393,20 @@ def _first(x: np.ndarray, y: np.ndarray, spare: np.ndarray, tries: int) -> tuple
     return x, y, np.arange(len(x)) - np.repeat(lead, np.diff(np.r_[lead, len(x)])) < tries, many
 
 
-def propose(cfg: LineConfig) -> Callable[[pa.Table], pa.Table]:
+def _routed(pairs: pa.Table, groups: int) -> pa.Table:
+    """Pairs with the groups that they go to, and the asks for their earlier lines."""
+    later = pa.array(group_of(pairs.column("xd").to_numpy(), groups), pa.int32())
+    n = pairs.num_rows
+    pairs = pairs.append_column("to", later)
+    asks = pairs.filter(pa.compute.is_valid(pairs.column("yd"))).group_by(["yd", "yl", "ys", "to"]).aggregate([])
+    m = asks.num_rows
+    cols = {"bucket": pa.array(group_of(asks.column("yd").to_numpy(), groups), pa.int32()), "xd": pa.nulls(m, pa.int64()), "xl": pa.nulls(m, pa.int32()), "xs": pa.nulls(m, pa.int64())}
+    asks = pa.table({**cols, **{k: asks.column(k) for k in ("yd", "yl", "ys")}, "more": pa.array(np.zeros(m, bool)), "to": asks.column("to")})
+    pairs = pa.table({"bucket": later, **{k: pairs.column(k) for k in _PAIR_NAMES}, "to": pa.nulls(n, pa.int32())})
+    return pa.concat_tables([pairs, asks])
+
+
+def propose(cfg: LineConfig, groups: int) -> Callable[[pa.Table], pa.Table]:
     """In a bucket: repeats of a set (no earlier line given), and each line's most promising candidates."""
 
     def run(data: pa.Table) -> pa.Table:
@@ -401,17 +416,17 @@ def propose(cfg: LineConfig) -> Callable[[pa.Table], pa.Table]:
         found = list(c.best(cfg))
         if found:
             out.append(c.table(*(np.concatenate(v) for v in zip(*found, strict=True))))
-        return pa.concat_tables(out)
+        return _routed(pa.concat_tables(out), groups)
 
     return run
 
 
-def propose_all(cfg: LineConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def propose_all(cfg: LineConfig, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """In a bucket: all candidates of the lines asked for; those already settled pass as they are."""
 
     def run(data: pa.Table, asked: pa.Table) -> pa.Table:
         if not asked.num_rows:
-            return _settled(asked)
+            return _routed(_settled(asked), groups)
         out = [_settled(asked.filter(asked.column("ok")))]
         asked = asked.filter(pa.compute.invert(asked.column("ok")))
         if asked.num_rows and data.num_rows:
@@ -423,7 +438,7 @@ def propose_all(cfg: LineConfig) -> Callable[[pa.Table, pa.Table], pa.Table]:
             for x, y in c.all(cfg, only):
                 if len(x):
                     out.append(c.table(x, y, np.zeros(len(x), bool)))
-        return pa.concat_tables(out)
+        return _routed(pa.concat_tables(out), groups)
 
     return run
 
@@ -449,7 +464,7 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-_SENT = "bucket int, xd array<long>, xl array<int>, xs array<long>, more array<boolean>, words binary"
+_SENT = "bucket int, xd long, xl int, xs long, yd long, yl int, ys long, more boolean, words binary"
 
 
 def _wanted(docs: pa.Table, pairs: pa.Table, doc: str, line: str, mark: str, levels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -491,29 +506,27 @@ def _some_lines(docs: pa.Table, lines: dict[int, set[int]], levels: np.ndarray)
         yield keys, LineSets(pa.array(texts), levels)
 
 
-def send(levels: np.ndarray, groups: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """In a group of documents: the words of each earlier line, once to each group that has later lines to
-    compare with it, with the list of those; settled lines go to their groups without words."""
-
-    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        if pairs.num_rows:
-            cols = [pairs.column(k).to_numpy() for k in ("xd", "xl", "xs", "more")]
-            to = group_of(cols[0], groups)
-            found: dict[tuple[int, int], list[int]] = {}
-            words: dict[int, bytes] = {}
-            for i in np.flatnonzero(np.array([x is None for x in pairs.column("yd").to_pylist()], bool)).tolist():
-                found.setdefault((-1, int(to[i])), []).append(i)
-            # The places of one line's pairs come one after the other, so its words are held once.
-            line, held = -1, None
-            for j, w in _wanted(docs, pairs, "yd", "yl", "ys", levels):
-                if w is not held:
-                    line, held = line + 1, w
-                    words[line] = _short(w).tobytes()
-                found.setdefault((line, int(to[j])), []).append(j)
-            rows = [(g, *(c[at].tolist() for c in cols), words.get(y)) for (y, g), at in found.items()]
-        kinds = (pa.int32(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.bool_())), pa.binary())
-        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "xd", "xl", "xs", "more", "words"])
+def send(levels: np.ndarray) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """In a group of documents: the words of each earlier line asked for, once to each group that asks; the group's own
+    pairs pass as they are."""
+
+    def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        asking = pa.compute.is_valid(rows.column("to"))
+        asks, pairs = rows.filter(asking), rows.filter(pa.compute.invert(asking))
+        found: list[tuple[int, bytes]] = []
+        line, raw = None, b""
+        if asks.num_rows:
+            # The asks for one line come one after the other, so its words are packed once.
+            for j, words in _wanted(docs, asks, "yd", "yl", "ys", levels):
+                if words is not line:
+                    line, raw = words, _short(words).tobytes()
+                found.append((j, raw))
+        some = asks.take(pa.array([j for j, _ in found], pa.int64()))
+        n = len(found)
+        blank = {"xd": pa.nulls(n, pa.int64()), "xl": pa.nulls(n, pa.int32()), "xs": pa.nulls(n, pa.int64()), "more": pa.nulls(n, pa.bool_())}
+        cols = {"bucket": some.column("to"), **blank, **{k: some.column(k) for k in ("yd", "yl", "ys")}, "words": pa.array([w for _, w in found], pa.binary())}
+        pairs = pairs.drop_columns("to").append_column("words", pa.nulls(pairs.num_rows, pa.binary()))
+        return pa.concat_tables([pa.table({k: cols[k] for k in ("bucket", *_PAIR_NAMES, "words")}), pairs.select(["bucket", *_PAIR_NAMES, "words"])])
 
     return run
 
@@ -528,15 +541,16 @@ def verify(levels: np.ndarray, buckets: int, cfg: LineConfig) -> Callable[[pa.Ta
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if sent.num_rows:
-            sizes = pa.compute.list_value_length(sent.column("xd")).to_numpy()
-            held = sent.column("words").to_pylist()
-            theirs = [held[i] for i in np.repeat(np.arange(len(sizes)), sizes).tolist()]
-            sent = pa.table({k: pa.compute.list_flatten(sent.column(k)) for k in ("xd", "xl", "xs", "more")})
+            has = pa.compute.is_valid(sent.column("words"))
+            given = sent.filter(has)
+            words = dict(zip(zip(*(given.column(k).to_pylist() for k in ("yd", "yl", "ys")), strict=True), given.column("words").to_pylist(), strict=True))
+            sent = sent.filter(pa.compute.invert(has))
             keys = list(zip(*(sent.column(k).to_pylist() for k in ("xd", "xl", "xs")), strict=True))
+            theirs = [words.get(y) for y in zip(*(sent.column(k).to_pylist() for k in ("yd", "yl", "ys")), strict=True)]
             more = sent.column("more").to_pylist()
-            good = {k for k, w in zip(keys, theirs, strict=True) if w is None}
+            good = {k for k, y in zip(keys, sent.column("yd").to_pylist(), strict=True) if y is None}
             again: dict[tuple, list[int]] = {}
-            ask = sent.append_column("j", pa.array(range(len(keys)))).filter(pa.array([w is not None for w in theirs], pa.bool_()))
+            ask = sent.append_column("j", pa.array(range(len(keys)), pa.int64())).filter(pa.array([w is not None for w in theirs], pa.bool_()))
             back = ask.column("j").to_pylist()
             for i, mine in _wanted(docs, ask, "xd", "xl", "xs", levels):
                 j = back[i]
@@ -606,13 +620,13 @@ def remove_lines(docs: DataFrame, cfg: LineConfig = LineConfig(), id_col: str =
         return df.withColumn("bucket", F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int"))
 
     def settle(pairs: DataFrame) -> DataFrame:
-        """Verdicts on candidate pairs."""
-        one = pairs.groupBy("xd", "xl", "xs", "yd", "yl", "ys").agg(F.max("more").alias("more"))
-        sent = grouped.cogroup(in_group(one, F.coalesce("yd", "xd")).groupBy("bucket")).applyInArrow(send(levels, groups), _SENT)
+        """Verdicts on candidate pairs.  However many lines are like one line, its group is asked once by each group."""
+        one = pairs.groupBy("bucket", "xd", "xl", "xs", "yd", "yl", "ys", "to").agg(F.max("more").alias("more"))
+        sent = grouped.cogroup(one.groupBy("bucket")).applyInArrow(send(levels), _SENT)
         return grouped.cogroup(sent.groupBy("bucket")).applyInArrow(verify(levels, buckets, cfg), _VERDICT)
 
-    first = settle(entries.applyInArrow(propose(cfg), _PAIR))
-    rest_pairs = entries.cogroup(first.groupBy("bucket")).applyInArrow(propose_all(cfg), _PAIR)
+    first = settle(entries.applyInArrow(propose(cfg, groups), _PAIR))
+    rest_pairs = entries.cogroup(first.groupBy("bucket")).applyInArrow(propose_all(cfg, groups), _PAIR)
     gone = settle(rest_pairs).where("ok").select("xd", "xl", "xs")
     schema = "id long, n_lines long, n_removed long, kept_sha256 string"
     if texts:
