@@ -44,13 +44,15 @@ from tidegrove.llm.common import free_name, mix64, table, window_hashes
 
 @dataclass(frozen=True)
 class TemplateConfig:
-    """Lengths in tokens; ``block``: benchmark items looked for in one pass, which bounds what is broadcast."""
+    """Lengths in tokens; ``block``, ``block_bytes``: benchmark items and bytes of them looked for in one pass, on average,
+    which bounds what is broadcast (some twenty times the bytes)."""
 
     window: int = 8
     literals: int = 5
     enough: int = 12
     shortest: int = 5
     block: int = 50_000
+    block_bytes: int = 4 << 20
     drift: int = 4
 
 
@@ -333,15 +335,15 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, cfg: TemplateConfig = TemplateConfig(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "leaks") -> tuple[DataFrame, str]:
     """``docs`` with an array of the ids of leaked items (longs), and that column's name.
 
-    The items are read in blocks of ``cfg.block``; a pass over the documents, in
+    The items are read in blocks of about ``cfg.block`` items or ``cfg.block_bytes``; a pass over the documents, in
     one narrow stage, looks up the windows of one block.  The documents are never
     shuffled.  The tables of a block are made once and broadcast; their size is bounded by the block."""
     out = free_name(docs, out_col)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
     names = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text"))
-    total = names.count()
-    blocks = max(1, -(-total // cfg.block))
+    total, size = names.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    blocks = max(1, -(-total // cfg.block), -(-size // cfg.block_bytes))
 
     def passing(items: list[tuple[object, str | None]], df: DataFrame, more: bool) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(Bench(items, cfg))
