@@ -702,7 +702,10 @@ def test_similar_documents(spark, none, points, visitors, monkeypatch):
     assert simhash.keep_one(none, size=5, similarity=0.8).count() == 0
 
 
-def test_hot_fingerprints_are_not_one_task(spark):
+def test_hot_fingerprints_are_not_one_task(spark, monkeypatch):
+    from tidegrove.llm import common
+
+    monkeypatch.setattr(common, "FEW_ROWS", 1000)
     rows = [(i, "the same text in very many documents") for i in range(15_000)] + [(20_000 + i, f"text number {i} of its own kind {i * i}") for i in range(5_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = simhash.near_duplicates(df).groupBy("component_id").count().orderBy(F.desc("count")).first()
@@ -771,9 +774,13 @@ def test_write_shards(spark, tmp_path):
 def test_components_by_brute_force(spark, broadcast, monkeypatch):
     """Chains, stars and random edges, with hot nodes told from others at any size."""
     from tidegrove.llm import common
+    from tidegrove.llm import components as graph
     from tidegrove.llm.components import components
 
     monkeypatch.setattr(common, "HOT_SHARE", broadcast)
+    if broadcast == 5:
+        monkeypatch.setattr(common, "FEW_ROWS", 5)
+        monkeypatch.setattr(graph, "FILE_EDGES", 50)
     rng = random.Random(16)
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(70)] + [(7, 7)]
     edges += edges[:10] + [(b, a) for a, b in edges[:10]]

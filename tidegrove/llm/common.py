@@ -44,19 +44,21 @@ def ready_checkpoints(spark: SparkSession) -> None:
 
 #: Keys of more than this share of all rows are joined by broadcast: it bounds their number.
 HOT_SHARE = 10_000
+#: Rows up to which the whole of their names is broadcast.
+FEW_ROWS = 100_000
 
 
 def join_skewed(rows: DataFrame, names: DataFrame, keys: list[str], copies: str, total: int | None = None) -> DataFrame:
     """``rows`` joined with ``names``, which has each key once and, in ``copies``, its number of rows.
 
-    Keys of one in ``HOT_SHARE`` rows or more, of which there are ``HOT_SHARE`` at most, are broadcast, so that none of
+    There are no more names than rows, so few rows' names are broadcast.  Else keys of one in ``HOT_SHARE`` rows or more, of which there are ``HOT_SHARE`` at most, are broadcast, so that none of
     them is one task; the others are joined by a shuffle.  ``total``: the number of rows or a bound on it, if known."""
     if total is None:
         total = names.agg(F.sum(copies)).first()[0] or 0
+    if total <= FEW_ROWS:
+        return rows.join(F.broadcast(names.drop(copies)), keys)
     hot = names.where(F.col(copies) * HOT_SHARE >= total).drop(copies)
     rare = names.where(F.col(copies) * HOT_SHARE < total).drop(copies)
-    if total <= HOT_SHARE:
-        return rows.join(F.broadcast(hot), keys)
     left = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rows.join(F.broadcast(hot), keys).union(left.join(rare, keys))
 

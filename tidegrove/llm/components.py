@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tidegrove.llm.common import join_skewed, ready_checkpoints
 
 
+#: Edges in a file of a checkpoint.
+FILE_EDGES = 100_000
+
+
 def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """One operation on edges (a, b), a > b, at most n of them."""
     if large:
@@ -41,6 +45,8 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state or not seen[0]:
             return now.withColumnRenamed("b", "root")
-        state = seen
-        # The first operation leaves no more edges than there were.
-        now = _star(_star(now, True, seen[0]).checkpoint(), False, seen[0]).checkpoint()
+        state, n = seen, seen[0]
+        # The first operation leaves no more edges than there were.  Few edges need few files.
+        files = 1 + n // FILE_EDGES
+        half = _star(now, True, n).coalesce(files)
+        now = _star(half.checkpoint() if n > FILE_EDGES else half, False, n).coalesce(files).checkpoint()

@@ -459,7 +459,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first_id = F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id")
     keyed = docs.withColumn(key, F.struct(first_id, F.xxhash64(F.col(text_col)).alias("text")))
     found = near_duplicates(keyed, key, text_col, size, r) if similarity is None else similar_documents(keyed, key, text_col, similarity, size)
-    stay = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg((F.count("*") > 1).alias(many)).checkpoint()
+    stay = found.where(F.col(key) == F.col("component_id")).groupBy(key).agg((F.count("*") > 1).alias(many))
     some = stay.where(F.col(many)).limit(1).count()
     kept = keyed.join(stay, key)
     if some:
