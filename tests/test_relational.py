@@ -112,8 +112,7 @@ def plain(v):
     return None if v is None else round(float(v), 6)
 
 
-@pytest.mark.parametrize("parts", [64, 3])
-@pytest.mark.parametrize("rows", [0, 1, 9, 400])
+@pytest.mark.parametrize(("rows", "parts"), [(0, 64), (9, 3), (400, 3)])
 def test_forms_over_ranges_equal_plain_ones(spark, monkeypatch, rows, parts):
     """With nulls, NaN, ties, a value that half of the rows have, and empty tables."""
     from tidegrove.operators import ordered
