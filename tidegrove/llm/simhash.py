@@ -41,8 +41,9 @@ from tidegrove.llm.components import components
 
 #: Fingerprints that a shard of the tree should hold, and rows that one task compares them with.
 SHARD_POINTS, VISITORS = 32_000, 128_000
-#: Levels of a tree grown from the sample, over all trees; shards beyond it are searched in blocks of points.
-MOST_LEVELS = 12
+#: Levels of a tree grown from the sample, over all trees; larger shards are searched in blocks of points.  With twice
+#: ``SAMPLED`` fingerprints for each of at most 2 ** (MOST_LEVELS + 1) shards it bounds what the driver reads.
+MOST_LEVELS = 10
 #: Sampled fingerprints for each shard.
 SAMPLED = 64
 #: Points of a local leaf, and distances counted at once.
