@@ -277,11 +277,14 @@ class LocalRows:
 
     def start(self) -> None:
         self.node = np.zeros(len(self.sample), np.int64)
+        #: The last node that each row was in: in the end its leaf.
+        self.leaf = self.node
 
     def histograms(self, nodes: list[int]) -> dict[int, np.ndarray]:
         return partial_histograms(self.some, self.values, self.node, nodes, self.width)
 
     def split(self, splits: dict[int, tuple[int, int, int, int]]) -> None:
+        self.leaf = np.where(self.node >= 0, self.node, self.leaf)
         self.node = move(self.some, self.node, splits)
 
 
@@ -528,10 +531,11 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
             break
         if guard and norm > guard.gradient_norm:
             g = g * (guard.gradient_norm / norm)
-        tree = grow(LocalRows(bins, widths, y, g, h, rows), s, columns)
+        local = LocalRows(bins, widths, y, g, h, rows)
+        tree = grow(local, s, columns)
         tree.weight = weight
         model.trees.append(tree)
-        margin = margin + s.learning_rate * tree.predict(bins)
+        margin = margin + s.learning_rate * (np.array(tree.value)[local.leaf] if len(rows) == n else tree.predict(bins))
         if s.objective == "logistic":
             margin = np.clip(margin, -MARGIN, MARGIN)
         if guard:
