@@ -270,10 +270,14 @@ def grow(rows, s: BoostSettings, columns: list[int]) -> Tree:
 class LocalRows:
     """Histograms of rows held in numpy arrays."""
 
-    def __init__(self, bins: np.ndarray, widths: list[int], y: np.ndarray, g: np.ndarray, h: np.ndarray, sample: np.ndarray):
-        self.bins, self.width, self.sample = bins, max(widths), sample
-        self.values = np.stack([g, h, y, np.ones_like(g)], axis=1)[sample]
-        self.some = np.ascontiguousarray(bins[sample].T)
+    def __init__(self, bins: np.ndarray, widths: list[int], y: np.ndarray, g: np.ndarray, h: np.ndarray, sample: np.ndarray, by_feature: np.ndarray | None = None):
+        """``by_feature``: the bins with a row for each feature, if at hand."""
+        by_feature = np.ascontiguousarray(bins.T) if by_feature is None else by_feature
+        whole = len(sample) == len(y)
+        self.width, self.sample = max(widths), sample
+        values = np.stack([g, h, y, np.ones_like(g)])
+        self.values = (values if whole else values[:, sample]).T
+        self.some = by_feature if whole else by_feature[:, sample]
 
     def start(self) -> None:
         self.node = np.zeros(len(self.sample), np.int64)
@@ -510,6 +514,7 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
     model = BoostModel(s, fit_bins_local(x, features, s.bins), base_score(s, len(y), float(y.sum()), float((y > 0.5).sum())), []) if start is None else replace(start, settings=replace(s, learning_rate=start.settings.learning_rate), trees=list(start.trees))
     weight = 1.0 if start is None else s.learning_rate / start.settings.learning_rate
     bins = model.bins.transform(x)
+    by_feature = np.ascontiguousarray(bins.T)
     margin = model.margins(bins)
     held = None if evaluate is None else (model.bins.transform(evaluate[0]), evaluate[1])
     held_margin = None if held is None else model.margins(held[0])
@@ -531,7 +536,7 @@ def fit_local(x: np.ndarray, y: np.ndarray, features: list[str], s: BoostSetting
             break
         if guard and norm > guard.gradient_norm:
             g = g * (guard.gradient_norm / norm)
-        local = LocalRows(bins, widths, y, g, h, rows)
+        local = LocalRows(bins, widths, y, g, h, rows, by_feature)
         tree = grow(local, s, columns)
         tree.weight = weight
         model.trees.append(tree)
