@@ -395,6 +395,20 @@ def test_decontamination(spark, docs, none):
     assert clean.where(F.size(name) > 0).count() == 0 and clean.count() == docs.count()
 
 
+def test_decontamination_of_runs_shorter_than_a_window(monkeypatch):
+    items = [(1, "so five plain words stand"), (2, "a whole item of more than eight plain words stands here")]
+    bench, canon = decontamination.Bench(items, decontamination.TemplateConfig()), decontamination.Canon()
+    for n in range(12):
+        assert bench.leaks([" ".join(["word"] * n)], canon) == [[]]
+    assert bench.leaks(["so five plain words stand"], canon) == [[1]]
+    assert bench.leaks(["he said so", "", "four words of text"], canon) == [[], [], []]
+    # A long text fills a run, so that a short one after it is a run of its own.
+    monkeypatch.setattr(decontamination, "TOGETHER", 100)
+    runs = list(decontamination._runs(["word " * 50, "only four words here"]))
+    assert [len(r) for r in runs] == [1, 1]
+    assert [bench.leaks(r, canon) for r in runs] == [[[]], [[]]]
+
+
 NAMES = ["Alice", "Bob", "Carlos", "Denver", "Paris", "Mary Jane", "Li Wei", "Oslo", "Quito", "Nora"]
 NOUNS = [f"noun{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(10)]
 

@@ -147,9 +147,9 @@ class Words:
 
 
 def _enough(words: Words, cfg: TemplateConfig, size: int) -> np.ndarray:
-    """Whether each window of tokens has so many literals and units that it may count."""
+    """Whether each window of tokens has so many literals and units that it may count; of fewer tokens there are none."""
     plain = np.concatenate([[0], np.cumsum((words.kind == LITERAL) | (words.kind == UNIT) | (words.unit > 0))])
-    return plain[size:] - plain[: len(plain) - size] >= min(cfg.literals, size)
+    return plain[size:] - plain[: max(len(plain) - size, 0)] >= min(cfg.literals, size)
 
 
 class _Windows:
